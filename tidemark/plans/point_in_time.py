@@ -199,7 +199,8 @@ m AS (SELECT entity, value, max(t) AS last_t FROM l GROUP BY 1, 2),
 state AS (SELECT entity, value, last_t, lam AS "lambda", sum(exp(-lam * (last_t - t) / 3600.0::DOUBLE)) AS v,
        sum(f * exp(-lam * (last_t - t) / 3600.0::DOUBLE)) AS fraud_v
   FROM l JOIN m USING (entity, value) CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.1::DOUBLE, 0.5::DOUBLE]) AS lam) GROUP BY ALL)"""
-W12_SQL = f"WITH {STATE_SQL}\nSELECT entity, value, last_t, "lambda", round(v + 3.7e-9::DOUBLE, 6) + 0.0 AS v, round(fraud_v + 3.7e-9::DOUBLE, 6) + 0.0 AS fraud_v FROM state"
+W12_SQL = f"""WITH {STATE_SQL}
+SELECT entity, value, last_t, "lambda", round(v + 3.7e-9::DOUBLE, 6) + 0.0 AS v, round(fraud_v + 3.7e-9::DOUBLE, 6) + 0.0 AS fraud_v FROM state"""
 
 
 def w13(spark, sf):
