@@ -72,7 +72,7 @@ def main() -> int:
                 continue
             problem = compare(got, con.execute(oracles[name]).fetchdf())
         except Exception as exc:  # report and go on with the next query
-            took, problem = time.time() - start, f"{type(exc).__name__}: {str(exc)[:1500]}"
+            took, problem = time.time() - start, f"{type(exc).__name__}: {str(exc)[:500]}"
         print(f"{'FAIL' if problem else 'ok  '}  {name} {took:.1f}s (+{time.time() - start - took:.1f}s sql) {problem}", flush=True)
         if problem:
             failed.append(name)

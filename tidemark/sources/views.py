@@ -211,7 +211,7 @@ wide AS (
   FROM embeddings
 ),
 wlong AS (
-  UNPIVOT INCLUDE NULLS wide ON COLUMNS(* EXCLUDE ("TransactionID", "isFraud")) INTO NAME col VALUE v
+  SELECT "TransactionID", "isFraud", col, v FROM wide UNPIVOT INCLUDE NULLS (v FOR col IN ({", ".join(f'"V{i}"' for i in range(1, N_VECTOR_COLUMNS + 1))}))
 )"""
 
 
