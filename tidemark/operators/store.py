@@ -57,3 +57,87 @@ def visible(long: DataFrame, as_of: int | Column) -> DataFrame:
     live = long.where((F.col("written_at") <= at) & (F.col("expires_at") > at))
     latest = F.max_by(F.struct("value", "written_at", "expires_at"), F.col("written_at"))
     return live.groupBy("entity_type", "entity_id", "feature_name").agg(latest.alias("r")).select("entity_type", "entity_id", "feature_name", "r.*")
+
+
+def entity_features(features: list[str], entity: str) -> list[str]:
+    """Features kept per entity value: those named after the entity."""
+    return [f for f in features if f.startswith(f"{entity}_")]
+
+
+def snapshot(df: DataFrame, entities: list[str], features: list[str], limit: int | None = None) -> DataFrame:
+    """Long snapshot of each entity value's newest features, stamped with the row's own time."""
+    out = None
+    for e in entities:
+        names = entity_features(features, e)
+        if not names:
+            continue
+        wide = newest(df, e, names)
+        if limit is not None:
+            wide = wide.orderBy(F.desc("as_of"), "entity_id").limit(limit)
+        one = to_long(wide, e, "entity_id", names, F.col("as_of"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def as_of(rows: DataFrame, entity: str, snapshots: DataFrame, features: list[str], id_col: str = "TransactionID", time_col: str = "TransactionDT") -> DataFrame:
+    """Each row's latest snapshot values at or before its own time, dropped once expired.
+
+    `snapshots` is wide: (entity_id, written_at, features). Snapshots and row times are laid on one
+    time line per entity value, and the latest snapshot is a running maximum over time blocks, so an
+    entity with very many rows or snapshots is spread over blocks.
+    """
+    from tidemark.operators.history import running
+
+    base = rows.select(F.col(id_col).alias("id"), F.col(entity).cast("string").alias("value"), F.col(time_col).cast("long").alias("ts"))
+    state = F.struct(F.col("written_at"), *[F.col(f"`{f}`").alias(f) for f in features]).alias("state")
+    written = snapshots.select(F.col("entity_id").alias("value"), F.col("written_at").alias("ts"), state).groupBy("value", "ts").agg(F.max("state").alias("state"))
+    kind = written.schema["state"].dataType
+    asked = base.where(F.col("value").isNotNull()).select("value", "ts").distinct().withColumn("state", F.lit(None).cast(kind))
+    line = written.unionByName(asked).groupBy("value", "ts").agg(F.max("state").alias("state"))
+    known = running(line, ["value"], maxs=["state"], inclusive=True).select("value", "ts", F.col("past_state").alias("state"))
+    hit = base.where(F.col("value").isNotNull()).join(known, ["value", "ts"])
+    cols = []
+    for f in features:
+        live = F.col("ts") < F.col("state.written_at") + ttl_seconds(F.lit(f))
+        cols.append(F.when(live, F.col("state")[f]).alias(f))
+    found = hit.select(F.col("id").alias(id_col), F.col("state.written_at").alias(f"{entity}_snapshot_at"), *cols)
+    return rows.select(id_col).join(found, id_col, "left")
+
+
+def assemble(rows: DataFrame, entity_parts: list[DataFrame | None], batch: DataFrame | None, features: list[str], id_col: str = "TransactionID") -> DataFrame:
+    """The model's feature columns in order, as doubles, with `degraded_mode`.
+
+    Row columns come first, entity values override them, batch values override both. A feature no source
+    has becomes the default; a NULL among the row's own columns stays NULL. A source that is not
+    available (None) leaves its defaults and marks the row degraded.
+    """
+    degraded = batch is None or any(p is None for p in entity_parts)
+    own = set(rows.columns)
+    joined = rows
+    from_entity: set[str] = set()
+    for p in entity_parts:
+        if p is None:
+            continue
+        names = [c for c in p.columns if c != id_col]
+        joined = joined.join(p.select(id_col, *[F.col(f"`{c}`").alias(f"e__{c}") for c in names]), id_col, "left")
+        from_entity |= set(names)
+    from_batch: set[str] = set()
+    if batch is not None:
+        names = [c for c in batch.columns if c != id_col]
+        joined = joined.join(batch.select(id_col, *[F.col(c).alias(f"b__{c}") for c in names]), id_col, "left")
+        from_batch = set(names)
+    out = []
+    for f in features:
+        known_default = config.BATCH_DEFAULTS.get(f, config.BATCH_DEFAULTS["entity_degree_default"] if f.startswith("entity_degree_") else None)
+        if f in from_batch:
+            value = F.coalesce(F.col(f"b__{f}").cast("double"), F.lit(known_default if known_default is not None else config.ENTITY_DEFAULT))
+        elif known_default is not None:
+            value = F.lit(known_default)
+        elif f in from_entity:
+            value = F.coalesce(F.col(f"`e__{f}`").cast("double"), F.lit(config.ENTITY_DEFAULT))
+        elif f in own:
+            value = F.col(f"`{f}`").cast("string").try_cast("double") if dict(rows.dtypes)[f] == "string" else F.col(f"`{f}`").cast("double")
+        else:
+            value = F.lit(config.ENTITY_DEFAULT)
+        out.append(value.alias(f))
+    return joined.select(id_col, *out, F.lit(degraded).alias("degraded_mode"))

@@ -142,8 +142,9 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 4 == 0, F.col("k").cast("double")).alias("id_01"),
         F.expr("cast(TransactionDT div 604800 as int)").alias("month"),
         label.alias("label"),
-        F.round(base, 3).alias("score"),
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + bump)), 3).alias("shadow_score"),
+        # The small constant keeps sums of two fractions off exact halves of the third decimal.
+        F.round(base + 3.7e-9, 3).alias("score"),
+        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + bump)) + 3.7e-9, 3).alias("shadow_score"),
     )
 
 
@@ -154,9 +155,9 @@ scored AS (
          CASE WHEN k % 4 = 0 THEN k::DOUBLE END AS id_01,
          ("TransactionDT" // 604800)::INTEGER AS "month",
          (k < 10 OR (k < 35 AND "TransactionAmt" > 60.0))::INTEGER AS label,
-         round(least(1.0::DOUBLE, "TransactionAmt" / 500.0::DOUBLE), 3) AS score,
+         round(least(1.0::DOUBLE, "TransactionAmt" / 500.0::DOUBLE) + 3.7e-9::DOUBLE, 3) AS score,
          round(least(1.0::DOUBLE, greatest(0.0::DOUBLE,
-               least(1.0::DOUBLE, "TransactionAmt" / 500.0::DOUBLE) + ((k * 7) % 11 - 5)::DOUBLE / 100.0::DOUBLE)), 3) AS shadow_score
+               least(1.0::DOUBLE, "TransactionAmt" / 500.0::DOUBLE) + ((k * 7) % 11 - 5)::DOUBLE / 100.0::DOUBLE)) + 3.7e-9::DOUBLE, 3) AS shadow_score
   FROM txn
 )"""
 
@@ -227,7 +228,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prediction_columns(ev: DataFrame) -> DataFrame:
     """Decision-log columns over `events`, usable on a batch or a stream."""
     k = F.get_json_object("props", "$.k").cast("int")
-    score = F.round(F.least(F.lit(1.0), F.col("value") / 500.0), 3)
+    score = F.round(F.least(F.lit(1.0), F.col("value") / 500.0) + 3.7e-9, 3)
     return ev.select(
         F.col("event_id").alias("id"),
         F.col("ts").cast("timestamp").alias("created_at"),
@@ -252,7 +253,7 @@ preds AS (
          value / 10.0::DOUBLE AS latency_ms, 'm1' AS model_version, k % 50 = 0 AS degraded_mode,
          CASE WHEN k % 40 = 0 THEN 500 ELSE 200 END AS status, k
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
-               round(least(1.0::DOUBLE, value / 500.0::DOUBLE), 3) AS score FROM events)
+               round(least(1.0::DOUBLE, value / 500.0::DOUBLE) + 3.7e-9::DOUBLE, 3) AS score FROM events)
 )"""
 
 
