@@ -216,18 +216,24 @@ def histogram(df: DataFrame, value: str, bounds: list[float], groups: list[Colum
     return wide.select(*keep, F.explode(pairs).alias("h")).select(*keep, "h.*")
 
 
+def bucket_quantile(buckets: Column, total: Column, q: float) -> Column:
+    """Quantile read from an ascending array of cumulative (le, n) buckets, linear inside a bucket.
+
+    The first bucket starts at 0; the open last bucket gives its lower bound.
+    """
+    rank = F.lit(q) * total
+    i = F.size(F.filter(buckets, lambda x: x["n"] < rank))  # buckets wholly below the rank
+    at, prev = F.get(buckets, i), F.get(buckets, i - 1)
+    low = F.when(i == 0, F.lit(0.0)).otherwise(prev["le"])
+    below = F.when(i == 0, F.lit(0)).otherwise(prev["n"])
+    inside = low + (at["le"] - low) * (rank - below) / F.nullif(at["n"] - below, F.lit(0))
+    return (F.when(total == 0, F.lit(None).cast("double")).when(at["le"] == float("inf"), low)
+            .when((i == 0) & (at["le"] <= 0), at["le"]).otherwise(inside))
+
+
 def histogram_quantile(hist: DataFrame, q: float, groups: list[str] | None = None) -> DataFrame:
-    """Quantile read from cumulative buckets, linear inside a bucket; the open bucket gives its lower bound."""
+    """The same from a table of (le, n) rows, per group."""
     groups = groups or []
     arr = F.array_sort(F.collect_list(F.struct("le", "n")))  # one entry per bucket
     g = hist.groupBy(*groups).agg(arr.alias("b"), F.max("n").alias("total"))
-    rank = F.lit(q) * F.col("total")
-    i = F.size(F.filter("b", lambda x: x["n"] < rank))  # buckets wholly below the rank
-    at = F.get("b", i)
-    prev = F.get("b", i - 1)
-    low = F.when(i == 0, F.lit(0.0)).otherwise(prev["le"])
-    below = F.when(i == 0, F.lit(0)).otherwise(prev["n"])
-    inside = low + (at["le"] - low) * (rank - below) / F.nullif(at["n"] - below, F.lit(0))
-    first_non_positive = (i == 0) & (at["le"] <= 0)
-    value = F.when(F.col("total") == 0, F.lit(None).cast("double")).when(at["le"] == float("inf"), low).when(first_non_positive, at["le"]).otherwise(inside)
-    return g.select(*groups, F.lit(q).alias("q"), value.alias("value"))
+    return g.select(*groups, F.lit(q).alias("q"), bucket_quantile(F.col("b"), F.col("total"), q).alias("value"))

@@ -132,7 +132,7 @@ def _check_lambdas(lambdas: list[float]) -> list[float]:
     return lambdas
 
 
-def _ewm_name(entity: str, weight: str, lam: float) -> str:
+def ewm_name(entity: str, weight: str, lam: float) -> str:
     return f"{entity}_{'fraud_v' if weight == 'f' else 'v'}_ewm_lambda_{H.lambda_name(lam)}"
 
 
@@ -146,7 +146,7 @@ def ewm(df: DataFrame, entities: list[str] | None = None, lambdas: list[float] |
     weights = {"v": "n", "f": "f"} if fraud_weighted else {"v": "n"}
     feats = H.decayed(inst, lambdas, weights)
     cols = {
-        _ewm_name(e, w, lam): (e, f"{w}_{H.lambda_name(lam).replace('.', '_')}")
+        ewm_name(e, w, lam): (e, f"{w}_{H.lambda_name(lam).replace('.', '_')}")
         for e in entities for lam in lambdas for w in weights
     }
     return H.spread(df, rows, feats, ID, cols).fillna(0.0)
@@ -180,5 +180,5 @@ def ewm_held_out(df: DataFrame, state: DataFrame, entities: list[str] | None = N
         for lam in lambdas:
             here = (F.col("entity") == e) & (F.col("lambda") == lam)
             for w in ("v", "f"):
-                aggs.append(F.coalesce(F.max(F.when(here, F.col(w))), F.lit(0.0)).alias(_ewm_name(e, w, lam)))
+                aggs.append(F.coalesce(F.max(F.when(here, F.col(w))), F.lit(0.0)).alias(ewm_name(e, w, lam)))
     return both.groupBy("id").agg(*aggs, F.coalesce(F.sum("back"), F.lit(0)).alias("backward_rows")).withColumnRenamed("id", ID)

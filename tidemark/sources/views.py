@@ -26,7 +26,11 @@ def seconds_since(ts: str, first_day: str) -> Column:
 
 def transactions(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
     """Card transactions from `events`; `ties` rounds times down to the hour."""
-    ev = table(spark, sf_dir, "events")
+    return transaction_columns(table(spark, sf_dir, "events"), ties)
+
+
+def transaction_columns(ev: DataFrame, ties: bool = False) -> DataFrame:
+    """Transaction columns over `events`, usable on a batch or a stream."""
     k = F.get_json_object("props", "$.k").cast("int")
     dt = seconds_since("ts", "2024-01-01")
     mail = F.col("user_id") % 8

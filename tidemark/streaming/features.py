@@ -1,0 +1,188 @@
+"""Point-in-time features over a stream, with state kept as versioned tables.
+
+A micro-batch is an ordinary Spark job over its own rows and the state table of the batch before, so a
+hot entity is spread over time blocks here as well, where a keyed stateful function would process it
+in one task. Every batch writes its state and output under its own number; running a batch again
+replaces exactly what it wrote before.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark import config
+from tidemark.operators import history as H
+from tidemark.operators import velocity as V
+from tidemark.session import scratch_path
+from tidemark.streaming.runner import drain_batches
+
+ID, TIME = V.ID, V.TIME
+
+
+class _Store:
+    """Tables of one job in the shared folder: state, output, late rows and the watermark of every batch."""
+
+    def __init__(self, spark: SparkSession, label: str, root: str | None = None):
+        self.spark, self.root = spark, root or scratch_path(spark, label)
+        self.marks: dict[int, int] = {}
+        if root is not None:  # resume: one small row per batch
+            self.marks = {r["epoch"]: r["mark"] for r in spark.read.parquet(f"{root}/marks").collect()}
+
+    def path(self, kind: str, epoch: int) -> str:
+        return f"{self.root}/{kind}/epoch={epoch}"
+
+    def write(self, kind: str, epoch: int, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(kind, epoch))
+        return self.spark.read.schema(df.schema).parquet(self.path(kind, epoch))
+
+    def commit(self, epoch: int, mark: int) -> None:
+        self.spark.createDataFrame([(mark,)], "mark long").coalesce(1).write.mode("overwrite").parquet(self.path("marks", epoch))
+        self.marks[epoch] = mark
+
+    def previous(self, kind: str, epoch: int) -> DataFrame | None:
+        return self.spark.read.parquet(self.path(kind, epoch - 1)) if epoch - 1 in self.marks else None
+
+    def all(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{kind}").drop("epoch")
+
+
+class VelocityStream:
+    """`{entity}_velocity_{window}` for arriving rows.
+
+    The state holds the instants of the longest window. A row waits until the watermark (the newest
+    time seen less `delay` seconds) has reached it, so rows out of order by less than that still count;
+    rows behind the previous watermark are set aside.
+    """
+
+    def __init__(self, spark: SparkSession, entities: list[str] | None = None, windows: dict[str, int] | None = None, delay: int = 0, root: str | None = None):
+        self.entities, self.windows = entities or config.VELOCITY_ENTITIES, windows or config.VELOCITY_WINDOWS
+        self.delay, self.store = delay, _Store(spark, "velocity-stream", root)
+
+    def run(self, stream: DataFrame) -> None:
+        drain_batches(stream, f"{self.store.root}/progress", self.step)
+
+    def step(self, batch: DataFrame, epoch: int) -> None:
+        store = self.store
+        before = store.marks.get(epoch - 1)
+        fresh = batch.select(ID, TIME, *self.entities)
+        if before is not None:
+            store.write("late", epoch, fresh.where(F.col(TIME) < before))
+            fresh = fresh.where(F.col(TIME) >= before)
+        waiting = store.previous("waiting", epoch)
+        rows = fresh if waiting is None else waiting.unionByName(fresh)
+        newest = rows.agg(F.max(TIME)).first()[0]
+        mark = max([m for m in (before, None if newest is None else newest - self.delay) if m is not None], default=0)
+        self._emit(rows.where(F.col(TIME) <= mark), epoch, mark)
+        store.write("waiting", epoch, rows.where(F.col(TIME) > mark))
+        store.commit(epoch, mark)
+
+    def _emit(self, ready: DataFrame, epoch: int, mark: int) -> None:
+        store = self.store
+        long = H.entity_rows(ready, self.entities, ID, TIME, [])
+        inst = H.instants(long)
+        old = store.previous("instants", epoch)
+        if old is not None:
+            inst = old.unionByName(inst).groupBy(*H.KEYS, "ts").agg(F.sum("n").alias("n"))
+        cols = {f"{e}_velocity_{w}": (e, f"n_{w}") for e in self.entities for w in self.windows}
+        store.write("output", epoch, H.spread(ready, long, H.sliding(inst, self.windows), ID, cols).fillna(0))
+        store.write("instants", epoch, inst.where(F.col("ts") >= mark - max(self.windows.values())))
+
+    def finish(self) -> None:
+        """Emit what still waits, once the stream has ended."""
+        if self.store.marks:
+            epoch = max(self.store.marks) + 1
+            self._emit(self.store.previous("waiting", epoch), epoch, self.store.marks[epoch - 1])
+
+    def output(self) -> DataFrame:
+        return self.store.all("output")
+
+    def late(self) -> DataFrame | None:
+        return self.store.all("late") if len(self.store.marks) > 1 else None
+
+
+class DecayStream:
+    """Decayed counts and labels for arriving rows; the state is one row per (entity value, rate).
+
+    The state keeps what its last second added apart, because rows tied with that second must not see
+    it. A row older than its entity's state cannot be read back in time: it is set aside as late.
+    """
+
+    def __init__(self, spark: SparkSession, entities: list[str] | None = None, lambdas: list[float] | None = None, root: str | None = None):
+        self.entities, self.lambdas = entities or config.VELOCITY_ENTITIES, lambdas or config.EWM_LAMBDAS
+        self.store = _Store(spark, "decay-stream", root)
+
+    def run(self, stream: DataFrame) -> None:
+        drain_batches(stream, f"{self.store.root}/progress", self.step)
+
+    def step(self, batch: DataFrame, epoch: int) -> None:
+        store = self.store
+        rows = batch.select(ID, TIME, V.LABEL, *self.entities)
+        long = H.entity_rows(rows, self.entities, ID, TIME, [V.LABEL])
+        old = store.previous("state", epoch)
+        if old is not None:
+            seen = old.select(*H.KEYS, "last_t").distinct()
+            judged = long.join(seen, H.KEYS, "left")
+            behind = F.coalesce(F.col("ts") < F.col("last_t"), F.lit(False))
+            store.write("late", epoch, judged.where(behind).select("id", "entity", "value", "ts"))
+            long = judged.where(~behind).drop("last_t")
+        inst = H.instants(long, label=V.LABEL)
+        weights = {"v": "n", "f": "f"}
+        feats = H.decayed(inst, self.lambdas, weights)
+        newest = inst.groupBy(*H.KEYS).agg(F.max_by(F.struct("n", "f"), "ts").alias("x")).select(*H.KEYS, F.col("x.n").cast("double").alias("v_last"), F.col("x.f").alias("f_last"))
+        state = H.end_state(inst, self.lambdas, weights).join(newest, H.KEYS)
+        if old is not None:
+            feats = self._carry(feats, old)
+            state = self._merge(old, state)
+        cols = {V.ewm_name(e, w, lam): (e, f"{w}_{H.lambda_name(lam).replace('.', '_')}") for e in self.entities for lam in self.lambdas for w in weights}
+        store.write("output", epoch, H.spread(rows, long, feats, ID, cols).fillna(0.0))
+        store.write("state", epoch, state)
+        store.commit(epoch, 0)
+
+    def _carry(self, feats: DataFrame, old: DataFrame) -> DataFrame:
+        """Add the earlier state, decayed to each instant."""
+        aggs = [F.max("last_t").alias("last_t"), F.max("v_last").alias("v_last"), F.max("f_last").alias("f_last")]
+        for lam in self.lambdas:
+            tag = H.lambda_name(lam).replace(".", "_")
+            aggs += [F.max(F.when(F.col("lambda") == lam, F.col(w))).alias(f"old_{w}_{tag}") for w in ("v", "f")]
+        j = feats.join(old.groupBy(*H.KEYS).agg(*aggs), H.KEYS, "left")
+        hours = (F.col("ts") - F.col("last_t")) / 3600.0
+        cols = {}
+        for lam in self.lambdas:
+            tag = H.lambda_name(lam).replace(".", "_")
+            for w in ("v", "f"):
+                past = F.col(f"old_{w}_{tag}") - F.when(F.col("ts") == F.col("last_t"), F.col(f"{w}_last")).otherwise(0.0)
+                cols[f"{w}_{tag}"] = F.col(f"{w}_{tag}") + F.coalesce(past * F.exp(-lam * hours), F.lit(0.0))
+        return j.withColumns(cols).select(*feats.columns)
+
+    @staticmethod
+    def _merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.select(*new.columns).unionByName(new)
+        last = both.groupBy(*H.KEYS, "lambda").agg(F.max("last_t").alias("end_t"))
+        j = both.join(last, [*H.KEYS, "lambda"])
+        decay = F.exp(-F.col("lambda") * (F.col("end_t") - F.col("last_t")) / 3600.0)
+        at_end = F.col("last_t") == F.col("end_t")
+        return j.groupBy(*H.KEYS, "lambda").agg(
+            F.max("end_t").alias("last_t"), F.sum(F.col("v") * decay).alias("v"), F.sum(F.col("f") * decay).alias("f"),
+            F.sum(F.when(at_end, F.col("v_last")).otherwise(0.0)).alias("v_last"), F.sum(F.when(at_end, F.col("f_last")).otherwise(0.0)).alias("f_last")).select(*new.columns)
+
+    def output(self) -> DataFrame:
+        return self.store.all("output")
+
+    def state(self) -> DataFrame:
+        return self.store.spark.read.parquet(self.store.path("state", max(self.store.marks)))
+
+    def late(self) -> DataFrame | None:
+        return self.store.all("late") if len(self.store.marks) > 1 else None
+
+
+def per_batch(fn: Callable[[DataFrame], DataFrame], store_path: str) -> Callable[[DataFrame, int], None]:
+    """A step that writes `fn(batch)` as JSON lines under the batch's number; empty results write nothing."""
+    def step(batch: DataFrame, epoch: int) -> None:
+        out = fn(batch)
+        if not out.isEmpty():
+            out.write.mode("overwrite").json(f"{store_path}/epoch={epoch}")
+
+    return step
