@@ -9,6 +9,7 @@ No step sorts or buffers all rows of one entity:
 3. Sliding windows use blocks as long as the window: a window then covers the tail of one block and the
    head of the next, so two cumulative aggregates per instant give counts, moments and maxima in linear
    time without subtracting running totals.
+   Counts are whole numbers, so they may be subtracted: one block length serves all windows there.
 4. Unbounded histories use one-day blocks: a small per-block table is accumulated per entity value and
    joined back as the state at the start of the block.
 """
@@ -91,14 +92,15 @@ def sliding(inst: DataFrame, counts: dict[str, int], moments: dict[str, int] | N
     `counts` and `moments` map a label to a window length. The window is [t - w, t - 1]. Adds
     `n_<label>` and `mean_/std_/max_<label>`; the result has one row per (keys, ts).
     """
-    moments = moments or {}
+    if not moments:
+        return sliding_counts(inst, counts, keys)
     windows = {**counts, **moments}
     marks = []
     for label, length in windows.items():
         blk = F.floor(F.col("ts") / length)
         marks.append(F.struct(F.lit(label).alias("w"), F.lit(0).alias("probe"), blk.alias("blk"), F.col("ts").alias("at")))
         marks.append(F.struct(F.lit(label).alias("w"), F.lit(1).alias("probe"), (blk - 1).alias("blk"), (F.col("ts") - length).alias("at")))
-    measures = ["n"] + (["an", "mean", "m2", "lo", "hi"] if moments else [])
+    measures = ["n", "an", "mean", "m2", "lo", "hi"]
     marked = inst.select(*keys, "ts", *measures, F.explode(F.array(*marks)).alias("mk"))
     marked = marked.select(
         *keys, "ts", "mk.*",
@@ -112,18 +114,13 @@ def sliding(inst: DataFrame, counts: dict[str, int], moments: dict[str, int] | N
     def part(expr: Column) -> Column:
         return F.when(F.col("probe") == 0, expr.over(head)).otherwise(expr.over(tail))
 
-    cols = [part(F.sum("n")).alias("p_n")]
-    if moments:
-        marked = marked.withColumn("center", F.sum(F.col("an") * F.col("mean")).over(whole) / F.nullif(F.sum("an").over(whole), F.lit(0)))
-        off = F.col("mean") - F.col("center")
-        marked = marked.withColumn("d1", F.col("an") * off).withColumn("d2", F.col("m2") + F.col("an") * off * off)
-        cols += [
-            part(F.sum("an")).alias("p_an"), F.col("center"), part(F.sum("d1")).alias("p_s1"),
-            part(F.sum("d2")).alias("p_s2"), part(F.min("lo")).alias("p_lo"), part(F.max("hi")).alias("p_hi"),
-        ]
-    parts = marked.select(*keys, "ts", "w", "probe", *cols)
-    if moments:
-        parts = parts.withColumn("half", _half_moments(*[F.col(c) for c in ["p_an", "center", "p_s1", "p_s2", "p_lo", "p_hi"]]))
+    marked = marked.withColumn("center", F.sum(F.col("an") * F.col("mean")).over(whole) / F.nullif(F.sum("an").over(whole), F.lit(0)))
+    off = F.col("mean") - F.col("center")
+    marked = marked.withColumn("d1", F.col("an") * off).withColumn("d2", F.col("m2") + F.col("an") * off * off)
+    parts = marked.select(
+        *keys, "ts", "w", "probe", part(F.sum("n")).alias("p_n"), part(F.sum("an")).alias("p_an"), F.col("center"), part(F.sum("d1")).alias("p_s1"),
+        part(F.sum("d2")).alias("p_s2"), part(F.min("lo")).alias("p_lo"), part(F.max("hi")).alias("p_hi"))
+    parts = parts.withColumn("half", _half_moments(*[F.col(c) for c in ["p_an", "center", "p_s1", "p_s2", "p_lo", "p_hi"]]))
     aggs = [
         F.coalesce(F.sum(F.when(F.col("w") == label, F.col("p_n"))), F.lit(0)).alias(f"n_{label}") for label in windows
     ]
@@ -143,6 +140,29 @@ def sliding(inst: DataFrame, counts: dict[str, int], moments: dict[str, int] | N
     return out
 
 
+def sliding_counts(inst: DataFrame, windows: dict[str, int], keys: list[str] = KEYS) -> DataFrame:
+    """`n_<label>`: rows in the `w` seconds before each instant, for several windows in one pass.
+
+    Blocks are as long as the longest window. Each instant asks for the number of rows before t and
+    before each t - w; both lie in its own block or the one before, whose total is known there.
+    """
+    block = max(windows.values())
+    asks = [F.struct(F.lit(None).cast("string").alias("w"), F.col("ts").alias("at"))]
+    asks += [F.struct(F.lit(label).alias("w"), (F.col("ts") - length).alias("at")) for label, length in windows.items()]
+    marks = inst.select(*keys, "ts", "n", F.explode(F.array(*asks)).alias("a")).select(*keys, "ts", "a.*", F.when(F.col("a.w").isNull(), F.col("n")).alias("n"))
+    marks = marks.withColumn("blk", F.floor(F.col("at") / block))
+    group = [*keys, "blk"]
+    # Instants are unique per time and questions count nothing, so the order of equal times is settled
+    # by putting questions first: rows at t - w itself still belong to the window.
+    order = Window.partitionBy(*group).orderBy("at", F.col("w").isNull()).rowsBetween(EARLIER_BLOCKS, -1)
+    before = F.coalesce(F.sum("n").over(order), F.lit(0))
+    counted = marks.select(*keys, "ts", "w", "blk", before.alias("before"), F.coalesce(F.sum("n").over(Window.partitionBy(*group)), F.lit(0)).alias("total"))
+    own = F.floor(F.col("ts") / block)
+    part = F.when(F.col("w").isNull(), F.col("before")).when(F.col("blk") == own, -F.col("before")).otherwise(F.col("total") - F.col("before"))
+    aggs = [F.sum(F.when(F.col("w").isNull() | (F.col("w") == label), part)).alias(f"n_{label}") for label in windows]
+    return counted.groupBy(*keys, "ts").agg(*aggs)
+
+
 def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = None, maxs: list[str] | None = None,
             mins: list[str] | None = None, amount: bool = False, gaps: bool = False,
             inclusive: bool = False, block: int = DAY) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.numeric import bucket_left_closed, bucket_right_closed, ratio
-from tidemark.functions.ordered import cumulative, exact_quantiles, take_first
+from tidemark.functions.ordered import cumulative, exact_quantiles
 from tidemark.operators.cost import Costs
 
 LOG_LOSS_EPS = 1e-15
@@ -50,17 +50,29 @@ def recall_at_fpr(points: DataFrame, target: float, groups: list[str] | None = N
     return points.groupBy(*(groups or [])).agg(F.coalesce(F.max(F.when(fpr <= target, tpr)), F.lit(0.0)).alias("recall"))
 
 
-def precision_recall_at(df: DataFrame, label: str, score: str, fraction: float, id_col: str) -> DataFrame:
-    """Precision and recall of the top share by score (ties by id); at least one row is taken."""
-    if not 0.0 < fraction <= 1.0:
-        raise ValueError("fraction must be in (0, 1]")
-    quota = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("total_n")))
-    top = take_first(df, [], score, id_col, quota, descending=True, extra=[label])
-    hits = top.agg(F.count(F.lit(1)).alias("k_count"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("hits"))
-    total = df.agg(F.sum(F.col(label).cast("long")).alias("positives"))
-    return hits.crossJoin(total).select(
-        F.lit(fraction).alias("fraction"), "k_count", ratio(F.col("hits"), F.col("k_count")).alias("precision"),
-        F.coalesce(ratio(F.col("hits"), F.col("positives")), F.lit(0.0)).alias("recall"))
+def precision_recall_at(df: DataFrame, label: str, score: str, fractions: list[float], id_col: str) -> DataFrame:
+    """Precision and recall of the top share by score (ties by id) for each share; at least one row is taken.
+
+    Whole scores above a cut are known from the counts per score. Only rows tied on the score at a cut
+    are ranked by id, for all shares together.
+    """
+    if not all(0.0 < f <= 1.0 for f in fractions):
+        raise ValueError("fractions must be in (0, 1]")
+    points = roc_points(score_counts(df, label, score)).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    n = F.col("total_pos") + F.col("total_neg")
+    points = points.withColumn("k_count", F.greatest(F.lit(1), F.ceil(F.col("fraction") * n)))
+    first = F.col("before_pos") + F.col("before_neg")
+    # The one score per share that holds its k-th row.
+    cut = points.where((first < F.col("k_count")) & (F.col("k_count") <= first + F.col("pos") + F.col("neg")))
+    cut = cut.select("fraction", "k_count", "score", "before_pos", "pos", "total_pos", (F.col("k_count") - first).alias("room"), (F.col("pos") + F.col("neg")).alias("tied"))
+    partial = cut.where(F.col("room") < F.col("tied"))
+    rows = df.select(F.col(score).cast("double").alias("score"), F.col(id_col).alias("id"), (F.col(label) == 1).cast("long").alias("y"))
+    at_cut = rows.join(partial.select("score").distinct(), "score", "left_semi").groupBy("score", "id").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("y"))
+    ranked = cumulative(at_cut, "id", ["m"], ["score"]).select("score", "y", "before_m")
+    hits = ranked.join(partial.select("fraction", "score", "room"), "score").where(F.col("before_m") < F.col("room")).groupBy("fraction").agg(F.sum("y").alias("some"))
+    out = cut.join(hits, "fraction", "left")
+    top = F.col("before_pos") + F.when(F.col("room") == F.col("tied"), F.col("pos")).otherwise(F.coalesce("some", F.lit(0)))
+    return out.select("fraction", "k_count", (top / F.col("k_count")).alias("precision"), F.coalesce(ratio(top, F.col("total_pos")), F.lit(0.0)).alias("recall"))
 
 
 def brier(label: Column, score: Column) -> Column:

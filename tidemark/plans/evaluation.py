@@ -141,12 +141,7 @@ E13_SQL = f"WITH {BINS_SQL}\nSELECT bin, {sql6('ms')} AS mean_score, {sql6('lr')
 
 
 def e14(spark, sf):
-    s = scored(spark, sf)
-    out = None
-    for k in (0.001, 0.01, 0.05, 0.2, 1.0):
-        one = R.precision_recall_at(s, "label", "score", k, "TransactionID")
-        out = one if out is None else out.unionByName(one)
-    return round_columns(out)
+    return round_columns(R.precision_recall_at(scored(spark, sf), "label", "score", [0.001, 0.01, 0.05, 0.2, 1.0], "TransactionID"))
 
 
 E14_SQL = f"""WITH {SCORED_SQL}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, "TransactionID") AS rn, count(*) OVER () AS n, sum(label) OVER () AS p FROM scored)
@@ -173,7 +168,8 @@ HALF = 15 * 86400
 def e16(spark, sf):
     s = scored(spark, sf)
     base, now = s.where(F.col("TransactionDT") < HALF), s.where(F.col("TransactionDT") >= HALF)
-    return round_columns(R.psi(base, now, "score").withColumn("psi_shadow_shift", R.psi(base, now.withColumn("score", F.col("score") * 1.4), "score").first()[0] + F.lit(0.0)))
+    shifted = R.psi(base, now.withColumn("score", F.col("score") * 1.4), "score").withColumnRenamed("psi", "psi_shadow_shift")
+    return round_columns(R.psi(base, now, "score").crossJoin(shifted))
 
 
 def _psi_sql(name: str, scale: str) -> str:

@@ -24,6 +24,11 @@ def seconds_since(ts: str, first_day: str) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def with_k(ev: DataFrame) -> DataFrame:
+    """The number inside `props`, parsed once in a projection of its own."""
+    return ev.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+
+
 def transactions(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
     """Card transactions from `events`; `ties` rounds times down to the hour."""
     return transaction_columns(table(spark, sf_dir, "events"), ties)
@@ -31,7 +36,8 @@ def transactions(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFr
 
 def transaction_columns(ev: DataFrame, ties: bool = False) -> DataFrame:
     """Transaction columns over `events`, usable on a batch or a stream."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    ev = with_k(ev)
+    k = F.col("k")
     dt = seconds_since("ts", "2024-01-01")
     mail = F.col("user_id") % 8
     out = ev.select(
@@ -39,8 +45,8 @@ def transaction_columns(ev: DataFrame, ties: bool = False) -> DataFrame:
         (dt - dt % 3600 if ties else dt).cast("long").alias("TransactionDT"),
         F.col("value").alias("TransactionAmt"),
         F.col("user_id").alias("card1"),
-        k.alias("k"),
-        F.expr("nullif(cast(get_json_object(props, '$.k') as int) % 20, 0)").alias("addr1"),
+        k,
+        F.expr("nullif(k % 20, 0)").alias("addr1"),
         F.when(k % 7 >= 2, F.concat(F.lit("dev"), (k % 13).cast("string"))).alias("DeviceInfo"),
         F.when(mail == 0, "gmail.com")
         .when(mail == 1, "yahoo.com")
@@ -231,7 +237,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prediction_columns(ev: DataFrame) -> DataFrame:
     """Decision-log columns over `events`, usable on a batch or a stream."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    ev = with_k(ev)
+    k = F.col("k")
     score = F.round(F.least(F.lit(1.0), F.col("value") / 500.0) + 3.7e-9, 3)
     return ev.select(
         F.col("event_id").alias("id"),
@@ -245,7 +252,7 @@ def prediction_columns(ev: DataFrame) -> DataFrame:
         F.lit("m1").alias("model_version"),
         (k % 50 == 0).alias("degraded_mode"),
         F.when(k % 40 == 0, 500).otherwise(200).alias("status"),
-        k.alias("k"),
+        k,
     )
 
 
