@@ -29,9 +29,12 @@ def future_leaks(df: DataFrame, feature: Callable[[DataFrame], DataFrame], colum
     sample = cut_lineage(df.orderBy(hash_order(seed, ID), ID).limit(n).select(
         F.col(ID).alias("s_id"), F.col(TIME).alias("s_time"), F.col(entity).alias("s_entity")), "leak-sample")
     known = df.join(F.broadcast(sample), (F.col(entity) == F.col("s_entity")) & (F.col(TIME) <= F.col("s_time")))
+    # A row without the entity has no past: it is recomputed on itself.
+    alone = df.join(F.broadcast(sample.where(F.col("s_entity").isNull())), F.col(ID) == F.col("s_id"))
+    known = known.unionByName(alone)
 
     def tag(c: str):
-        return F.concat_ws("|", F.col("s_id").cast("string"), F.col(c).cast("string"))
+        return F.when(F.col(c).isNotNull(), F.concat_ws("|", F.col("s_id").cast("string"), F.col(c).cast("string")))
 
     known = known.withColumn(entity, tag(entity)).withColumn(ID, tag(ID)).drop("s_time", "s_entity", "s_id")
     again = feature(known).select(F.col(ID).alias("key"), F.col(column).cast("double").alias("past_only"))

@@ -130,10 +130,12 @@ def decision_cost(decision: Column, label: Column, costs: Costs = Costs()) -> Co
 
 def agreement(df: DataFrame) -> DataFrame:
     """Share of equal decisions and correlation of scores (NULL when either is constant)."""
+    # Not `corr`, which divides by zero for a constant column under ANSI rules.
+    spread = F.nullif(F.stddev_pop("champion_score") * F.stddev_pop("shadow_score"), F.lit(0.0))
+    varied = (F.min("champion_score") < F.max("champion_score")) & (F.min("shadow_score") < F.max("shadow_score"))
     return df.agg(
         F.count(F.lit(1)).alias("n_total"), F.avg((F.col("champion_decision") == F.col("shadow_decision")).cast("double")).alias("agreement_rate"),
-        F.when((F.min("champion_score") < F.max("champion_score")) & (F.min("shadow_score") < F.max("shadow_score")),
-               F.corr("champion_score", "shadow_score")).alias("score_correlation"))
+        F.when(varied, F.covar_pop("champion_score", "shadow_score") / spread).alias("score_correlation"))
 
 
 def cost_improvement(df: DataFrame, costs: Costs = Costs()) -> DataFrame:

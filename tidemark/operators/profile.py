@@ -59,10 +59,11 @@ def class_histogram(df: DataFrame, value: Column, bins: int, label: str = LABEL)
     """Density per class over equal-width bins shared by both classes."""
     x = df.select(F.col(label).alias("label"), value.alias("x")).where(F.col("x").isNotNull())
     span = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    pos = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    # A constant column has one bin of no width and hence no density.
+    pos = F.coalesce(F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)), F.lit(0))
     counts = x.crossJoin(F.broadcast(span)).groupBy("label", pos.cast("int").alias("bin"), ((F.col("hi") - F.col("lo")) / bins).alias("width")).agg(F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy("label")  # one row per bin
-    return counts.select("label", "bin", "n", (F.col("n") / (F.sum("n").over(total) * F.col("width"))).alias("density"))
+    return counts.select("label", "bin", "n", ratio(F.col("n"), F.sum("n").over(total) * F.col("width")).alias("density"))
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str] | None = None, kind: str = "double") -> DataFrame:

@@ -108,8 +108,9 @@ def quantile_edges(df: DataFrame, value: str, bins: int = config.PSI_BINS) -> li
 
 
 def psi_term(base: Column, current: Column, eps: float = config.PSI_EPSILON) -> Column:
+    """One bin's share of the index; NULL when a share is unknown."""
     b, c = F.greatest(base, F.lit(eps)), F.greatest(current, F.lit(eps))
-    return (c - b) * F.ln(c / b)
+    return F.when(base.isNotNull() & current.isNotNull(), (c - b) * F.ln(c / b))
 
 
 def psi(baseline: DataFrame, current: DataFrame, value: str, bins: int = config.PSI_BINS) -> DataFrame:
@@ -126,7 +127,7 @@ def psi(baseline: DataFrame, current: DataFrame, value: str, bins: int = config.
     grid = spark.createDataFrame([(i,) for i in range(len(edges) - 1)], "bin int")
     t = grid.join(counted(baseline, "a"), "bin", "left").join(counted(current, "b"), "bin", "left").fillna(0)
     totals = t.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    return t.crossJoin(totals).agg(F.sum(psi_term(F.col("a") / F.col("ta"), F.col("b") / F.col("tb"))).alias("psi"))
+    return t.crossJoin(totals).agg(F.sum(psi_term(ratio(F.col("a"), F.col("ta")), ratio(F.col("b"), F.col("tb")))).alias("psi"))
 
 
 # Amount strata, left-closed.
