@@ -36,13 +36,12 @@ def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str]
     `counts` must already hold one row per (groups, value), with no NULL value.
     """
     groups = groups or []
-    one = [] if groups else ["one"]
+    keys = groups or ["one"]
     base = counts if groups else counts.withColumn("one", F.lit(1))
-    keys = groups + one
     v = F.col(value).cast("double")
-    # min / max and totals per group: one small row per group.
-    span = base.groupBy(*keys).agg(F.min(v).alias("lo"), F.max(v).alias("hi"), *[F.sum(c).alias(f"total_{c}") for c in sums])
-    x = base.join(span, keys)
+    # Range and totals: one row per group. Without groups that is a single row, sent to every task.
+    measures = [F.min(v).alias("lo"), F.max(v).alias("hi"), *[F.sum(c).alias(f"total_{c}") for c in sums]]
+    x = base.join(base.groupBy(*groups).agg(*measures), groups) if groups else base.crossJoin(F.broadcast(base.agg(*measures)))
     x = x.select(*base.columns, *[f"total_{c}" for c in sums], *_bucket(v, F.col("lo"), F.col("hi")))
     order = [F.desc("bk1"), F.desc("bk2")] if descending else [F.asc("bk1"), F.asc("bk2")]
     ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,7 +50,7 @@ def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str]
     inside = Window.partitionBy(*keys, "bk1", "bk2").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(totals, [*keys, "bk1", "bk2"])
     y = y.withColumns({f"before_{c}": F.col(f"a_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    return y.drop("bk1", "bk2", *[f"a_{c}" for c in sums], *one)
+    return y.drop("bk1", "bk2", *[f"a_{c}" for c in sums], *([] if groups else ["one"]))
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], groups: list[str] | None = None) -> DataFrame:

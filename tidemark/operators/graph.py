@@ -86,23 +86,25 @@ def _nodes(entities: list[str]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.concat(F.lit(e + _SEP), F.col(e).cast("string")) for e in entities])))
 
 
-def _checksum(pairs: DataFrame):
-    return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stored_pairs(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written pairs, and their number and XOR of hashes: equal when nothing changed."""
+    df, seen = cut_lineage(pairs, "components", n=F.count(F.lit(1)), x=F.bit_xor(F.xxhash64("u", "v")))
+    return df, (seen["n"], seen["x"])
 
 
 def entity_components(df: DataFrame, entities: list[str] = ENTITIES, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest entity node each entity node is connected to.
+    """(node, root): a common root number for all entity nodes that are connected.
 
     Transactions are contracted first: each becomes at most len(entities) - 1 links between its own
-    entity nodes, and distinct links are far fewer than rows. Alternating large-star and small-star
-    rounds then shrink the links to stars; every round is written out, which cuts the plan and
-    survives lost executors.
+    entity nodes, and distinct links are far fewer than rows. Nodes are numbered so that rounds work
+    on pairs of longs. Alternating large-star and small-star rounds then shrink the links to stars;
+    every round is written out, which cuts the plan and survives lost executors.
     """
     linked = df.select(_nodes(entities).alias("nodes")).where(F.size("nodes") > 0)
-    members = linked.select(F.explode("nodes").alias("node")).distinct()
-    star = linked.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("v"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("u"))
-    pairs = cut_lineage(star.select("u", "v").distinct(), "components")  # u > v in every pair
-    seen = _checksum(pairs)
+    members = dense_index(linked.select(F.explode("nodes").alias("node")).distinct(), ["node"], "i")
+    star = linked.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("b")).distinct()
+    star = star.join(members.select(F.col("node").alias("a"), F.col("i").alias("v")), "a").join(members.select(F.col("node").alias("b"), F.col("i").alias("u")), "b")
+    pairs, seen = _stored_pairs(star.select("u", "v"))  # nodes are numbered in order, so u > v
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
@@ -113,14 +115,14 @@ def entity_components(df: DataFrame, entities: list[str] = ENTITIES, max_rounds:
         # Small star: a node and its smaller neighbours link to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.where(F.col("u") != F.col("v")).distinct(), "components")
-        now = _checksum(pairs)
+        pairs, now = _stored_pairs(small.where(F.col("u") != F.col("v")).distinct())
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError("components did not settle")
-    return members.join(pairs.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("root"))
+    found = members.join(pairs.select(F.col("u").alias("i"), "v"), "i", "left")
+    return found.select("node", F.coalesce("v", "i").alias("root"))
 
 
 def component_sizes(df: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:
@@ -145,7 +147,7 @@ def component_table(df: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:
     held = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
     linked = comp.join(held, "node", "left").groupBy("root").agg(
         (F.count(F.lit(1)) + F.coalesce(F.sum("t"), F.lit(0))).alias("n_nodes"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_txn"))
-    alone = rows.where(F.col("node").isNull()).select(F.concat(F.lit("txn" + _SEP), F.col(ID).cast("string")).alias("root"), F.lit(1).cast("long").alias("n_nodes"), F.lit(1).cast("long").alias("n_txn"))
+    alone = rows.where(F.col("node").isNull()).select((-F.monotonically_increasing_id() - 1).alias("root"), F.lit(1).cast("long").alias("n_nodes"), F.lit(1).cast("long").alias("n_txn"))
     return linked.unionByName(alone)
 
 
@@ -174,11 +176,11 @@ def page_rank(df: DataFrame, entities: list[str] = ENTITIES, damping: float = DA
         to_t = e.join(give_e, "ent").groupBy("txn").agg(F.sum("g").alias("s"))
         new_e = ranks_e.withColumnRenamed("rank", "old").join(to_e, "ent").crossJoin(loose)
         new_t = ranks_t.withColumnRenamed("rank", "old").join(to_t, "txn", "left").crossJoin(loose)
-        new_e = cut_lineage(new_e.select("ent", "deg", "old", (damping * F.col("s") + base).alias("rank")), "rank")
-        new_t = cut_lineage(new_t.select("txn", "deg", "old", (damping * F.coalesce("s", F.lit(0.0)) + base).alias("rank")), "rank")
-        change = new_e.select("old", "rank").unionByName(new_t.select("old", "rank")).agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        moved = F.sum(F.abs(F.col("rank") - F.col("old")))
+        new_e, seen_e = cut_lineage(new_e.select("ent", "deg", "old", (damping * F.col("s") + base).alias("rank")), "rank", moved=moved)
+        new_t, seen_t = cut_lineage(new_t.select("txn", "deg", "old", (damping * F.coalesce("s", F.lit(0.0)) + base).alias("rank")), "rank", moved=moved)
         ranks_e, ranks_t = new_e.drop("old"), new_t.drop("old")
-        if change < n * tolerance:
+        if (seen_e["moved"] or 0.0) + (seen_t["moved"] or 0.0) < n * tolerance:
             return ranks_t.select(F.col("txn").alias(ID), F.col("rank").alias("pagerank_score")), i
     return df.select(ID, F.lit(1.0 / n).alias("pagerank_score")), max_iterations
 

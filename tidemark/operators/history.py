@@ -95,39 +95,38 @@ def sliding(inst: DataFrame, counts: dict[str, int], moments: dict[str, int] | N
     if not moments:
         return sliding_counts(inst, counts, keys)
     windows = {**counts, **moments}
+    # Per window three marks: the instant in its block in time order (head), the instant again in
+    # reverse order, and a question at t - w that reads the reversed block up to there (tail). Both
+    # directions then need the same frame: everything before the mark.
     marks = []
     for label, length in windows.items():
         blk = F.floor(F.col("ts") / length)
-        marks.append(F.struct(F.lit(label).alias("w"), F.lit(0).alias("probe"), blk.alias("blk"), F.col("ts").alias("at")))
-        marks.append(F.struct(F.lit(label).alias("w"), F.lit(1).alias("probe"), (blk - 1).alias("blk"), (F.col("ts") - length).alias("at")))
+        for back, question in ((0, 0), (1, 0), (1, 1)):
+            at = F.col("ts") - length if question else F.col("ts")
+            marks.append(F.struct(
+                F.lit(label).alias("w"), F.lit(back).alias("back"), F.lit(question).alias("question"),
+                (blk - question).alias("blk"), (-at if back else at).alias("at")))
     measures = ["n", "an", "mean", "m2", "lo", "hi"]
     marked = inst.select(*keys, "ts", *measures, F.explode(F.array(*marks)).alias("mk"))
-    marked = marked.select(
-        *keys, "ts", "mk.*",
-        *[F.when(F.col("mk.probe") == 0, F.col(m)).alias(m) for m in measures],
-    )
-    block = [*keys, "w", "blk"]
-    head = Window.partitionBy(*block).orderBy("at", "probe").rowsBetween(EARLIER_BLOCKS, -1)
-    tail = Window.partitionBy(*block).orderBy(F.desc("at"), F.asc("probe")).rowsBetween(EARLIER_BLOCKS, 0)
+    marked = marked.select(*keys, "ts", "mk.*", *[F.when(F.col("mk.question") == 0, F.col(m)).alias(m) for m in measures])
+    block = [*keys, "w", "back", "blk"]
+    before = Window.partitionBy(*block).orderBy("at", "question").rowsBetween(EARLIER_BLOCKS, -1)
     whole = Window.partitionBy(*block)
-
-    def part(expr: Column) -> Column:
-        return F.when(F.col("probe") == 0, expr.over(head)).otherwise(expr.over(tail))
-
     marked = marked.withColumn("center", F.sum(F.col("an") * F.col("mean")).over(whole) / F.nullif(F.sum("an").over(whole), F.lit(0)))
     off = F.col("mean") - F.col("center")
     marked = marked.withColumn("d1", F.col("an") * off).withColumn("d2", F.col("m2") + F.col("an") * off * off)
     parts = marked.select(
-        *keys, "ts", "w", "probe", part(F.sum("n")).alias("p_n"), part(F.sum("an")).alias("p_an"), F.col("center"), part(F.sum("d1")).alias("p_s1"),
-        part(F.sum("d2")).alias("p_s2"), part(F.min("lo")).alias("p_lo"), part(F.max("hi")).alias("p_hi"))
-    parts = parts.withColumn("half", _half_moments(*[F.col(c) for c in ["p_an", "center", "p_s1", "p_s2", "p_lo", "p_hi"]]))
+        *keys, "ts", "w", "back", "question", F.sum("n").over(before).alias("p_n"), F.sum("an").over(before).alias("p_an"), F.col("center"),
+        F.sum("d1").over(before).alias("p_s1"), F.sum("d2").over(before).alias("p_s2"), F.min("lo").over(before).alias("p_lo"), F.max("hi").over(before).alias("p_hi"))
+    parts = parts.where(F.col("back") == F.col("question")).withColumn(
+        "half", _half_moments(*[F.col(c) for c in ["p_an", "center", "p_s1", "p_s2", "p_lo", "p_hi"]]))
     aggs = [
         F.coalesce(F.sum(F.when(F.col("w") == label, F.col("p_n"))), F.lit(0)).alias(f"n_{label}") for label in windows
     ]
     for label in moments:
-        for probe in (0, 1):
-            hit = (F.col("w") == label) & (F.col("probe") == probe)
-            aggs.append(F.max(F.when(hit, F.col("half"))).alias(f"h{probe}_{label}"))
+        for side in (0, 1):
+            hit = (F.col("w") == label) & (F.col("question") == side)
+            aggs.append(F.max(F.when(hit, F.col("half"))).alias(f"h{side}_{label}"))
     out = parts.groupBy(*keys, "ts").agg(*aggs)
     for label in moments:
         a, b = F.col(f"h0_{label}"), F.col(f"h1_{label}")

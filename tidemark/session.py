@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 SQL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,13 +57,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, **measures: Column):
     """Write `df` to the shared folder and read it back.
 
     The written table survives lost executors and ends the plan, so iterative jobs do not grow
-    their lineage and a consumer that reads the result twice does not recompute it.
+    their lineage and a consumer that reads the result twice does not recompute it. Aggregates given
+    as `measures` are taken while the rows are written and returned beside the frame.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not measures:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get

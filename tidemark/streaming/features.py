@@ -52,7 +52,7 @@ class _Store:
 class VelocityStream:
     """`{entity}_velocity_{window}` for arriving rows.
 
-    The state holds the instants of the longest window. A row waits until the watermark (the newest
+    The state is the instants of the longest window, appended batch by batch. A row waits until the watermark (the newest
     time seen less `delay` seconds) has reached it, so rows out of order by less than that still count;
     rows behind the previous watermark are set aside.
     """
@@ -82,13 +82,18 @@ class VelocityStream:
     def _emit(self, ready: DataFrame, epoch: int, mark: int) -> None:
         store = self.store
         long = H.entity_rows(ready, self.entities, ID, TIME, [])
-        inst = H.instants(long)
-        old = store.previous("instants", epoch)
-        if old is not None:
-            inst = old.unionByName(inst).groupBy(*H.KEYS, "ts").agg(F.sum("n").alias("n"))
+        fresh = store.write("instants", epoch, H.instants(long))
+        # A batch adds its own instants only. Earlier batches are read while their newest second can be
+        # inside a window, and of those only the entity values that occur now.
+        # Rows given out now are not older than the previous watermark.
+        oldest = store.marks.get(epoch - 1, mark) - max(self.windows.values())
+        paths = [store.path("instants", e) for e, m in store.marks.items() if e < epoch and m >= oldest]
+        inst = fresh
+        if paths:
+            old = store.spark.read.schema(fresh.schema).parquet(*paths).join(fresh.select(*H.KEYS).distinct(), H.KEYS, "left_semi")
+            inst = old.unionByName(fresh).groupBy(*H.KEYS, "ts").agg(F.sum("n").alias("n"))
         cols = {f"{e}_velocity_{w}": (e, f"n_{w}") for e in self.entities for w in self.windows}
         store.write("output", epoch, H.spread(ready, long, H.sliding(inst, self.windows), ID, cols).fillna(0))
-        store.write("instants", epoch, inst.where(F.col("ts") >= mark - max(self.windows.values())))
 
     def finish(self) -> None:
         """Emit what still waits, once the stream has ended."""
