@@ -222,7 +222,9 @@ def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = No
         ]
     carry = blocks.select(*group, *state)
 
-    y = x.join(carry, group)
+    # Every block has its carry. A left join keeps Spark from adding null filters below one side only,
+    # so that both sides share one shuffle of the instants.
+    y = x.join(carry, group, "left")
     add = {}
     for c in sums:
         add[f"past_{c}"] = F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.coalesce(F.col(f"c_{c}"), F.lit(0))
@@ -277,8 +279,8 @@ def decayed(inst: DataFrame, lambdas: list[float], weights: dict[str, str], keys
 
     `weights` maps an output stem to a column of `inst`. Adds `<stem>_<lambda>` columns. Sums are
     rebased to the start of a day, days to the start of a super block of at most 200/lambda hours, so
-    no exponent leaves the double range; events more than three super blocks back weigh less than
-    1e-173 and fall out of the double range on the way.
+    no exponent leaves the double range; events more than two super blocks back, which weigh less than
+    1e-173 each, are dropped.
     """
     x = inst.withColumn("blk", F.floor(F.col("ts") / DAY))
     hours = (F.col("ts") - F.col("blk") * DAY) / 3600.0
@@ -293,13 +295,13 @@ def decayed(inst: DataFrame, lambdas: list[float], weights: dict[str, str], keys
         for w in weights:
             rebased = F.col(f"d_{w}_{tag}") * F.exp(per_day * (day_in + 1))
             value = F.coalesce(F.sum(rebased).over(same), F.lit(0.0)) * F.exp(-per_day * day_in)
-            for j in (1, 2, 3):
+            for j in (1, 2):
                 back = Window.partitionBy(*keys).orderBy(sup).rangeBetween(-j, -j)
                 value = value + F.coalesce(F.sum(rebased).over(back), F.lit(0.0)) * F.exp(-per_day * (day_in + j * size))
             carry_cols.append(value.alias(f"c_{w}_{tag}"))
     carry = totals.select(*keys, "blk", *carry_cols)
     inside = Window.partitionBy(*keys, "blk").orderBy("ts").rowsBetween(EARLIER_BLOCKS, -1)
-    y = x.join(carry, [*keys, "blk"])
+    y = x.join(carry, [*keys, "blk"], "left")  # left: see `running`
     add = {}
     for lam in lambdas:
         tag = lambda_name(lam).replace(".", "_")

@@ -24,6 +24,8 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TIDEMARK_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # Small local shuffles would otherwise be merged into one or two tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in SQL_DEFAULTS.items():
