@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, packing, quality
-from tidemark.llm.common import table
+from tidemark.llm import bpe, classifier, packing, quality
+from tidemark.llm.common import fold, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (fold(F.col("doc_id"), classifier.FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op6_quality_classifier": op6_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 
