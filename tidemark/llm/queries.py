@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, packing, quality
+from tidemark.llm import bpe, classifier, neardup, packing, quality
 from tidemark.llm.common import fold, table
 
 
@@ -33,11 +33,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), classifier.FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
