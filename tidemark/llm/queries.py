@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, neardup, packing, quality
+from tidemark.llm import bpe, classifier, ctw, neardup, packing, quality
 from tidemark.llm.common import fold, table
 
 
@@ -33,6 +33,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), classifier.FOLDS) == 0).alias("held_out"), "score", "predicted")
 
 
+def op7_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 7) == 2
+    found = ctw.score(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
@@ -43,6 +49,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_context_tree_score": op7_context_tree_score,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
