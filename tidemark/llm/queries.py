@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, ctw, neardup, packing, quality, vectors
+from tidemark.llm import bpe, classifier, ctw, mainblocks, neardup, packing, quality, vectors
 from tidemark.llm.common import fold, table
 
 
@@ -19,6 +19,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainblocks.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
@@ -51,6 +55,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_main_text": op3_main_text,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_quality_classifier": op6_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
