@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, ctw, mainblocks, neardup, packing, quality, vectors
+from tidemark.llm import bpe, classifier, ctw, mainblocks, neardup, packing, quality, sharding, vectors
 from tidemark.llm.common import fold, table
+from tidemark.session import scratch_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,13 @@ def op7_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = sharding.reshard(docs.select("doc_id", "text"), sharding.old_shards_of_files(docs), scratch_path(spark, "llm-shards"))
+    crc = F.crc32(F.coalesce(F.col("row.text"), F.lit("")).cast("binary"))
+    return found.select("row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
@@ -60,6 +68,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_context_tree_score": op7_context_tree_score,
+    "op8_flow_resharding": op8_flow_resharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
