@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, ctw, mainblocks, neardup, packing, quality, sharding, vectors
+from tidemark.llm import bpe, classifier, ctw, langid, mainblocks, neardup, packing, quality, sharding, vectors
 from tidemark.llm.common import fold, table
 from tidemark.session import scratch_path
 
@@ -55,6 +55,13 @@ def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs, ~held_out), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
@@ -69,6 +76,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_context_tree_score": op7_context_tree_score,
     "op8_flow_resharding": op8_flow_resharding,
+    "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
