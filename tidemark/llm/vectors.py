@@ -65,13 +65,13 @@ def cleaned(df: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame
 
 def _pivots(reps: DataFrame) -> dict[tuple[str, int], np.ndarray]:
     """Pivots per (label, dimension): those with the least hashes among about twice as many drawn."""
-    sizes = reps.groupBy("label", "d").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * PER_PIVOT)
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    sizes = reps.groupBy("label", "d").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= 2 * PER_PIVOT)
+    total = sizes.agg(F.sum("held")).first()[0] or 0
     if not total:
         return {}
-    want = F.least(F.lit(LABEL_PIVOTS), F.floor(F.col("n") / PER_PIVOT), F.floor(F.col("n") * MAX_PIVOTS / total)).cast("int")
+    want = F.least(F.lit(LABEL_PIVOTS), F.floor(F.col("held") / PER_PIVOT), F.floor(F.col("held") * MAX_PIVOTS / total)).cast("int")
     sizes = sizes.withColumn("want", want).where("want >= 2")
-    drawn = reps.join(sizes, ["label", "d"]).withColumn("h", F.xxhash64("rep", "v")).where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("want") / F.col("n") * 2 * (1 << 30))
+    drawn = reps.join(sizes, ["label", "d"]).withColumn("h", F.xxhash64("rep", "v")).where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.col("want") / F.col("held") * 2 * (1 << 30))
     found: dict[tuple[str, int], list] = {}
     for r in drawn.orderBy("h").limit(2 * MAX_PIVOTS).select("label", "d", "want", "v").collect():  # the number of pivots is the bound
         own = found.setdefault((r["label"], r["d"]), [])
