@@ -167,7 +167,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, number of such sequences) for so many pieces of each length."""
+    """(lengths of one sequence, number of such sequences) for so many pieces of each length.
+
+    Of the plans with complements of up to three, two and one pieces, the one with the fewest sequences:
+    filling a gap with several small pieces leaves fewer of them for best fit.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -189,13 +197,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
         gap = capacity - top
         if left[top]:
             consume(top, gap)
-        if left[top]:
+        if left[top] and most > 1:
             a = np.arange(gap - 1, (gap - 1) // 2, -1)  # the larger of the two, b = gap - a
             for x in a[(left[a] > 0) & (left[gap - a] > 0)].tolist():
                 if not left[top]:
                     break
                 consume(top, x, gap - x)
-        if left[top] and gap >= 3:
+        if left[top] and most > 2 and gap >= 3:
             held = (left[:gap] > 0).astype(np.float32)
             sums = np.convolve(held, held)[:gap] > 0.5  # pair index: sums two available lengths can have
             a = np.arange(gap - 2, (gap - 1) // 3, -1)
