@@ -30,7 +30,7 @@ WINDOW = 128
 SAMPLE = 3000  # training windows per language at most
 LANGUAGES = 200  # languages at most: the most frequent ones
 EMBEDDED, FILTERS, WIDTHS = 8, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE, DECAY = 6, 64, 4e-3, 1e-5
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 6, 800, 64, 4e-3, 1e-5
 PAD = 256
 UNKNOWN = "und"
 WINDOWS_AT_ONCE = 512
@@ -88,7 +88,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 5) ->
     names = ("embedding", "filters", "bias", "out", "out_bias")
     first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
     step = 0
-    for _ in range(EPOCHS if len(languages) > 1 else 0):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(len(x), 1)))
+    for _ in range(epochs if len(languages) > 1 else 0):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             rows = order[at: at + BATCH]
@@ -187,5 +188,5 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 def _lettered(texts: Texts, k: int) -> bool:
     a, b = texts.at[k], texts.at[k + 1]
-    head = texts.bytes[a: a + 256]
+    head = texts.bytes[a: min(b, a + 256)]
     return bool(_LETTER[head].any()) or bool(_LETTER[texts.bytes[a:b]].any()) or any(c.isalpha() for c in texts.text(k))
