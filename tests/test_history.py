@@ -200,3 +200,15 @@ def test_hot_entity_is_split_into_blocks(spark):
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert any("blk" in line for line in exchanges)
     assert all("ts#" in line or "blk" in line for line in exchanges), exchanges
+
+
+def test_an_old_past_stays_positive(spark):
+    """Far more than two super blocks back: the decayed count is exp(-500), not 0; and a nearer past adds to it."""
+    lam = 0.05
+    gap = int(500 / lam) * 3600
+    rows = [("card1", "a", 0, 1.0), ("card1", "a", gap, 0.0), ("card1", "a", gap + 3600, 1.0), ("card1", "b", 10, 1.0), ("card1", "b", 3610, 1.0), ("card1", "b", gap + 3610, 1.0)]
+    inst = spark.createDataFrame(rows, "entity string, value string, ts long, w double")
+    got = {(r["value"], r["ts"]): r["d_0_05"] for r in H.decayed(inst, [lam], {"d": "w"}).collect()}
+    assert math.isclose(got["a", gap], math.exp(-500), rel_tol=1e-9)
+    assert math.isclose(got["a", gap + 3600], math.exp(-500 - lam), rel_tol=1e-9)
+    assert math.isclose(got["b", gap + 3610], math.exp(-500) + math.exp(-500 - lam), rel_tol=1e-9)

@@ -67,3 +67,19 @@ def test_approximate_quantiles(spark):
     df = spark.range(1000).selectExpr("cast(id as double) as a", "cast(id * 2 as double) as b")
     got = {(r["col"], r["q"]): r["quantile"] for r in approximate_quantiles(df, ["a", "b"], [0.5]).collect()}
     assert abs(got["a", 0.5] - 500) < 5 and abs(got["b", 0.5] - 1000) < 10
+
+
+def test_ranges_are_balanced(spark):
+    """A narrow mass and one far value: no task of the running sums holds much more than its share."""
+    from unittest import mock
+
+    from tidemark.functions import ordered
+
+    counts = spark.range(1_000_000).select((F.lit(100.0) + F.col("id") / 1_000_000).alias("v"), F.lit(1).alias("n")).unionByName(spark.createDataFrame([(1e9, 1)], "v double, n int"))
+    placed = []
+    keep = ordered.cut_lineage
+    with mock.patch.object(ordered, "cut_lineage", lambda df, label: placed.append(keep(df, label)) or placed[-1]):
+        got = cumulative(counts, "v", ["n"])
+    sizes = [r["count"] for r in placed[0].groupBy("range").count().collect()]
+    assert len(sizes) > 1 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    assert got.agg(F.max("before_n")).first()[0] == 1_000_000

@@ -1,9 +1,9 @@
 """Cumulative sums, exact quantiles and exact top shares over a total order, without a global sort.
 
-A value's position is found in two levels: values are reduced to distinct (group, value) counts, cut
-into buckets by a monotone function of the value, accumulated inside each bucket, and shifted by the
-total of the buckets before it. A task sees the distinct values of one bucket; the table of bucket
-totals has a few thousand rows per group.
+Values are reduced to distinct (group, value) counts and dealt into ranges of about equal numbers of
+them by a distributed sort, whatever their distribution. The ranges are written once, so that sums
+inside a range and the totals of the ranges before it belong to the same placement. A task sees one
+range; the table of totals has a row per range and group in it.
 """
 
 from __future__ import annotations
@@ -11,22 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINEAR_BUCKETS = 1024
-LOG_STEPS = 64
-LOG_FLOOR = 1e-9
-
-
-def _bucket(value: Column, lo: Column, hi: Column) -> list[Column]:
-    """Two monotone bucket numbers: equal widths for evenly spread values, log widths for long tails.
-
-    Both never decrease as the value grows, so the pair orders like the value does.
-    """
-    span = hi - lo
-    linear = F.when(span > 0, F.floor((value - lo) / span * LINEAR_BUCKETS)).otherwise(F.lit(0))
-    scale = F.greatest(F.abs(lo), F.abs(hi)) * LOG_FLOOR
-    log = F.when(scale > 0, F.when(value >= 0, F.floor(F.log1p(value / scale) * LOG_STEPS))
-                 .otherwise(-F.floor(F.log1p(-value / scale) * LOG_STEPS) - 1)).otherwise(F.lit(0))
-    return [linear.cast("long").alias("bk1"), log.cast("long").alias("bk2")]
+from tidemark.session import cut_lineage
 
 
 def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str] | None = None,
@@ -36,21 +21,16 @@ def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str]
     `counts` must already hold one row per (groups, value), with no NULL value.
     """
     groups = groups or []
-    keys = groups or ["one"]
-    base = counts if groups else counts.withColumn("one", F.lit(1))
-    v = F.col(value).cast("double")
-    # Range and totals: one row per group. Without groups that is a single row, sent to every task.
-    measures = [F.min(v).alias("lo"), F.max(v).alias("hi"), *[F.sum(c).alias(f"total_{c}") for c in sums]]
-    x = base.join(base.groupBy(*groups).agg(*measures), groups) if groups else base.crossJoin(F.broadcast(base.agg(*measures)))
-    x = x.select(*base.columns, *[f"total_{c}" for c in sums], *_bucket(v, F.col("lo"), F.col("hi")))
-    order = [F.desc("bk1"), F.desc("bk2")] if descending else [F.asc("bk1"), F.asc("bk2")]
-    ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = x.groupBy(*keys, "bk1", "bk2").agg(*[F.sum(c).alias(f"b_{c}") for c in sums])
-    totals = totals.select(*keys, "bk1", "bk2", *[F.coalesce(F.sum(f"b_{c}").over(ahead), F.lit(0)).alias(f"a_{c}") for c in sums])
-    inside = Window.partitionBy(*keys, "bk1", "bk2").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    y = x.join(totals, [*keys, "bk1", "bk2"])
+    part = F.spark_partition_id().alias("range")
+    placed = cut_lineage(counts.repartitionByRange(*groups, value).select("*", part), "ordered-ranges")
+    totals = placed.groupBy(*groups, "range").agg(*[F.sum(c).alias(f"b_{c}") for c in sums])
+    every = Window.partitionBy(*groups)
+    ahead = every.orderBy(F.desc("range") if descending else F.asc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*groups, "range", *[F.coalesce(F.sum(f"b_{c}").over(ahead), F.lit(0)).alias(f"a_{c}") for c in sums], *[F.sum(f"b_{c}").over(every).alias(f"total_{c}") for c in sums])
+    inside = Window.partitionBy("range", *groups).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    y = placed.join(totals, ["range", *groups])
     y = y.withColumns({f"before_{c}": F.col(f"a_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    return y.drop("bk1", "bk2", *[f"a_{c}" for c in sums], *([] if groups else ["one"]))
+    return y.drop("range", *[f"a_{c}" for c in sums])
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], groups: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,7 @@ from tidemark import config
 from tidemark.operators import basic as B
 from tidemark.operators import encode as E
 from tidemark.operators import graph as G
+from tidemark.operators import model as L
 from tidemark.operators import reduce as R
 from tidemark.operators import velocity as V
 
@@ -230,6 +231,10 @@ class FeatureChain:
         out = self._join(rows, [part.later(rows, history) for _, part in self.parts])
         return R.apply_pruning(out, self.groups) if self.groups else out
 
+    def families(self, raw: list[str]) -> dict[str, str]:
+        """Family of every feature and raw column."""
+        return L.feature_families([(g, f) for g, f, *_ in self.features], raw)
+
     def manifest(self, spark) -> DataFrame:
         return spark.createDataFrame(self.features, "generator string, feature string, dtype string, rationale string")
 

@@ -20,9 +20,8 @@ from tidemark.session import cut_lineage
 
 ID, LABEL = "TransactionID", "isFraud"
 ENTITIES = config.VELOCITY_ENTITIES
-# Rank iteration and the clustering size gate.
+# Rank iteration.
 DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 20, 1e-3
-CLUSTERING_LIMIT = 50_000
 _SEP = "\u0001"
 
 
@@ -160,8 +159,8 @@ def page_rank(df: DataFrame, entities: list[str] = ENTITIES, damping: float = DA
     e = cut_lineage(edges(df, entities).select("txn", F.concat_ws(_SEP, "subtype", "value").alias("ent")), "rank-edges")
     ent_deg = e.groupBy("ent").agg(F.count(F.lit(1)).alias("deg"))
     txn_deg = e.groupBy("txn").agg(F.count(F.lit(1)).alias("deg"))
-    stats = graph_stats(df, entities).first()
-    n = stats["n_nodes"]
+    # Nodes from the stored edges: all transactions, and entities with an edge.
+    n = df.select(F.count_distinct(ID)).first()[0] + ent_deg.count()
     txns = df.select(F.col(ID).alias("txn")).join(txn_deg, "txn", "left")
     ranks_t = txns.select("txn", "deg", F.lit(1.0 / n).alias("rank"))
     ranks_e = ent_deg.select("ent", "deg", F.lit(1.0 / n).alias("rank"))
@@ -197,16 +196,14 @@ def _overlap_weight(shared: int, own: Column, size: int, most: int) -> Column:
     return out
 
 
-def clustering(df: DataFrame, entities: list[str] = ENTITIES, limit: int | None = CLUSTERING_LIMIT) -> DataFrame:
+def clustering(df: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:
     """`clustering_coefficient`: mean overlap |shared| / |either| of entity sets with transactions two steps away.
 
     No pair of transactions is formed. How many transactions share at least a given subset of the
     row's entity values is a plain group count; over the at most 15 subsets, inclusion-exclusion turns
-    these counts into the number sharing exactly k values, which fixes every overlap. Above `limit`
-    transactions the result is 0 everywhere, as the definition has it; None lifts that.
+    these counts into the number sharing exactly k values, which fixes every overlap. The work grows
+    with the rows, so it is done at every size.
     """
-    if limit is not None and df.limit(limit + 1).count() > limit:
-        return df.select(ID, F.lit(0.0).alias("clustering_coefficient"))
     text = [F.col(e).cast("string").alias(e) for e in entities]
     degree = sum((F.col(e).isNotNull().cast("int") for e in entities), F.lit(0))
     # Identical entity tuples behave alike: count them once.

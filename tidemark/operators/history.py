@@ -279,27 +279,39 @@ def decayed(inst: DataFrame, lambdas: list[float], weights: dict[str, str], keys
 
     `weights` maps an output stem to a column of `inst`. Adds `<stem>_<lambda>` columns. Sums are
     rebased to the start of a day, days to the start of a super block of at most 200/lambda hours, so
-    no exponent leaves the double range; events more than two super blocks back, which weigh less than
-    1e-173 each, are dropped.
+    no exponent leaves the double range. The past before a super block is that of the latest earlier
+    one with any weight, which has taken in the one with weight before it; what lies further back
+    adds less than a double can hold beside it, since whole super blocks decay by more than exp(-100).
+    However old, a past with weight stays positive as long as doubles reach.
     """
     x = inst.withColumn("blk", F.floor(F.col("ts") / DAY))
     hours = (F.col("ts") - F.col("blk") * DAY) / 3600.0
     totals = _day_totals(inst, lambdas, weights, keys)
-    carry_cols = []
+    carry = totals
     for lam in lambdas:
         per_day, size = 24 * lam, _super_days(lam)
-        sup = F.floor(F.col("blk") / size)
-        day_in = F.col("blk") - sup * size
         tag = lambda_name(lam).replace(".", "_")
-        same = Window.partitionBy(*keys, sup).orderBy("blk").rowsBetween(EARLIER_BLOCKS, -1)
-        for w in weights:
-            rebased = F.col(f"d_{w}_{tag}") * F.exp(per_day * (day_in + 1))
-            value = F.coalesce(F.sum(rebased).over(same), F.lit(0.0)) * F.exp(-per_day * day_in)
-            for j in (1, 2):
-                back = Window.partitionBy(*keys).orderBy(sup).rangeBetween(-j, -j)
-                value = value + F.coalesce(F.sum(rebased).over(back), F.lit(0.0)) * F.exp(-per_day * (day_in + j * size))
-            carry_cols.append(value.alias(f"c_{w}_{tag}"))
-    carry = totals.select(*keys, "blk", *carry_cols)
+        carry = carry.withColumn("sup", F.floor(F.col("blk") / size))
+        day_in = F.col("blk") - F.col("sup") * size
+        same = Window.partitionBy(*keys, "sup")
+        earlier = Window.partitionBy(*keys).orderBy("sup").rangeBetween(Window.unboundedPreceding, -1)
+        rebased = {w: F.col(f"d_{w}_{tag}") * F.exp(per_day * (day_in + 1)) for w in weights}
+
+        def latest(column: str):
+            """(sup, v) of the latest earlier super block where the column is positive."""
+            return F.last(F.when(F.col(column) > 0, F.struct("sup", F.col(column).alias("v"))), ignorenulls=True).over(earlier)
+
+        def decayed_to(past: str, hours_in):
+            gone = per_day * (hours_in + (F.col("sup") - F.col(f"{past}.sup")) * size)
+            return F.coalesce(F.col(f"{past}.v") * F.exp(-gone), F.lit(0.0))
+
+        carry = carry.withColumns({f"s_{w}": F.sum(rebased[w]).over(same) for w in weights} | {f"i_{w}": F.coalesce(F.sum(rebased[w]).over(same.orderBy("blk").rowsBetween(EARLIER_BLOCKS, -1)), F.lit(0.0)) for w in weights})
+        carry = carry.withColumns({f"p_{w}": latest(f"s_{w}") for w in weights})
+        carry = carry.withColumns({f"y_{w}": F.col(f"s_{w}") + decayed_to(f"p_{w}", F.lit(0)) for w in weights})
+        carry = carry.withColumns({f"q_{w}": latest(f"y_{w}") for w in weights})
+        carry = carry.withColumns({f"c_{w}_{tag}": F.col(f"i_{w}") * F.exp(-per_day * day_in) + decayed_to(f"q_{w}", day_in) for w in weights})
+        carry = carry.drop("sup", *[f"{k}_{w}" for k in "sipyq" for w in weights])
+    carry = carry.select(*keys, "blk", *[f"c_{w}_{lambda_name(lam).replace('.', '_')}" for lam in lambdas for w in weights])
     inside = Window.partitionBy(*keys, "blk").orderBy("ts").rowsBetween(EARLIER_BLOCKS, -1)
     y = x.join(carry, [*keys, "blk"], "left")  # left: see `running`
     add = {}

@@ -56,48 +56,19 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranking_metrics(roc_points(score_counts(df, label, score)))
 
 
-def importances(model, features: list[str], df: DataFrame, k: int = 20) -> DataFrame:
-    """Features by importance with their family, highest first."""
-    values = model.featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, values)]
-    table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
-    return table.withColumn("family", feature_family(F.col("feature"))).orderBy(F.desc("importance"), "feature").limit(k)
-
-
-# Family of a feature by its name, first match wins.
-FEATURE_FAMILIES = [
-    (r"_target_enc$", "Tier-2 OOF target encoding"),
-    (r"_fraud_v_ewm_lambda_", "Tier-4 EWM fraud-weighted velocity (OOF-safe)"),
-    (r"_v_ewm_lambda_", "Tier-4 EWM velocity"),
-    (r"^entity_degree_", "Tier-5 entity degree (training-graph hubness)"),
-    (r"^fraud_neighbor_rate$", "Tier-5 OOF fraud rate of 1-hop graph neighbours"),
-    (r"^pagerank_score$", "Tier-5 graph-pagerank score"),
-    (r"^clustering_coefficient$", "Tier-5 bipartite clustering coefficient"),
-    (r"^connected_component_size$", "Tier-5 connected-component size"),
-    (r"^is_coldstart_card1$", "Tier-3 cold-start flag for card1"),
-    (r"^(amt_zscore_vs_card1_history|time_since_last_txn_zscore)$", "Tier-3 behavioural deviation z-score"),
-    (r"^(addr_change_flag|device_change_flag)$", "Tier-3 behavioural deviation flag"),
-    (r"^hour_deviation$", "Tier-3 hour-of-day deviation from card history"),
-    (r"_velocity_(1h|24h|7d)$", "Tier-2 per-entity velocity counter"),
-    (r"_amt_(mean|std|max)_30d$", "Tier-2 historical-amount stats (30 d rolling)"),
-    (r"^is_null_", "Tier-1 missingness indicator"),
-    (r"^(log_amount|amount_decile)$", "Tier-1 amount transform"),
-    (r"^(hour_of_day|is_business_hours|hour_sin|hour_cos|day_of_week|is_weekend)$", "Tier-1 time feature"),
-    (r"^[PR]_emaildomain_", "Tier-1 email-domain feature"),
-    (r"^V", "Vesta-engineered V feature"),
-    (r"^C", "Vesta-engineered C feature"),
-    (r"^D", "Vesta-engineered D feature"),
-    (r"^M", "Vesta-engineered M flag"),
-    (r"^id_", "Identity / device feature"),
-]
-
-
-def feature_family(name: Column) -> Column:
-    out = None
-    for pattern, text in FEATURE_FAMILIES:
-        hit = name.rlike(pattern)
-        out = F.when(hit, text) if out is None else out.when(hit, text)
-    return out.otherwise("raw")
+def importances(model, features: list[str], df: DataFrame, families: dict[str, str] | None = None) -> DataFrame:
+    """All features by importance, highest first, with the family given for them."""
+    known = families or {}
+    rows = [(f, float(v), known.get(f, OTHER)) for f, v in zip(features, model.featureImportances.toArray())]
+    return df.sparkSession.createDataFrame(rows, "feature string, importance double, family string").orderBy(F.desc("importance"), "feature")
+
+
+RAW, OTHER = "raw", "other"
+
+
+def feature_families(made: list[tuple[str, str]], raw: list[str]) -> dict[str, str]:
+    """Family of each known column: the generator that made it, by (generator, feature), or `raw` for an input column."""
+    return {c: RAW for c in raw} | {feature: generator for generator, feature in made}
 
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> list[tuple[str, float, float, float]]:

@@ -187,18 +187,21 @@ MIN_AGREEMENT, MIN_IMPROVEMENT, MAX_P = 0.85, 0.02, 0.05
 
 
 def verdict(report: DataFrame) -> DataFrame:
-    """Promotion decision and reasons from agreement_rate, cost_improvement and p_value."""
-    a, c, p = F.col("agreement_rate"), F.col("cost_improvement"), F.col("p_value")
-    ok_a, ok_c, ok_p = (F.coalesce(x, F.lit(False)) for x in (a > MIN_AGREEMENT, c > MIN_IMPROVEMENT, p < MAX_P))
-
-    def reason(ok: Column, known: Column, passed: Column, failed: Column, undefined: str) -> Column:
-        return F.when(~known, F.lit(f"FAIL: {undefined} undefined (labels required)")).when(ok, passed).otherwise(failed)
-
-    reasons = F.array(
-        F.when(ok_a, F.format_string("PASS: agreement_rate=%.4f > 0.85", a)).otherwise(F.format_string("FAIL: agreement_rate=%.4f not > 0.85", a)),
-        reason(ok_c, c.isNotNull(), F.format_string("PASS: cost_improvement=%.2f%% > 2%%", c * 100), F.format_string("FAIL: cost_improvement=%.2f%% not > 2%%", c * 100), "cost_improvement"),
-        reason(ok_p, p.isNotNull(), F.format_string("PASS: p_value=%.4f < 0.05", p), F.format_string("FAIL: p_value=%.4f not < 0.05", p), "p_value"))
-    return report.withColumns({"agreement_pass": ok_a, "cost_improvement_pass": ok_c, "p_value_pass": ok_p, "promote": ok_a & ok_c & ok_p, "reasons": reasons})
+    """Promotion decision from agreement_rate, cost_improvement and p_value.
+
+    `criteria` has (criterion, value, needed, passed) of each; `reasons` says the same in words. A value that needs
+    labels and has none fails.
+    """
+    rules = [("agreement_rate", MIN_AGREEMENT, True), ("cost_improvement", MIN_IMPROVEMENT, True), ("p_value", MAX_P, False)]
+    ok = {c: F.coalesce(F.col(c) > need if above else F.col(c) < need, F.lit(False)) for c, need, above in rules}
+    criteria = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(c).cast("double").alias("value"), F.lit(need).alias("needed"), ok[c].alias("passed")) for c, need, _ in rules])
+
+    def words(c: str, need: float, above: bool) -> Column:
+        shown = F.coalesce(F.format_string("is %.4f", F.col(c)), F.lit("is unknown"))
+        return F.concat(F.when(ok[c], "PASS").otherwise("FAIL"), F.lit(f" {c} "), shown, F.lit(f", {'above' if above else 'below'} {need:g} needed"))
+
+    out = {f"{c.removesuffix('_rate')}_pass": x for c, x in ok.items()}
+    return report.withColumns({**out, "promote": ok["agreement_rate"] & ok["cost_improvement"] & ok["p_value"], "criteria": criteria, "reasons": F.array(*[words(*r) for r in rules])})
 
 
 def join_shadow(predictions: DataFrame, shadow: DataFrame, labels: DataFrame) -> DataFrame:

@@ -116,8 +116,8 @@ def missing_by_family(table: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_columns"), F.avg("null_rate").alias("mean_null_rate"))
 
 
-def predictive_missingness(df: DataFrame, columns: list[str], top: int = 20, min_n: int = 500, label: str = LABEL) -> DataFrame:
-    """Label rate where a column is missing against where it is not, for the columns most often missing."""
+def predictive_missingness(df: DataFrame, columns: list[str], min_n: int = 500, label: str = LABEL) -> DataFrame:
+    """Label rate where a column is missing against where it is not, for every column with `min_n` rows of both kinds."""
     y = F.col(label).cast("long")
     aggs = []
     for c in columns:
@@ -126,7 +126,7 @@ def predictive_missingness(df: DataFrame, columns: list[str], top: int = 20, min
             F.count_if(gone).alias("n_null"), F.count_if(~gone).alias("n_not_null"),
             F.coalesce(F.sum(F.when(gone, y)), F.lit(0)).alias("k_null"), F.coalesce(F.sum(F.when(~gone, y)), F.lit(0)).alias("k_not_null")).alias(c))
     long = df.agg(*aggs).unpivot([], columns, "column", "s").select("column", "s.*")
-    long = long.orderBy(F.desc("n_null"), "column").limit(top).where((F.col("n_null") >= min_n) & (F.col("n_not_null") >= min_n))
+    long = long.where((F.col("n_null") >= min_n) & (F.col("n_not_null") >= min_n))
     low0, high0 = wilson(F.col("k_null"), F.col("n_null"))
     low1, high1 = wilson(F.col("k_not_null"), F.col("n_not_null"))
     return long.withColumns({
@@ -248,14 +248,14 @@ def correlation_summary(pairs: DataFrame, limit: float = 0.95) -> DataFrame:
     return high.agg(F.count(F.lit(1)).alias("n_high_pairs")).crossJoin(partners)
 
 
-def scree(df: DataFrame, columns: list[str], k: int = 30) -> DataFrame:
-    """Share of variance per principal component after median imputation; all-null columns are left out."""
+def scree(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of variance of every principal component after median imputation; all-null columns are left out."""
     from pyspark.ml.feature import PCA
 
     mid = medians(df, columns)
     used = [c for c in columns if c in mid]
     filled = vector(df.select(*used).fillna(mid), used)
-    model = PCA(k=min(k, len(used)), inputCol="x", outputCol="p").fit(filled)
+    model = PCA(k=len(used), inputCol="x", outputCol="p").fit(filled)
     shares = [float(v) for v in model.explainedVariance.toArray()]
     rows, total = [], 0.0
     for i, s in enumerate(shares):

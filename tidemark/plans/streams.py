@@ -14,13 +14,18 @@ from tidemark.session import scratch_path
 from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, table, transaction_columns, transactions
 from tidemark.streaming import rates as R
 from tidemark.streaming.features import DecayStream, VelocityStream, per_batch
-from tidemark.streaming.runner import drain, drain_batches, event_stream
+from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream
 
 
 def prediction_stream(spark, sf):
     return prediction_columns(event_stream(spark, sf))
 
 
+def closed_predictions(spark, sf):
+    """The decision log up to its end: every window closes."""
+    return prediction_columns(closed_event_stream(spark, sf))
+
+
 def t1s(spark, sf):
     job = VelocityStream(spark, delay=3600)
     job.run(transaction_columns(event_stream(spark, sf)))
@@ -64,12 +69,8 @@ def t3s(spark, sf):
 
 T3_SQL = f"""WITH {TXN_SQL} SELECT count(*) AS emitted, count(*) FILTER ("TransactionDT" < {5 * 86400}) AS late FROM txn"""
 
-# Windows appear once the watermark has passed their end.
-MARK = "(SELECT max(created_at) - INTERVAL 10 MINUTES FROM preds)"
-
-
 def _t4(spark, sf):
-    return drain(R.block_rate(prediction_stream(spark, sf)), "block-rate")
+    return drain(R.block_rate(closed_predictions(spark, sf)), "block-rate")
 
 
 def t4s(spark, sf):
@@ -78,17 +79,17 @@ def t4s(spark, sf):
 
 SLIDE_SQL = f"""{PREDICTIONS_SQL},
 w AS (SELECT time_bucket(INTERVAL 1 MINUTE, created_at) - INTERVAL 1 MINUTE * i AS ws, decision FROM preds, (SELECT unnest(range(0, 5)) AS i)),
-win AS (SELECT ws, ws + INTERVAL 5 MINUTES AS we, count(*) AS total, count(*) FILTER (decision = 'block') AS hits FROM w GROUP BY ws HAVING ws + INTERVAL 5 MINUTES <= {MARK})"""
+win AS (SELECT ws, ws + INTERVAL 5 MINUTES AS we, count(*) AS total, count(*) FILTER (decision = 'block') AS hits FROM w GROUP BY ws)"""
 T4_SQL = f"""WITH {SLIDE_SQL}
 SELECT epoch(ws)::BIGINT AS window_start, epoch(we)::BIGINT AS window_end, total, hits, {sql6('hits::DOUBLE / total')} AS share, hits::DOUBLE / total > 0.15 AS breach FROM win"""
 
 
 def t5s(spark, sf):
-    return round_columns(drain(R.latency_quantile(prediction_stream(spark, sf), size="1 hour", limit=0.01), "latency"))
+    return round_columns(drain(R.latency_quantile(closed_predictions(spark, sf), size="1 hour", limit=0.01), "latency"))
 
 
 T5_SQL = f"""WITH {PREDICTIONS_SQL}, bnd AS (SELECT unnest({config.LATENCY_BOUNDS + [1e18]}::DOUBLE[]) AS le),
-p AS (SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS ws, latency_ms / 1000.0::DOUBLE AS x FROM preds WHERE time_bucket(INTERVAL 1 HOUR, created_at) + INTERVAL 1 HOUR <= {MARK}),
+p AS (SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS ws, latency_ms / 1000.0::DOUBLE AS x FROM preds),
 h AS (SELECT ws, le, count(*) FILTER (x <= le) AS n, count(*) AS total FROM p, bnd GROUP BY 1, 2),
 l AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lo, coalesce(lag(n) OVER w, 0) AS below FROM h WINDOW w AS (PARTITION BY ws ORDER BY le)),
 v AS (SELECT ws, total, CASE WHEN le > 1e17 THEN lo ELSE lo + (le - lo) * (0.95 * total - below) / (n - below) END AS latency FROM l WHERE n >= 0.95 * total AND below < 0.95 * total)
@@ -96,7 +97,7 @@ SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 3600 AS window_end
 
 
 def shadow_stream(spark, sf):
-    ev = event_stream(spark, sf)
+    ev = closed_event_stream(spark, sf)
     p = prediction_columns(ev)
     lag = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("k") % 60).cast("decimal(18,6)"))
     other = F.when(F.col("score") + ((F.col("k") * 7) % 11 - 5) / 100.0 >= 0.08, "block").otherwise("allow")
@@ -104,19 +105,12 @@ def shadow_stream(spark, sf):
 
 
 def t6s(spark, sf):
-    out = drain(R.disagreement(prediction_stream(spark, sf), shadow_stream(spark, sf)), "disagreement")
-    # The last hour's windows may still be open when the stream ends.
-    return round_columns(out.where(F.col("window_end") <= _last_hour(spark, sf)))
-
-
-def _last_hour(spark, sf):
-    day = table(spark, sf, "events").agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("m")).first()["m"]
-    return day - 3600
+    return round_columns(drain(R.disagreement(closed_predictions(spark, sf), shadow_stream(spark, sf)), "disagreement"))
 
 
 T6_SQL = f"""WITH {PREDICTIONS_SQL}, x AS (SELECT time_bucket(INTERVAL 15 MINUTES, created_at) AS ws, decision <> CASE WHEN score + ((k * 7) % 11 - 5)::DOUBLE / 100.0::DOUBLE >= 0.08 THEN 'block' ELSE 'allow' END AS d FROM preds),
 g AS (SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 900 AS window_end, count(*) AS total, count(*) FILTER (d) AS hits FROM x GROUP BY ws)
-SELECT window_start, window_end, total, hits, {sql6('hits::DOUBLE / total')} AS share, hits::DOUBLE / total > 0.1 AS breach FROM g WHERE window_end <= (SELECT epoch(date_trunc('second', max(created_at)))::BIGINT - 3600 FROM preds)"""
+SELECT window_start, window_end, total, hits, {sql6('hits::DOUBLE / total')} AS share, hits::DOUBLE / total > 0.1 AS breach FROM g"""
 
 HALF = 15 * 86400
 DRIFT_FEATURES = ["TransactionAmt", "k", "score", "id_01"]
@@ -144,27 +138,27 @@ T7_SQL = f"WITH {BASE_SQL}\nSELECT f AS feature_name, {sql6('psi')} AS psi, {sql
 
 
 def t8s(spark, sf):
-    return round_columns(drain(R.error_rate(prediction_stream(spark, sf), "6 hours"), "errors"))
+    return round_columns(drain(R.error_rate(closed_predictions(spark, sf), "6 hours"), "errors"))
 
 
 T8_SQL = f"""WITH {PREDICTIONS_SQL}, w AS (SELECT time_bucket(INTERVAL 6 HOURS, created_at) AS ws, count(*) AS total, count(*) FILTER (status >= 500) AS hits FROM preds GROUP BY 1)
-SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 21600 AS window_end, total, hits, {sql6('hits::DOUBLE / total')} AS share, hits::DOUBLE / total > 0.01 AS breach FROM w WHERE ws + INTERVAL 6 HOURS <= {MARK}"""
+SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 21600 AS window_end, total, hits, {sql6('hits::DOUBLE / total')} AS share, hits::DOUBLE / total > 0.01 AS breach FROM w"""
 
 
 def t9s(spark, sf):
-    return drain(R.decision_mix(prediction_stream(spark, sf)), "decision-mix")
+    return drain(R.decision_mix(closed_predictions(spark, sf)), "decision-mix")
 
 
 T9_SQL = f"""WITH {PREDICTIONS_SQL}, w AS (SELECT time_bucket(INTERVAL 1 MINUTE, created_at) AS ws, decision, count(*) AS n FROM preds GROUP BY 1, 2)
-SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 60 AS window_end, decision, n FROM w WHERE ws + INTERVAL 1 MINUTE <= {MARK}"""
+SELECT epoch(ws)::BIGINT AS window_start, epoch(ws)::BIGINT + 60 AS window_end, decision, n FROM w"""
 
 
 def t10s(spark, sf):
-    return drain(R.score_distribution(prediction_stream(spark, sf), "6 hours"), "scores")
+    return drain(R.score_distribution(closed_predictions(spark, sf), "6 hours"), "scores")
 
 
 _LE = " UNION ALL ".join([f"SELECT ws, {b!r}::DOUBLE AS le, count(*) FILTER (score <= {b!r}::DOUBLE) AS n FROM p GROUP BY 1" for b in config.SCORE_BOUNDS] + ["SELECT ws, NULL, count(*) FROM p GROUP BY 1"])
-T10_SQL = f"""WITH {PREDICTIONS_SQL}, p AS (SELECT time_bucket(INTERVAL 6 HOURS, created_at) AS ws, score FROM preds WHERE time_bucket(INTERVAL 6 HOURS, created_at) + INTERVAL 6 HOURS <= {MARK}), h AS ({_LE})
+T10_SQL = f"""WITH {PREDICTIONS_SQL}, p AS (SELECT time_bucket(INTERVAL 6 HOURS, created_at) AS ws, score FROM preds), h AS ({_LE})
 SELECT epoch(ws)::BIGINT AS window_start, le, n FROM h"""
 
 

@@ -171,16 +171,17 @@ scored AS (
   FROM txn
 )"""
 
-N_VECTOR_COLUMNS = 24
+N_VECTOR_COLUMNS = 64  # positions of `embedding` in the given tables, for the SQL text; the query reads the width from the data
 
 
-def wide_block(spark: SparkSession, sf_dir: str, n: int = N_VECTOR_COLUMNS) -> DataFrame:
-    """A numeric block V1..Vn from `embeddings`; three missing-value patterns, some near copies.
+def wide_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A numeric block V1..Vn from every position of `embeddings`; three missing-value patterns, some near copies.
 
     V3 follows V1 and V9 follows V8 closely enough to be pruned as correlated.
     """
     e = table(spark, sf_dir, "embeddings")
     vid = F.col("vec_id")
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
 
     def raw(i: int) -> Column:
         return F.element_at("embedding", i).cast("double")

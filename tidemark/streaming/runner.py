@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import ready, scratch_path
 
@@ -17,6 +18,18 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parque
     return reader.parquet(folder)
 
 
+def closed_event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", days: int = 3) -> DataFrame:
+    """The event files of a folder, and one last event `days` after the latest: it moves the watermark past every window before it.
+
+    Its own windows stay open, so it shows in no result.
+    """
+    events = ready(spark).read.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+    last = events.agg((F.max("ts") + F.make_dt_interval(F.lit(days))).alias("ts")).where(F.col("ts").isNotNull())
+    path = scratch_path(spark, "closing-event")
+    last.select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props")).write.parquet(path)
+    return event_stream(spark, folder, pattern).unionByName(spark.readStream.schema(EVENT_SCHEMA).parquet(path))
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process everything available into Parquet files and read them back.
 
