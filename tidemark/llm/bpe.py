@@ -26,17 +26,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import Texts, blocks, encoded, words
-from tidemark.llm.common import packed, unpacked
+from tidemark.llm.common import unpacked
 from tidemark.llm.packing import _byte_names
 
 _END = "\x00"  # stands for the end-of-word suffix: one character, so that the automaton sees one symbol
 _NONE = np.int64(1) << 40  # later than any merge
-TOKENS_AT_ONCE = 4 << 20
-CACHE_RUNS = 300_000  # different runs whose ids a worker remembers
+TEXT_AT_ONCE, TOKENS_AT_ONCE = 2 << 20, 1 << 20  # bytes and tokens of a part; a longer text is a part of its own
+CACHE_RUNS = 250_000  # different runs whose ids a worker remembers
 
 
 class WordBpe:
@@ -49,23 +49,23 @@ class WordBpe:
             held = json.load(f)
         model = held["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.normalise = _normaliser(held["normalizer"])
         self.pattern = regex.compile(_split_pattern(held["pre_tokenizer"]))
         self.names = {b: c for b, c in _byte_names().items()}  # for str.translate on latin-1 text
-        size = max(max(self.vocab.values()), *self.special.values()) + 1
-        self.strings = pa.array([s for s, _ in sorted([*self.vocab.items(), *self.special.items()], key=lambda x: x[1])], pa.string())
+        size = max(max(vocab.values()), *self.special.values()) + 1
+        self.strings = pa.array([s for s, _ in sorted([*vocab.items(), *self.special.items()], key=lambda x: x[1])], pa.string())
         if len(self.strings) != size:
             raise ValueError("ids have gaps")
         symbol = lambda s: s[: -len(self.suffix)] + _END if self.suffix and s.endswith(self.suffix) else s
-        self.symbols = {symbol(s): i for s, i in self.vocab.items()}
+        self.symbols = {symbol(s): i for s, i in vocab.items()}
         self.made = np.zeros(len(model["merges"]), np.int64)  # the token that each merge gives
         ranks: dict[tuple[int, int], int] = {}
         left, right, born = np.full(size, -1, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         for k, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
-            x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
+            x, y, z = vocab[a], vocab[b], vocab[a + b]
             ranks[x, y], self.made[k] = k, z
             if born[z] < 0:
                 left[z], right[z], born[z] = x, y, k
@@ -79,8 +79,8 @@ class WordBpe:
             if len(s.replace(_END, "")) == 1 or born[i] >= 0:
                 self.greedy.add_word(s, (i, len(s)))
         self.greedy.make_automaton()
-        self._known: dict[bytes, np.ndarray] = {}
-        self._words: dict[str, np.ndarray] = {}
+        self._known: dict[bytes, bytes] = {}  # ids as 32-bit bytes
+        self._words: dict[str, bytes] = {}
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether token a followed by token b is what merging their joined symbols gives.
@@ -106,7 +106,7 @@ class WordBpe:
             x, y = np.where(down_x, self.right[x], x), np.where(down_x, y, self.left[y])
         return good
 
-    def merged(self, marked: list[str]) -> list[np.ndarray]:
+    def merged(self, marked: list[str]) -> list[bytes]:
         """Exact merges of words with their end marks: in each round every word makes its lowest-ranked merge, wherever it occurs.
 
         A merge of higher rank than the round's can't come first, and the pairs a merge creates rank after
@@ -116,13 +116,13 @@ class WordBpe:
         parts = [[*(symbols[c] for c in w[:-2]), symbols[w[-2:]]] for w in marked]
         word = np.repeat(np.arange(len(parts)), np.fromiter(map(len, parts), np.int64, len(parts)))
         ids = np.fromiter((i for p in parts for i in p), np.int64, len(word))
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(parts)
+        out = [b""] * len(parts)
 
         def settle(ids: np.ndarray, word: np.ndarray) -> None:
             cuts = np.flatnonzero(np.diff(word)) + 1
-            small = ids.astype(np.int32)
+            raw = ids.astype("<i4").tobytes()
             for w, a, b in zip(word[np.append(0, cuts)].tolist() if len(word) else [], [0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-                out[w] = small[a:b]
+                out[w] = raw[4 * a: 4 * b]
 
         while len(ids):
             rank = np.full(len(ids), _NONE)  # of the pair that starts here
@@ -169,11 +169,11 @@ class WordBpe:
         same = np.flatnonzero(of[1:] == of[:-1])
         pairs, back = np.unique(ids[same] * self.size + ids[same + 1], return_inverse=True)
         failed[of[same[~self.compatible(pairs // self.size, pairs % self.size)[back]]]] = True
-        start = np.searchsorted(of, np.arange(len(new) + 1))
-        ids = ids.astype(np.int32)
+        start = (4 * np.searchsorted(of, np.arange(len(new) + 1))).tolist()
+        raw = ids.astype("<i4").tobytes()
         for k, (w, bad) in enumerate(zip(new, failed.tolist())):
             if not bad:
-                self._words[w] = ids[start[k]: start[k + 1]]
+                self._words[w] = raw[start[k]: start[k + 1]]
         again = np.flatnonzero(failed).tolist()
         self._words.update(zip([new[k] for k in again], self.merged([marked[k] for k in again])))
         return int(failed.sum())
@@ -193,7 +193,7 @@ class WordBpe:
         if new:
             self.encode_words(new)
         for r, ws in zip(runs, parts):
-            self._known[r] = known[ws[0]] if len(ws) == 1 else np.concatenate([known[w] for w in ws]) if ws else np.zeros(0, np.int32)
+            self._known[r] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
 
     def one(self, text: str) -> np.ndarray:
         """Ids of a text with special tokens in it."""
@@ -219,8 +219,8 @@ class WordBpe:
             if lost := [r for r in runs if r not in self._known]:  # the memory was cleared
                 self._learn(lost)
         own = [self._known[r] for r in runs]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        held = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.array(np.concatenate(own) if own else np.zeros(0, np.int32), pa.int32()))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        held = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.array(np.frombuffer(b"".join(own), "<i4")))
         flat = held.take(pa.array(codes)).flatten()
         at = np.concatenate([[0], np.cumsum(sizes[codes] if len(codes) else np.zeros(0, np.int64))])[before].astype(np.int64)
         out = pa.LargeListArray.from_arrays(pa.array(at), flat)
@@ -233,15 +233,9 @@ class WordBpe:
 
     def decode(self, ids: pa.Array) -> pa.Array:
         """The text of each list of ids; null stays null."""
-        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        flat, parts = ids.flatten(), []
-        block = (starts[1:] - counts) // TOKENS_AT_ONCE
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(counts)] if len(counts) else [0]
-        for a, b in zip(cuts, cuts[1:]):
-            values = self.strings.take(flat.slice(starts[a], starts[b] - starts[a]))
-            parts.append(pc.binary_join(pa.ListArray.from_arrays(pa.array((starts[a: b + 1] - starts[a]).astype(np.int32)), values), " "))
-        joined = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(starts, self.strings.take(ids.flatten())), " ")
         return pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.string()))
 
 
@@ -290,29 +284,34 @@ def tokenizer(path: str) -> WordBpe:
     return _TOKENIZERS[path]
 
 
-def _added(df: DataFrame, source: str, fn, kind: str, name: str) -> DataFrame:
-    """`df` with the column `name`, which replaces one of that name."""
-    names = [c for c in df.columns if c.lower() != name.lower()]
-    rows = packed(df, F.col(f"`{source}`").alias("given"))
+def _added(df: DataFrame, source: Column, parts, fn, kind: str, name: str, keep: list[str] | None) -> DataFrame:
+    """The columns `keep` of `df` and the column `name`, which replaces one of that name; a batch is worked on and returned in parts of bounded size."""
+    names = [c for c in (keep or df.columns) if c.lower() != name.lower()]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), source.alias("given"))
     row_type = rows.schema["row"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), fn(batch.column(1))], names=["row", "made"])
 
     return rows.mapInArrow(run, f"row {row_type}, made {kind}").select(*unpacked(df, names), F.col("made").alias(name))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`df` with the token ids of `text` in the array column `ids`."""
-    def run(column: pa.Array) -> pa.Array:
-        batch, run = pa.RecordBatch.from_arrays([column], names=["t"]), tokenizer(path)
-        parts = [run(b.column(0)).cast(pa.list_(pa.int32())) for b in blocks(batch, 0)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+def _by_tokens(batch: pa.RecordBatch):
+    """Parts of a batch of id lists with about TOKENS_AT_ONCE tokens."""
+    counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (np.cumsum(counts) - counts) // TOKENS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(counts)] if len(counts) else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
-    return _added(df.withColumn(text, F.col(f"`{text}`").cast("string")), text, run, "array<int>", ids)
 
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `df` (all by default) and the token ids of `text` in the array column `ids`."""
+    part = lambda batch: blocks(batch, 1, TEXT_AT_ONCE)
+    return _added(df, F.col(f"`{text}`").cast("string"), part, lambda column: tokenizer(path)(column).cast(pa.list_(pa.int32())), "array<int>", ids, keep)
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`df` with the text of the id lists in `ids`; null ids give null."""
-    return _added(df, ids, lambda column: tokenizer(path).decode(column), "string", text)
+
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `df` (all by default) and the text of the id lists in `ids`; null ids give null."""
+    return _added(df, F.col(f"`{ids}`").cast("array<int>"), _by_tokens, lambda column: tokenizer(path).decode(column), "string", text, keep)
