@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
 from tidemark.operators import velocity as V
-from tidemark.operators.leakcheck import future_leaks
+from tidemark.operators.leakcheck import future_leaks, leaks_of_any_past
 
 SCHEMA = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, addr1 int, DeviceInfo string, P_emaildomain string, isFraud int, hour_of_day int"
 
@@ -212,3 +212,12 @@ def test_an_old_past_stays_positive(spark):
     assert math.isclose(got["a", gap], math.exp(-500), rel_tol=1e-9)
     assert math.isclose(got["a", gap + 3600], math.exp(-500 - lam), rel_tol=1e-9)
     assert math.isclose(got["b", gap + 3610], math.exp(-500) + math.exp(-500 - lam), rel_tol=1e-9)
+
+
+def test_a_leak_across_entities_is_seen(spark):
+    rows = [(i, i * 100, float(i % 7), i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, x double, card1 int")
+    whole = lambda d: d.crossJoin(d.agg(F.avg("x").alias("m")))
+    past = lambda d: d.withColumn("m", F.expr("sum(x) OVER (ORDER BY TransactionDT)"))
+    assert leaks_of_any_past(df, whole, "m", n=4).first()["violations"] == 4
+    assert leaks_of_any_past(df, past, "m", n=4).first()["violations"] == 0

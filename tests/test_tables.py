@@ -38,10 +38,10 @@ def test_identity_headers(spark, tmp_path):
 
 def test_merge_rejects_duplicates(spark):
     tx = spark.createDataFrame([(1,), (2,)], "TransactionID long")
-    with pytest.raises(ValueError, match="identity"):
-        S.merge_identity(tx, spark.createDataFrame([(1, "a"), (1, "b")], "TransactionID long, d string"))
-    with pytest.raises(ValueError, match="transactions"):
-        S.merge_identity(tx.unionAll(tx), spark.createDataFrame([(1, "a")], "TransactionID long, d string"))
+    with pytest.raises(Exception, match="duplicate TransactionID in identity"):
+        S.merge_identity(tx, spark.createDataFrame([(1, "a"), (1, "b")], "TransactionID long, d string")).collect()
+    with pytest.raises(Exception, match="duplicate TransactionID in transactions"):
+        S.merge_identity(tx.unionAll(tx), spark.createDataFrame([(1, "a")], "TransactionID long, d string")).collect()
 
 
 def test_empty_append_leaves_nothing(spark, tmp_path):

@@ -21,6 +21,7 @@ from tidemark.operators import graph as G
 from tidemark.operators import model as L
 from tidemark.operators import reduce as R
 from tidemark.operators import velocity as V
+from tidemark.operators.profile import numbered
 
 ID = "TransactionID"
 
@@ -135,12 +136,13 @@ def _behaviour(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Encoding:
-    columns: tuple[str, ...] = ("addr1", "P_emaildomain")
+    columns: tuple[str, ...] = ("card4", "addr1", "P_emaildomain")  # those that the training rows have
     rationale: str = "Smoothed label rate of the category, from other folds on the training rows."
     tables: dict = field(default_factory=dict)
     prior: DataFrame | None = None
 
     def fit(self, train):
+        self.columns = tuple(c for c in self.columns if c in train.columns)
         self.prior = train.agg(F.avg(F.col("isFraud").cast("double")).alias("prior"))
         self.tables = {c: E.fit_encoding(train, c) for c in self.columns}
 
@@ -198,12 +200,13 @@ DEFAULT = [
 
 
 class FeatureChain:
-    """Named generators in order, with an optional thinning of the V block at the end."""
+    """Named generators in order, and the thinning of the V block at the end, which can be left out."""
 
-    def __init__(self, parts: list[tuple[str, FeatureGenerator]] | None = None, thin_columns: bool = False):
+    def __init__(self, parts: list[tuple[str, FeatureGenerator]] | None = None, thin_columns: bool = True):
         self.parts = parts if parts is not None else [(n, make()) for n, make in DEFAULT]
         self.thin_columns = thin_columns
         self.groups: list[R.Group] = []
+        self.dropped: list[str] = []
         self.features: list[tuple[str, str, str, str]] = []
 
     def _join(self, rows: DataFrame, frames: list[DataFrame]) -> DataFrame:
@@ -220,16 +223,15 @@ class FeatureChain:
             frames.append(frame)
             self.features += [(name, c, t, part.rationale) for c, t in frame.dtypes if c != ID]
         out = self._join(train, frames)
-        if self.thin_columns:
+        if self.thin_columns and numbered(train.columns):
             self.groups = R.prune_correlated(train, "isFraud")
-            out = R.apply_pruning(out, self.groups)
-        return out
+            self.dropped = [d["column"] for g in self.groups for d in g.dropped]
+        return out.drop(*self.dropped)
 
     def transform(self, rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Features of later rows. Without `history` past features see the slice alone; with it, the
         training rows' past flows on."""
-        out = self._join(rows, [part.later(rows, history) for _, part in self.parts])
-        return R.apply_pruning(out, self.groups) if self.groups else out
+        return self._join(rows, [part.later(rows, history) for _, part in self.parts]).drop(*self.dropped)
 
     def families(self, raw: list[str]) -> dict[str, str]:
         """Family of every feature and raw column."""
@@ -243,13 +245,14 @@ class FeatureChain:
 
     def save(self, spark, path: str) -> None:
         """Learned tables as Parquet, learned numbers and the manifest as JSON."""
-        numbers = {"seed": config.SEED}
+        numbers = {"seed": config.SEED, "dropped": self.dropped}
         for name, part in self.parts:
             if isinstance(part, Amount):
                 numbers["amount_edges"] = part.edges
             elif isinstance(part, Missing):
                 numbers["missing_columns"] = part.columns
             elif isinstance(part, Encoding):
+                numbers["encoded"] = list(part.columns)
                 part.prior.write.parquet(f"{path}/{name}/prior")
                 for c, table in part.tables.items():
                     table.write.parquet(f"{path}/{name}/{c}")
@@ -260,12 +263,14 @@ class FeatureChain:
     def load_tables(self, spark, path: str) -> FeatureChain:
         """Point fitted tables at their stored copies, so later rows do not recompute the training pass."""
         learned = json.loads(spark.read.json(f"{path}/manifest").first()["learned"])
+        self.dropped = learned["dropped"]
         for name, part in self.parts:
             if isinstance(part, Amount):
                 part.edges = learned["amount_edges"]
             elif isinstance(part, Missing):
                 part.columns = learned["missing_columns"]
             elif isinstance(part, Encoding):
+                part.columns = tuple(learned["encoded"])
                 part.prior = spark.read.parquet(f"{path}/{name}/prior")
                 part.tables = {c: spark.read.parquet(f"{path}/{name}/{c}") for c in part.columns}
             elif isinstance(part, Decay):

@@ -98,6 +98,10 @@ PRODUCT_CODES = ["C", "H", "R", "S", "W"]
 CARD4_BRANDS = ["american express", "discover", "mastercard", "visa"]
 CARD6_TYPES = ["charge card", "credit", "debit", "debit or credit"]
 
+# Which identity columns hold text; the others of id_01 to id_38 hold numbers.
+IDENTITY_TEXTS = [f"id_{k:02d}" for k in (12, 15, 16, 23, 27, 28, 29, 30, 31, 33, 34, 35, 36, 37, 38)]
+IDENTITY_NUMBERS = [c for c in (f"id_{k:02d}" for k in range(1, 39)) if c not in IDENTITY_TEXTS]
+
 RAW_TRANSACTIONS = Contract("raw_transactions", 1, [
     Rule("TransactionID", "long", nullable=False, unique=True),
     Rule("isFraud", "long", nullable=False, one_of=[0, 1]),
@@ -117,6 +121,8 @@ RAW_TRANSACTIONS = Contract("raw_transactions", 1, [
 RAW_IDENTITY = Contract("raw_identity", 1, [
     Rule("TransactionID", "long", nullable=False, unique=True),
     *[Rule(c, "string", required=False) for c in ("DeviceType", "DeviceInfo")],
+    *[Rule(c, "double", required=False) for c in IDENTITY_NUMBERS],
+    *[Rule(c, "string", required=False) for c in IDENTITY_TEXTS],
 ])
 MERGED = RAW_TRANSACTIONS.extend("merged", RAW_IDENTITY.rules[1:])
 INTERIM = MERGED.extend("interim", [

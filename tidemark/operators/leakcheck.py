@@ -24,7 +24,7 @@ def future_leaks(df: DataFrame, feature: Callable[[DataFrame], DataFrame], colum
 
     The sample size is fixed, so the sample is a bounded broadcast. Each sample sees its own copy of
     its entity's past, kept apart by prefixing ids and entity values with the sample id; the feature
-    may therefore depend on rows of the same `entity` value only.
+    may therefore depend on rows of the same `entity` value only. `leaks_of_any_past` has no such limit.
     """
     sample = cut_lineage(df.orderBy(hash_order(seed, ID), ID).limit(n).select(
         F.col(ID).alias("s_id"), F.col(TIME).alias("s_time"), F.col(entity).alias("s_entity")), "leak-sample")
@@ -41,6 +41,26 @@ def future_leaks(df: DataFrame, feature: Callable[[DataFrame], DataFrame], colum
     now = feature(df).select(F.col(ID), F.col(column).cast("double").alias("as_built"))
     now = now.join(F.broadcast(sample.select(F.col("s_id").alias(ID))), ID)
     both = now.withColumn("key", F.concat_ws("|", F.col(ID).cast("string"), F.col(ID).cast("string"))).join(again, "key", "left")
+    return _compared(both, rtol, atol)
+
+
+def leaks_of_any_past(df: DataFrame, feature: Callable[[DataFrame], DataFrame], column: str,
+                      n: int = 50, seed: int = SEED, rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
+    """The same for features that read rows of any entity: each sampled row is recomputed on all rows up to its time.
+
+    One job per sampled row, since nothing but time separates what the rows may see.
+    """
+    sample = df.orderBy(hash_order(seed, ID), ID).limit(n).select(ID, TIME).collect()  # n rows
+    now = feature(df).where(F.col(ID).isin([r[ID] for r in sample])).select(ID, F.col(column).cast("double").alias("as_built"))
+    again = []
+    for r in sample:
+        row = feature(df.where(F.col(TIME) <= r[TIME])).where(F.col(ID) == r[ID]).select(F.col(column).cast("double")).first()
+        again.append((r[ID], row[0] if row else None))
+    past = df.sparkSession.createDataFrame(again, f"{ID} {dict(df.dtypes)[ID]}, past_only double")
+    return _compared(now.join(F.broadcast(past), ID), rtol, atol)
+
+
+def _compared(both: DataFrame, rtol: float, atol: float) -> DataFrame:
     a, b = F.col("as_built"), F.col("past_only")
     same = (a.isNull() & b.isNull()) | (F.isnan(a) & F.isnan(b)) | (F.abs(a - b) <= atol + rtol * F.abs(b))
     return both.agg(

@@ -30,15 +30,21 @@ def assembled(df: DataFrame, features: list[str], fill: dict[str, float]) -> Dat
 
 
 def train_boosted(train: DataFrame, val: DataFrame, features: list[str], label: str = LABEL, rounds: int = 20, depth: int = 4,
-                  step: float = 0.1, subsample: float = 1.0, seed: int = config.SEED):
-    """Boosted trees weighted by class, stopped by the validation rows. Returns (model, fill values)."""
+                  step: float = 0.1, subsample: float = 1.0, columns: float = 1.0, least_rows: int = 1, least_gain: float = 0.0,
+                  least_weight: float = 0.0, bins: int = 32, seed: int = config.SEED):
+    """Boosted trees weighted by class, stopped by the validation rows. Returns (model, fill values).
+
+    `columns` is the share of features a split looks at, `least_rows` and `least_weight` what a leaf must hold,
+    `least_gain` what a split must gain.
+    """
     fill = {c: -999.0 for c in features}
     weight = class_weight(train, label)
     both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
     both = both.withColumn("w", F.when(F.col(label) == 1, weight).otherwise(1.0)).withColumn(label, F.col(label).cast("double"))
     x = assembled(both.select(*[F.col(c).cast("double").alias(c) for c in features], label, "w", "is_val"), features, fill)
     gbt = GBTClassifier(featuresCol="features", labelCol=label, weightCol="w", validationIndicatorCol="is_val", maxIter=rounds,
-                        maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=seed)
+                        maxDepth=depth, stepSize=step, subsamplingRate=subsample, featureSubsetStrategy="all" if columns >= 1 else str(columns),
+                        minInstancesPerNode=least_rows, minInfoGain=least_gain, minWeightFractionPerNode=least_weight, maxBins=bins, seed=seed)
     return gbt.fit(x), fill
 
 
@@ -134,20 +140,23 @@ def reasons(top: DataFrame, id_col: str = "TransactionID") -> DataFrame:
 
 
 def sampled_parameters(n: int, seed: int = config.SEED) -> list[dict[str, float]]:
-    """Seeded draws of tree depth, step, rounds and row share."""
+    """Seeded draws of the nine parameters; step, gain and leaf weight evenly on a log scale."""
     rng = np.random.default_rng(seed)
-    return [{"depth": int(rng.integers(2, 6)), "step": float(round(rng.uniform(0.05, 0.3), 3)), "rounds": int(rng.integers(5, 16)),
-             "subsample": float(round(rng.uniform(0.6, 1.0), 2))} for _ in range(n)]
+    log = lambda lo, hi: float(np.exp(rng.uniform(np.log(lo), np.log(hi))))
+    return [{"depth": int(rng.integers(2, 6)), "step": round(log(0.01, 0.3), 4), "rounds": int(rng.integers(5, 16)), "subsample": float(round(rng.uniform(0.6, 1.0), 2)),
+             "columns": float(round(rng.uniform(0.5, 1.0), 2)), "least_rows": int(rng.integers(1, 101)), "least_gain": log(1e-8, 1e-2), "least_weight": log(1e-6, 1e-2), "bins": int(rng.integers(16, 129))}
+            for _ in range(n)]
 
 
 def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, label: str = LABEL) -> DataFrame:
     """Validation AUC of each sampled parameter set, best first."""
     rows = []
     for i, p in enumerate(sampled_parameters(trials)):
-        model, fill = train_boosted(train, val, features, label, p["rounds"], p["depth"], p["step"], p["subsample"])
+        model, fill = train_boosted(train, val, features, label, **p)
         value = auc(score_rows(val, model, features, fill), label, "p").first()["auc"]
-        rows.append((i, p["depth"], p["step"], p["rounds"], p["subsample"], value))
-    return train.sparkSession.createDataFrame(rows, "trial int, depth int, step double, rounds int, subsample double, auc double").orderBy(F.desc("auc"), "trial")
+        rows.append((i, *p.values(), value))
+    schema = "trial int, depth int, step double, rounds int, subsample double, columns double, least_rows int, least_gain double, least_weight double, bins int, auc double"
+    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "trial")
 
 
 def label_quality(df: DataFrame, features: list[str], folds: int = 3, label: str = LABEL, limit: float = 0.05) -> DataFrame:

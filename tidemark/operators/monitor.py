@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -35,7 +35,7 @@ def drift_baseline(df: DataFrame, features: list[str], bins: int = config.PSI_BI
     # At most bins + 1 edges per feature.
     edges = q.groupBy("column").agg(F.array_sort(F.collect_set("quantile")).alias("edges")).where(F.size("edges") >= 2)
     interior = F.slice("edges", F.lit(2), F.size("edges") - 2)
-    filled = counts.join(edges, "column").groupBy("column", _bin_of(F.col("v"), interior).alias("bin_idx")).agg(F.sum("n").alias("n"))
+    filled = counts.join(F.broadcast(edges), "column").groupBy("column", _bin_of(F.col("v"), interior).alias("bin_idx")).agg(F.sum("n").alias("n"))
     bins_all = edges.select("column", "edges", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin_idx"))
     total = counts.groupBy("column").agg(F.sum("n").alias("n_baseline"))
     out = bins_all.join(filled, ["column", "bin_idx"], "left").join(total, "column")
@@ -63,25 +63,34 @@ def baseline_problems(baseline: DataFrame) -> DataFrame:
 def feature_psi(recent: DataFrame, baseline: DataFrame, features: list[str] | None = None) -> DataFrame:
     """(feature_name, psi, n_recent); NULL psi for a feature without baseline, column or recent values.
 
-    The baseline travels as one small array per feature, so a recent row meets one baseline row.
+    A baseline has one row per feature and bin. It is read once and becomes literal edges, so recent
+    rows are binned where they are read: one scan, and a shuffle of one row per feature, bin and task.
     """
     spark = recent.sparkSession
-    per_feature = baseline.groupBy("feature_name").agg(
-        F.array_sort(F.collect_list(F.struct("bin_idx", "edge_high", "baseline_pct"))).alias("bins"))
-    known = per_feature.select("feature_name") if features is None else spark.createDataFrame([(f,) for f in features], "feature_name string")
-    names = features if features is not None else [r[0] for r in per_feature.select("feature_name").collect()]
-    present = [f for f in names if f in recent.columns]
-    if present:
-        counts = long_form(recent, present).where(F.col("v").isNotNull()).groupBy(F.col("column").alias("feature_name"), "v").agg(F.count(F.lit(1)).alias("n"))
-        binned = counts.join(per_feature, "feature_name")
-        interior = F.transform(F.slice("bins", F.lit(1), F.size("bins") - 1), lambda b: b["edge_high"])
-        binned = binned.groupBy("feature_name", _bin_of(F.col("v"), interior).alias("bin_idx")).agg(F.sum("n").alias("n"))
-        seen = counts.groupBy("feature_name").agg(F.sum("n").alias("n_recent"))
-        terms = (baseline.select("feature_name", "bin_idx", "baseline_pct").join(seen, "feature_name").join(binned, ["feature_name", "bin_idx"], "left"))
-        value = terms.groupBy("feature_name").agg(
-            F.sum(psi_term(F.col("baseline_pct"), F.coalesce("n", F.lit(0)) / F.col("n_recent"))).alias("psi"), F.max("n_recent").alias("n_recent"))
-        return known.join(value, "feature_name", "left").fillna(0, ["n_recent"])
-    return known.withColumns({"psi": F.lit(None).cast("double"), "n_recent": F.lit(0).cast("long")})
+    held: dict[str, list] = {}
+    for r in baseline.select("feature_name", "bin_idx", "edge_high", "baseline_pct").orderBy("feature_name", "bin_idx").collect():
+        held.setdefault(r["feature_name"], []).append(r)
+    names = features if features is not None else sorted(held)
+    present = [f for f in names if f in held and f in recent.columns]
+    shares = [(f, r["bin_idx"], r["baseline_pct"]) for f in present for r in held[f]]
+    known = spark.createDataFrame([(f,) for f in names], "feature_name string")
+    if not present:
+        return known.withColumns({"psi": F.lit(None).cast("double"), "n_recent": F.lit(0).cast("long")})
+
+    def binned(f: str) -> Column:
+        v = F.col(f"`{f}`").cast("double")
+        at = F.aggregate(F.array(*[F.lit(r["edge_high"]) for r in held[f][:-1]]).cast("array<double>"), F.lit(0), lambda n, e: n + (v >= e).cast("int"))
+        return F.struct(F.lit(f).alias("feature_name"), F.when(v.isNotNull(), at).alias("bin_idx"))
+
+    counts = recent.select(F.explode(F.array(*[binned(f) for f in present])).alias("b")).where("b.bin_idx IS NOT NULL").groupBy("b.feature_name", "b.bin_idx").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.withColumn("n_recent", F.sum("n").over(Window.partitionBy("feature_name")))
+    wanted = F.broadcast(spark.createDataFrame(shares, "feature_name string, bin_idx int, baseline_pct double"))  # features x bins
+    # Bins without recent values count as empty: they add what their share alone gives.
+    per = total.groupBy("feature_name").agg(F.max("n_recent").alias("n_recent"), F.map_from_entries(F.collect_list(F.struct("bin_idx", "n"))).alias("held"))
+    terms = per.join(wanted, "feature_name")
+    value = terms.groupBy("feature_name").agg(
+        F.sum(psi_term(F.col("baseline_pct"), F.coalesce(F.try_element_at("held", F.col("bin_idx")), F.lit(0)) / F.col("n_recent"))).alias("psi"), F.max("n_recent").alias("n_recent"))
+    return known.join(value, "feature_name", "left").fillna(0, ["n_recent"])
 
 
 def top_drift(table: DataFrame, k: int) -> DataFrame:

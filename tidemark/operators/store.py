@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
+from tidemark.sources.tables import write_if_any
 
 
 def glob_pattern(glob: str) -> str:
@@ -45,10 +46,7 @@ def to_long(wide: DataFrame, entity_type: str, id_col: str, features: list[str],
 
 def write_snapshot(long: DataFrame, path: str) -> bool:
     """Append a snapshot; a frame without rows is no write."""
-    if long.isEmpty():
-        return False
-    long.write.mode("append").partitionBy("entity_type").parquet(path)
-    return True
+    return write_if_any(long, lambda rows: rows.write.mode("append").partitionBy("entity_type").parquet(path))
 
 
 def visible(long: DataFrame, as_of: int | Column) -> DataFrame:

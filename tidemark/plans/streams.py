@@ -14,7 +14,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, table, transaction_columns, transactions
 from tidemark.streaming import rates as R
 from tidemark.streaming.features import DecayStream, VelocityStream, per_batch
-from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream
+from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream, split_event_stream
 
 
 def prediction_stream(spark, sf):
@@ -28,7 +28,7 @@ def closed_predictions(spark, sf):
 
 def t1s(spark, sf):
     job = VelocityStream(spark, delay=3600)
-    job.run(transaction_columns(event_stream(spark, sf)))
+    job.run(transaction_columns(split_event_stream(spark, sf)))
     job.finish()
     return job.output()
 
@@ -40,7 +40,7 @@ T1_SQL = f"WITH {TXN_SQL}\nSELECT \"TransactionID\", " + ", ".join(
 
 def t2s(spark, sf):
     job = DecayStream(spark, ["card1", "addr1"])
-    job.run(transaction_columns(event_stream(spark, sf)))
+    job.run(transaction_columns(split_event_stream(spark, sf)))
     return round_columns(job.output())
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,13 +62,17 @@ def duplicate_keys(df: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def merge_identity(tx: DataFrame, identity: DataFrame, key: str = KEY, check: bool = True) -> DataFrame:
-    """One-to-one left join. Unique keys on both sides also fix the row count."""
-    if check:
-        for side, df in (("transactions", tx), ("identity", identity)):
-            found = duplicate_keys(df, key).limit(5).collect()
-            if found:
-                raise ValueError(f"duplicate {key} in {side}: {[r[0] for r in found]}")
-    return tx.join(identity, key, "left")
+    """One-to-one left join. Unique keys on both sides also fix the row count.
+
+    Keys are counted where the join has brought them together, so the guard costs no shuffle of its own;
+    a repeated key stops the job that reads the result.
+    """
+    def single(df: DataFrame, side: str) -> DataFrame:
+        stop = F.raise_error(F.concat(F.lit(f"duplicate {key} in {side}: "), F.col(key).cast("string"))).cast("boolean")
+        counted = df.withColumn("__held", F.count(F.lit(1)).over(Window.partitionBy(key)))
+        return counted.where(F.when(F.col("__held") > 1, stop).otherwise(True)).drop("__held")
+
+    return single(tx, "transactions").join(single(identity, "identity"), key, "left") if check else tx.join(identity, key, "left")
 
 
 def write_splits(df: DataFrame, path: str) -> None:
@@ -91,10 +95,19 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 def append_lines(df: DataFrame, path: str) -> bool:
     """Append records as JSON lines; writes nothing, not even a file, for an empty frame."""
-    if df.isEmpty():
-        return False
-    df.write.mode("append").json(path)
-    return True
+    return write_if_any(df, lambda rows: rows.write.mode("append").json(path))
+
+
+def write_if_any(df: DataFrame, write) -> bool:
+    """Write a frame that has rows. What the look at it computes is kept for the write."""
+    rows = df.persist()
+    try:
+        if rows.isEmpty():
+            return False
+        write(rows)
+        return True
+    finally:
+        rows.unpersist()
 
 
 def check_predictions(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from tidemark import config
 from tidemark.operators import history as H
 from tidemark.operators import velocity as V
 from tidemark.session import scratch_path
+from tidemark.sources.tables import write_if_any
 from tidemark.streaming.runner import drain_batches
 
 ID, TIME = V.ID, V.TIME
@@ -108,9 +109,15 @@ class VelocityStream:
         return self.store.all("late") if len(self.store.marks) > 1 else None
 
 
+FULL_EVERY = 16  # batches between two complete copies of the state
+
+
 class DecayStream:
     """Decayed counts and labels for arriving rows; the state is one row per (entity value, rate).
 
+    A batch writes the state of the entity values it holds; every FULL_EVERY batches the whole state is
+    written anew, so that reading it back takes the newest row among at most that many files.
+
     The state keeps what its last second added apart, because rows tied with that second must not see
     it. A row older than its entity's state cannot be read back in time: it is set aside as late.
     """
@@ -126,7 +133,7 @@ class DecayStream:
         store = self.store
         rows = batch.select(ID, TIME, V.LABEL, *self.entities)
         long = H.entity_rows(rows, self.entities, ID, TIME, [V.LABEL])
-        old = store.previous("state", epoch)
+        old = self._known(epoch)
         if old is not None:
             seen = old.select(*H.KEYS, "last_t").distinct()
             judged = long.join(seen, H.KEYS, "left")
@@ -140,12 +147,27 @@ class DecayStream:
         state = H.end_state(inst, self.lambdas, weights).join(newest, H.KEYS)
         if old is not None:
             feats = self._carry(feats, old)
-            state = self._merge(old, state)
+            whole = epoch % FULL_EVERY == 0
+            state = self._merge(old if whole else old.join(state.select(*H.KEYS).distinct(), H.KEYS, "left_semi"), state)
         cols = {V.ewm_name(e, w, lam): (e, f"{w}_{H.lambda_name(lam).replace('.', '_')}") for e in self.entities for lam in self.lambdas for w in weights}
         store.write("output", epoch, H.spread(rows, long, feats, ID, cols).fillna(0.0))
         store.write("state", epoch, state)
         store.commit(epoch, 0)
 
+    def _known(self, before: int) -> DataFrame | None:
+        """The newest state of every entity value before that batch."""
+        epochs = [e for e in self.store.marks if e < before]
+        if not epochs:
+            return None
+        first = max([e for e in epochs if e % FULL_EVERY == 0], default=min(epochs))
+        parts = [self.store.spark.read.parquet(self.store.path("state", e)).withColumn("epoch", F.lit(e)) for e in epochs if e >= first]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        rest = [c for c in every.columns if c not in (*H.KEYS, "lambda", "epoch")]
+        newest = every.groupBy(*H.KEYS, "lambda").agg(F.max_by(F.struct(*rest), "epoch").alias("s"))
+        return newest.select(*[c if c in (*H.KEYS, "lambda") else F.col(f"s.{c}").alias(c) for c in every.columns if c != "epoch"])
+
     def _carry(self, feats: DataFrame, old: DataFrame) -> DataFrame:
         """Add the earlier state, decayed to each instant."""
         aggs = [F.max("last_t").alias("last_t"), F.max("v_last").alias("v_last"), F.max("f_last").alias("f_last")]
@@ -177,7 +199,7 @@ class DecayStream:
         return self.store.all("output")
 
     def state(self) -> DataFrame:
-        return self.store.spark.read.parquet(self.store.path("state", max(self.store.marks)))
+        return self._known(max(self.store.marks) + 1)
 
     def late(self) -> DataFrame | None:
         return self.store.all("late") if len(self.store.marks) > 1 else None
@@ -186,8 +208,6 @@ class DecayStream:
 def per_batch(fn: Callable[[DataFrame], DataFrame], store_path: str) -> Callable[[DataFrame, int], None]:
     """A step that writes `fn(batch)` as JSON lines under the batch's number; empty results write nothing."""
     def step(batch: DataFrame, epoch: int) -> None:
-        out = fn(batch)
-        if not out.isEmpty():
-            out.write.mode("overwrite").json(f"{store_path}/epoch={epoch}")
+        write_if_any(fn(batch), lambda rows: rows.write.mode("overwrite").json(f"{store_path}/epoch={epoch}"))
 
     return step

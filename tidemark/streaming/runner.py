@@ -30,6 +30,18 @@ def closed_event_stream(spark: SparkSession, folder: str, pattern: str = "events
     return event_stream(spark, folder, pattern).unionByName(spark.readStream.schema(EVENT_SCHEMA).parquet(path))
 
 
+def split_event_stream(spark: SparkSession, folder: str, parts: int = 4, pattern: str = "events.parquet") -> DataFrame:
+    """The events of a folder as a stream of `parts` micro-batches: files by time, the later ones written later."""
+    events = ready(spark).read.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
+    day = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    path = scratch_path(spark, "event-files")
+    for k in range(parts):
+        at = F.lit(0) if span["lo"] is None else F.least(F.floor((day - span["lo"]) * parts / max(span["hi"] - span["lo"] + 1, 1)), F.lit(parts - 1))
+        events.where(at == k).coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process everything available into Parquet files and read them back.
 
