@@ -76,12 +76,13 @@ def words(texts: Texts, data: np.ndarray | None = None) -> tuple[np.ndarray, np.
     """Words (runs without ASCII white space): their bytes joined, their offsets there, and the number of words before each text."""
     data = texts.bytes if data is None else data
     inner = ~_SPACE[data]
-    start = inner.copy()
-    start[1:] &= ~inner[:-1]
-    start |= inner & texts.firsts()
-    before = np.concatenate([[0], np.cumsum(start)])[texts.at]
-    place = np.concatenate([[0], np.cumsum(inner)])
-    return data[inner], np.append(place[:-1][start], place[-1]), before
+    cut = texts.firsts()
+    cut[1:] |= ~inner[:-1]
+    cut[:1] = True
+    start = np.flatnonzero(inner & cut)
+    ends = inner.copy()
+    ends[:-1] &= ~inner[1:] | cut[1:]
+    return data[inner], np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - start)]), np.searchsorted(start, texts.at)
 
 
 def tiles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -101,5 +102,5 @@ def tiles(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     word = np.flatnonzero(~space & after)
     start[word - 1] = True
     start[word[data[word - 1] != 32]] = True
-    before = np.concatenate([[0], np.cumsum(start)])[texts.at]
-    return np.append(np.flatnonzero(start), len(data)), before
+    at = np.flatnonzero(start)
+    return np.append(at, len(data)), np.searchsorted(at, texts.at)

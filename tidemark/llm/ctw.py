@@ -21,8 +21,8 @@ The base line needs counts of all words. Each block of texts is coded against it
 entry per block, so it is no hot key.
 
 Defined cases: null text is empty and is scored as its end alone; without training texts counts are 0 and
-every choice has probability 1/2; rows are kept apart by a number of their own, so ids may repeat or be
-null; extra columns are ignored; an empty table gives no rows.
+every choice has probability 1/2; rows are told apart by id and text, so ids may repeat or be null, and
+repeated rows get a result each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ DEPTH = 5
 END = 255
 SLICE = 2_000_000
 WORD_BLOCK = 8 << 20
-MERGE_AT = 1_500_000  # counted grams a task holds before it merges them
+GRAM_BLOCK = 1 << 20
+MERGE_AT = 1_000_000  # counted grams a task holds before it merges them
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _HALF = np.log(0.5)
@@ -76,10 +77,10 @@ def count_grams(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in (b for whole in batches for b in blocks(whole, 0)):
+        for batch in (b for whole in batches for b in blocks(whole, 0, GRAM_BLOCK)):
             found, at = grams(Texts(batch.column(0)), depth)
             coded = pa.array(found).dictionary_encode()
-            train = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(float), np.diff(at))
+            train = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float32), np.diff(at))
             keys = coded.dictionary.to_numpy()
             held.append((keys, np.bincount(coded.indices.to_numpy(), train, len(keys))))
             size += len(keys)
@@ -202,8 +203,8 @@ def model(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def score_texts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(uid, score): log10 probability of each text; `rows` has uid, text and train."""
-    spark = rows.sparkSession
+    """(uid, score): log10 probability of each text; `rows` has uid, text and train, and rows of one uid are equal."""
+    spark, key = rows.sparkSession, rows.schema["uid"].dataType.simpleString()
     table, seen = cut_lineage(model(count_grams(rows.select("text", "train"), depth), depth), "llm-tree", n=F.count(F.lit(1)))
     slices = max(1, -(-seen["n"] // SLICE))
     parts = []
@@ -214,7 +215,7 @@ def score_texts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         def run(batches, shared=shared):
             keys, values = shared.value
-            for batch in (b for whole in batches for b in blocks(whole, 1)):
+            for batch in (b for whole in batches for b in blocks(whole, 1, GRAM_BLOCK)):
                 found, at = grams(Texts(batch.column(1)), depth)
                 coded = pa.array(found).dictionary_encode()
                 asked = coded.dictionary.to_numpy()
@@ -222,21 +223,21 @@ def score_texts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                 each = np.where(keys[place] == asked, values[place], 0.0) if len(keys) else np.zeros(len(asked))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.add.reduceat(each[coded.indices.to_numpy()], at[:-1]))], names=["uid", "score"])
 
-        parts.append(cut_lineage(rows.select("uid", "text").mapInArrow(run, "uid long, score double"), "llm-slice"))
+        parts.append(cut_lineage(rows.select("uid", "text").mapInArrow(run, f"uid {key}, score double").withColumn("slice", F.lit(k)), "llm-slice"))
         shared.unpersist()
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part)
-    return total if slices == 1 else total.groupBy("uid").agg(F.sum("score").alias("score"))
+    return total.groupBy("uid", "slice").agg(F.max("score").alias("score")).groupBy("uid").agg(F.sum("score").alias("score"))
 
 
 def word_base(rows: DataFrame) -> DataFrame:
-    """(uid, n_tokens, n_known, train_tokens, base_score) from the words of the texts and one end per text."""
-    spark = rows.sparkSession
+    """(uid, train, n_tokens, n_known, train_tokens, base_score) per row, from the words of the texts and one end per text."""
+    spark, key = rows.sparkSession, rows.schema["uid"].dataType.simpleString()
 
     def code(batches):
         part, block = TaskContext.get().partitionId(), 0
-        names = ["kind", "block", "uid", "codes", "code", "word", "n"]
+        names = ["kind", "block", "uid", "train", "codes", "code", "word", "n"]
         for batch in (b for whole in batches for b in blocks(whole, 1, WORD_BLOCK)):
             texts = Texts(batch.column(1))
             data, offsets, before = words(texts, _LOWER[texts.bytes])
@@ -245,14 +246,14 @@ def word_base(rows: DataFrame) -> DataFrame:
             own = (part << 24) + block
             block += 1
             m, v = batch.num_rows, len(different)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([own] * m, pa.int64()), batch.column(0), pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(codes, pa.int32())),
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), pa.array([own] * m, pa.int64()), batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(codes, pa.int32())),
                                               pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64())], names=names)
             n = np.bincount(codes, train, v).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(v, np.int32)), pa.array(np.full(v, own, np.int64)), pa.nulls(v, pa.int64()), pa.nulls(v, pa.list_(pa.int32())),
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(v, np.int32)), pa.array(np.full(v, own, np.int64)), pa.nulls(v, batch.column(0).type), pa.nulls(v, pa.bool_()), pa.nulls(v, pa.list_(pa.int32())),
                                               pa.array(np.arange(v, dtype=np.int32)), pa.array(different, pa.binary()), pa.array(n)], names=names)
 
     path = scratch_path(spark, "llm-words")
-    coded = rows.select("uid", "text", "train").mapInArrow(code, "kind int, block long, uid long, codes array<int>, code int, word binary, n long")
+    coded = rows.select("uid", "text", "train").mapInArrow(code, f"kind int, block long, uid {key}, train boolean, codes array<int>, code int, word binary, n long")
     coded.write.partitionBy("kind").parquet(path)
     held = spark.read.schema(coded.schema).parquet(path)
     by_word = Window.partitionBy("word")
@@ -273,15 +274,17 @@ def word_base(rows: DataFrame) -> DataFrame:
         n = sizes + 1
         base = np.bincount(doc, np.log10(c + 1), len(own)) + np.log10(ends + 1.0) - n * scale
         known = np.bincount(doc, c > 0, len(own)).astype(np.int64) + (ends > 0)
-        return pa.table({"uid": left.column("uid"), "n_tokens": n.astype(np.int64), "n_known": known, "base_score": base})
+        return pa.table({"uid": left.column("uid"), "train": left.column("train"), "n_tokens": n.astype(np.int64), "n_known": known, "base_score": base})
 
-    grouped = held.where("kind = 0").select("block", "uid", "codes").groupBy("block").cogroup(listed.select("block", "code", "c").groupBy("block"))
-    return grouped.applyInArrow(add, "uid long, n_tokens long, n_known long, base_score double").withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
+    grouped = held.where("kind = 0").select("block", "uid", "train", "codes").groupBy("block").cogroup(listed.select("block", "code", "c").groupBy("block"))
+    return grouped.applyInArrow(add, f"uid {key}, train boolean, n_tokens long, n_known long, base_score double").withColumn("train_tokens", F.lit(int(tokens)).cast("long"))
 
 
 def score(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row; `train` marks the rows to learn from."""
-    rows = cut_lineage(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
-                                   F.coalesce(train, F.lit(False)).alias("train")), "llm-texts")
-    found = rows.select("uid", "doc_id", "train").join(word_base(rows), "uid").join(score_texts(rows), "uid")
-    return found.select("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    own, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`").cast("string")
+    # Rows of equal id and text have equal scores, so that is all a row's key needs to tell apart.
+    uid = F.struct(own.alias("doc_id"), F.unhex(F.md5(F.coalesce(body, F.lit("")).cast("binary"))).alias("digest"))
+    rows = docs.select(uid.alias("uid"), body.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    found = word_base(rows).join(score_texts(rows).withColumnsRenamed({"uid": "key"}), F.col("uid").eqNullSafe(F.col("key")))
+    return found.select("uid.doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score")
