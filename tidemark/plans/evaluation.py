@@ -222,7 +222,17 @@ def e19(spark, sf):
     slope, intercept = K.fit_platt(s, "label", "score")
     p = s.withColumn("p", K.platt(F.col("score"), slope, intercept))
     y = F.col("label").cast("double")
-    return p.agg(F.round(F.avg("p") - F.avg(y), 5).alias("bias"), F.round(R.log_loss(y, F.col("p")), 4).alias("log_loss"))
+    return p.agg((F.round(F.avg("p") - F.avg(y), 5) + 0.0).alias("bias"), F.round(R.log_loss(y, F.col("p")), 4).alias("log_loss"))
+
+
+# Newton steps on the rows' counts, from 0.
+E19_SQL = f"""WITH RECURSIVE {SCORED_SQL}, c AS (SELECT score AS x, label AS y, count(*)::DOUBLE AS w FROM scored GROUP BY 1, 2),
+it(n, a, b) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL
+  SELECT n + 1, a + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT n, a, b, sum(w * (y - p) * x) AS g1, sum(w * (y - p)) AS g2, sum(w * p * (1 - p) * x * x) AS h11, sum(w * p * (1 - p) * x) AS h12, sum(w * p * (1 - p)) AS h22
+    FROM (SELECT n, a, b, x, y, w, 1 / (1 + exp(-(a * x + b))) AS p FROM it, c WHERE n < 25) GROUP BY n, a, b)),
+p AS (SELECT y, w, 1 / (1 + exp(-(a * x + b))) AS p FROM c, (SELECT a, b FROM it WHERE n = 25))
+SELECT round(sum(w * (p - y)) / sum(w), 5) + 0.0 AS bias, round(-sum(w * CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) / sum(w), 4) AS log_loss FROM p"""
 
 
 def e20(spark, sf):
@@ -292,7 +302,7 @@ QUERIES = {
     "e20_isotonic": e20, "e21_calibration_choice": e21, "e22_importances": e22, "e22_feature_families": e22_families,
 }
 ORACLES = {
-    "e1_confusion_cost": E1_SQL, "e2_threshold_sweep": E2_SQL, "e22_feature_families": E22_FAMILIES_SQL, "e3_optimal_threshold": E3_SQL, "e4_sensitivity": E4_SQL, "e5_score_problems": E5_SQL, "e6_savings": E6_SQL,
+    "e1_confusion_cost": E1_SQL, "e2_threshold_sweep": E2_SQL, "e19_platt": E19_SQL, "e22_feature_families": E22_FAMILIES_SQL, "e3_optimal_threshold": E3_SQL, "e4_sensitivity": E4_SQL, "e5_score_problems": E5_SQL, "e6_savings": E6_SQL,
     "e7_bayes_threshold": E7_SQL, "e8_roc_auc": E8_SQL, "e9_average_precision": E9_SQL, "e10_brier_log_loss": E10_SQL, "e12_calibration_error": E12_SQL, "e13_reliability": E13_SQL,
     "e14_precision_recall_at_k": E14_SQL, "e15_recall_at_fpr": E15_SQL, "e16_psi": E16_SQL, "e17_stratified": E17_SQL, "e18_strata_zscores": E18_SQL, "e20_isotonic": E20_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions.numeric import r6, round_columns, sql6
 from tidemark.operators import basic as B
 from tidemark.operators import chain as C
@@ -145,8 +146,6 @@ _TEXT = {"log_amount": "TransactionAmt", "card1_velocity_24h": "k", "hour_of_day
 
 
 def _p8_sql():
-    from tidemark import config
-
     rows = [(src, "high", config.REASON_HIGH[f]) for f, src in _TEXT.items()] + [("TransactionAmt", "low", config.REASON_LOW["log_amount"])]
     values = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)
     return f"""WITH {CONTRIB_SQL}, t(feature, direction, text) AS (VALUES {values})
@@ -213,6 +212,16 @@ def p13_manifest(spark, sf):
     return parts.manifest(spark).select("generator", "feature", "dtype")
 
 
+def _manifest_sql():
+    made = [("amount", {"log_amount": "double", "amount_decile": "int"}),
+            ("calendar", {**{c: "int" for c in ("hour_of_day", "day_of_week", "is_weekend", "is_business_hours")}, "hour_sin": "double", "hour_cos": "double"}),
+            ("mail", {f"P_emaildomain_{k}": t for k, t in (("provider", "string"), ("tld", "string"), ("is_free", "tinyint"), ("is_disposable", "tinyint"))}),
+            ("velocity", {f"{e}_velocity_{w}": "bigint" for e in config.VELOCITY_ENTITIES for w in config.VELOCITY_WINDOWS}),
+            ("stats", {**{f"card1_amt_{k}_30d": "double" for k in ("mean", "std", "max")}, **{f"addr1_amt_{k}_30d": "double" for k in ("mean", "std")}}),
+            ("cold_start", {"is_coldstart_card1": "int"})]
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{f}', '{t}')" for g, fs in made for f, t in fs.items()) + ") AS t(generator, feature, dtype)"
+
+
 def p14(spark, sf):
     """AUC under a random split against a split by time."""
     x = _model_frame(spark, sf)
@@ -246,5 +255,5 @@ QUERIES = {
 ORACLES = {
     "p1_newest_snapshot": P1_SQL, "p2_long_rows_ttl": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap",
     "p3_visible_values": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap WHERE written_at <= {AS_OF} AND expires_at > {AS_OF}",
-    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p11_impute_scale": P11_SQL,
+    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p11_impute_scale": P11_SQL,
 }
