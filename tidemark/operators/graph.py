@@ -91,19 +91,29 @@ def _stored_pairs(pairs: DataFrame) -> tuple[DataFrame, tuple]:
     return df, (seen["n"], seen["x"])
 
 
+def node_number(node: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), node)
+
+
 def entity_components(df: DataFrame, entities: list[str] = ENTITIES, max_rounds: int = 60) -> DataFrame:
-    """(node, root): a common root number for all entity nodes that are connected.
+    """(node, i, root): the number of every entity node, and a common root number for all that are connected.
 
     Transactions are contracted first: each becomes at most len(entities) - 1 links between its own
-    entity nodes, and distinct links are far fewer than rows. Nodes are numbered so that rounds work
-    on pairs of longs. Alternating large-star and small-star rounds then shrink the links to stars;
+    entity nodes, and distinct links are far fewer than rows. A node's number is a hash of its text, so
+    links are made of numbers where rows are read; the distinct nodes tell whether two share a hash, and
+    another seed is taken then. Alternating large-star and small-star rounds shrink the links to stars;
     every round is written out, which cuts the plan and survives lost executors.
     """
     linked = df.select(_nodes(entities).alias("nodes")).where(F.size("nodes") > 0)
-    members = dense_index(linked.select(F.explode("nodes").alias("node")).distinct(), ["node"], "i")
-    star = linked.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", F.lit(2), F.size("nodes") - 1)).alias("b")).distinct()
-    star = star.join(members.select(F.col("node").alias("a"), F.col("i").alias("v")), "a").join(members.select(F.col("node").alias("b"), F.col("i").alias("u")), "b")
-    pairs, seen = _stored_pairs(star.select("u", "v"))  # nodes are numbered in order, so u > v
+    for seed in range(8):
+        members, seen = cut_lineage(linked.select(F.explode("nodes").alias("node")).distinct().withColumn("i", node_number(F.col("node"), seed)), "nodes", n=F.count(F.lit(1)))
+        if members.select("i").distinct().count() == seen["n"]:
+            break
+    else:
+        raise RuntimeError("node hashes keep colliding")
+    numbers = F.transform("nodes", lambda x: node_number(x, seed))
+    star = linked.where(F.size("nodes") > 1).select(numbers.alias("k")).select(F.col("k")[0].alias("a"), F.explode(F.slice("k", F.lit(2), F.size("k") - 1)).alias("b"))
+    pairs, seen = _stored_pairs(star.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
@@ -121,7 +131,7 @@ def entity_components(df: DataFrame, entities: list[str] = ENTITIES, max_rounds:
     else:
         raise RuntimeError("components did not settle")
     found = members.join(pairs.select(F.col("u").alias("i"), "v"), "i", "left")
-    return found.select("node", F.coalesce("v", "i").alias("root"))
+    return found.select("node", "i", F.coalesce("v", "i").alias("root"))
 
 
 def component_sizes(df: DataFrame, entities: list[str] = ENTITIES) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -182,3 +182,18 @@ def ewm_held_out(df: DataFrame, state: DataFrame, entities: list[str] | None = N
             for w in ("v", "f"):
                 aggs.append(F.coalesce(F.max(F.when(here, F.col(w))), F.lit(0.0)).alias(ewm_name(e, w, lam)))
     return both.groupBy("id").agg(*aggs, F.coalesce(F.sum("back"), F.lit(0)).alias("backward_rows")).withColumnRenamed("id", ID)
+
+
+def strict_past(df: DataFrame, entity: str, aggregates: dict[str, Column], seconds: int | None = None) -> DataFrame:
+    """Any aggregate of the caller's over an entity's rows strictly before each row, at most `seconds` back.
+
+    `aggregates` maps names to aggregate columns. An aggregate that can't be merged from parts needs an entity's
+    rows in order in one task; for entities that own a large share of the rows use `velocity`, `amount_stats` or
+    `ewm`, whose aggregates can. Rows without the entity have no past and get what the aggregate gives for no rows.
+    """
+    require_columns(df, [ID, TIME, entity])
+    past = Window.partitionBy(entity).orderBy(F.col(TIME).cast("long")).rangeBetween(Window.unboundedPreceding if seconds is None else -seconds, -1)
+    known = df.where(F.col(entity).isNotNull()).select(ID, *[a.over(past).alias(n) for n, a in aggregates.items()])
+    empty = df.limit(0).agg(*[a.alias(n) for n, a in aggregates.items()])
+    alone = df.where(F.col(entity).isNull()).select(ID).crossJoin(F.broadcast(empty))  # one row
+    return known.unionByName(alone)
