@@ -224,10 +224,11 @@ def test_a_leak_across_entities_is_seen(spark):
 
 
 def test_any_aggregate_of_the_strict_past(spark, frame, rows):
-    got = {r["TransactionID"]: r for r in V.strict_past(frame, "card1", {"middle": F.median("TransactionAmt"), "n": F.count("*")}, 5 * 86400).collect()}
+    got = {r["TransactionID"]: r for r in V.strict_past(frame, "card1", {"spread": F.stddev_samp("TransactionAmt"), "n": F.count("*")}, 5 * 86400).collect()}
     assert len(got) == len(rows)
     for r in rows:
         near = [x[2] for x in rows if r[3] is not None and x[3] == r[3] and r[1] - 5 * 86400 <= x[1] < r[1]]
         known = [a for a in near if a is not None]
         assert got[r[0]]["n"] == len(near)
-        assert got[r[0]]["middle"] == (statistics.median(known) if known else None)
+        want = statistics.stdev(known) if len(known) > 1 else None
+        assert got[r[0]]["spread"] is None if want is None else math.isclose(got[r[0]]["spread"], want, rel_tol=1e-9, abs_tol=1e-9)
