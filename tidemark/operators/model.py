@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import IsotonicRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.numeric import ratio
-from tidemark.operators.calibrate import probability
+from tidemark.operators.calibrate import fit_isotonic, isotonic, probability
 from tidemark.operators.profile import medians
 from tidemark.operators.ranking import ranking_metrics, roc_points, score_counts
 
@@ -58,6 +61,41 @@ def decide(df: DataFrame, threshold: float, version: str, p: str = "p") -> DataF
     return df.withColumns({"decision": F.when(F.col(p) >= threshold, "block").otherwise("allow"), "model_version": F.lit(version)})
 
 
+@dataclass
+class Scorer:
+    """A boosted model, the calibration of its probabilities, and what fills missing features."""
+
+    model: GBTClassificationModel
+    calibration: IsotonicRegressionModel
+    features: list[str]
+    fill: dict[str, float]
+
+    def probabilities(self, df: DataFrame, out: str = "p") -> DataFrame:
+        raw = score_rows(df, self.model, self.features, self.fill, "__raw")
+        return isotonic(raw, self.calibration, "__raw", out).drop("__raw")
+
+    def decisions(self, df: DataFrame, threshold: float, version: str) -> DataFrame:
+        return decide(self.probabilities(df), threshold, version)
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.calibration.write().overwrite().save(f"{path}/calibration")
+        spark = SparkSession.active()
+        spark.createDataFrame([(self.features, self.fill)], "features array<string>, fill map<string, double>").coalesce(1).write.mode("overwrite").json(f"{path}/inputs")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Scorer:
+        r = spark.read.schema("features array<string>, fill map<string, double>").json(f"{path}/inputs").first()
+        return Scorer(GBTClassificationModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibration"), list(r["features"]), dict(r["fill"]))
+
+
+def fit_scorer(train: DataFrame, val: DataFrame, features: list[str], label: str = LABEL, **parameters) -> Scorer:
+    """Train on the first rows; the others stop the boosting and fit the calibration."""
+    model, fill = train_boosted(train, val, features, label, **parameters)
+    raw = score_rows(val, model, features, fill, "__raw")
+    return Scorer(model, fit_isotonic(raw, label, "__raw"), features, fill)
+
+
 def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return ranking_metrics(roc_points(score_counts(df, label, score)))
 

@@ -123,6 +123,19 @@ def _contributions(spark, sf):
     return L.linear_contributions(x, fitted, WEIGHTS)
 
 
+def p6_model(spark, sf):
+    """Decisions of a stored model with its calibration: how many rows keep what decisions must."""
+    train, val, test = _parts(spark, sf)
+    path = scratch_path(spark, "scorer")
+    L.fit_scorer(train, val, FEATURES, rounds=5, depth=3).save(path)
+    d = L.Scorer.load(spark, path).decisions(test, 0.08, "gbt-1")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("p").between(0, 1)).alias("n_probabilities"),
+                 F.count_if((F.col("decision") == "block") == (F.col("p") >= 0.08)).alias("n_consistent"), F.count_if(F.col("model_version") == "gbt-1").alias("n_versioned"))
+
+
+P6_MODEL_SQL = f"""WITH {SCORED_SQL} SELECT count(*) AS n_rows, count(*) AS n_probabilities, count(*) AS n_consistent, count(*) AS n_versioned FROM scored WHERE "TransactionDT" >= {24 * 86400}"""
+
+
 def p7(spark, sf):
     return L.top_contributions(_contributions(spark, sf), 3).select("TransactionID", F.col("rank").cast("long").alias("rank"), "feature", F.round(F.col("value") + 3.7e-9, 6).alias("value"), "direction")
 
@@ -248,12 +261,12 @@ def a23(spark, sf):
 
 
 QUERIES = {
-    "p1_newest_snapshot": p1, "p2_long_rows_ttl": p2, "p3_visible_values": p3, "p4_feature_assembly": p4, "p5_degraded_mode": p5, "p6_decisions": p6, "p7_top_contributions": p7,
+    "p1_newest_snapshot": p1, "p2_long_rows_ttl": p2, "p3_visible_values": p3, "p4_feature_assembly": p4, "p5_degraded_mode": p5, "p6_decisions": p6, "p6_model_decisions": p6_model, "p7_top_contributions": p7,
     "p8_reason_texts": p8, "p9_shadow_columns": p9, "p10_boosted_trees": p10, "p11_impute_scale": p11, "p12_parameter_search": p12, "p13_feature_tiers": p13,
     "p13_feature_manifest": p13_manifest, "p14_split_gap": p14, "a23_label_quality": a23,
 }
 ORACLES = {
     "p1_newest_snapshot": P1_SQL, "p2_long_rows_ttl": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap",
     "p3_visible_values": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap WHERE written_at <= {AS_OF} AND expires_at > {AS_OF}",
-    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p11_impute_scale": P11_SQL,
+    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p6_model_decisions": P6_MODEL_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p11_impute_scale": P11_SQL,
 }
