@@ -98,7 +98,8 @@ def address_change(df: DataFrame, entity: str = "card1", address: str = "addr1")
 def device_change(df: DataFrame, entity: str = "card1", device: str = "DeviceInfo") -> DataFrame:
     """1 where the device is new to an entity that has used other devices before.
 
-    Needs first appearances only, so plain aggregations replace any per-entity set.
+    Needs first appearances only, so plain aggregations replace any per-entity set. A new device shows at its
+    first second alone, so rows meet those seconds by entity, device and time, which spreads a hot entity.
     """
     require_columns(df, [ID, TIME, AMOUNT, entity, device])
     rows = _card_rows(df, entity, AMOUNT, device)
@@ -106,12 +107,8 @@ def device_change(df: DataFrame, entity: str = "card1", device: str = "DeviceInf
     known = rows.groupBy("card").agg(
         F.min(F.when(F.col(device).isNotNull(), F.col("ts"))).alias("any_device_since"),
         F.min(F.when(F.col(AMOUNT).isNotNull(), F.col("ts"))).alias("amount_since"))
-    flagged = (
-        rows.where(F.col(device).isNotNull())
-        .join(first_use, ["card", device]).join(known, "card")
-        .where((F.col("device_since") >= F.col("ts")) & (F.col("any_device_since") < F.col("ts")) & (F.col("amount_since") < F.col("ts")))
-        .select(F.col("id").alias(ID), F.lit(1).alias("device_change_flag"))
-    )
+    changes = first_use.join(known, "card").where((F.col("any_device_since") < F.col("device_since")) & (F.col("amount_since") < F.col("device_since")))
+    flagged = rows.join(changes.select("card", device, F.col("device_since").alias("ts")), ["card", device, "ts"]).select(F.col("id").alias(ID), F.lit(1).alias("device_change_flag"))
     return df.select(ID).join(flagged, ID, "left").fillna(0, ["device_change_flag"])
 
 

@@ -14,7 +14,7 @@ from tidemark.session import scratch_path
 from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, table, transaction_columns, transactions
 from tidemark.streaming import rates as R
 from tidemark.streaming.features import DecayStream, VelocityStream, per_batch
-from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream, split_event_stream
+from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream, split_event_stream, stream_of
 
 
 def prediction_stream(spark, sf):
@@ -56,14 +56,12 @@ def _t2_sql():
 
 
 def t3s(spark, sf):
-    """Two micro-batches, the second with the early days again: how many rows are on time and late.
-
-    The batches are made from the table by time, since one file gives one micro-batch.
-    """
-    t = transactions(spark, sf)
+    """Two micro-batches, the second with the early days again: how many rows are on time and late."""
+    ev = table(spark, sf, "events")
+    times = transactions(spark, sf).select(F.col("TransactionID").alias("event_id"), "TransactionDT")
+    at = lambda rule: ev.join(times.where(rule).select("event_id"), "event_id", "left_semi").select(ev.columns)
     job = VelocityStream(spark, ["card1"], {"24h": 86400})
-    job.step(t.where(F.col("TransactionDT") < 20 * 86400), 0)
-    job.step(t.where((F.col("TransactionDT") >= 20 * 86400) | (F.col("TransactionDT") < 5 * 86400)), 1)
+    job.run(transaction_columns(stream_of([at(F.col("TransactionDT") < 20 * 86400), at((F.col("TransactionDT") >= 20 * 86400) | (F.col("TransactionDT") < 5 * 86400))])))
     return job.output().agg(F.count(F.lit(1)).alias("emitted")).crossJoin(job.late().agg(F.count(F.lit(1)).alias("late")))
 
 

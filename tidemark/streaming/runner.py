@@ -35,11 +35,17 @@ def split_event_stream(spark: SparkSession, folder: str, parts: int = 4, pattern
     events = ready(spark).read.schema(EVENT_SCHEMA).option("pathGlobFilter", pattern).parquet(folder)
     day = F.unix_seconds(F.col("ts").cast("timestamp"))
     span = events.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
+    at = F.lit(0) if span["lo"] is None else F.least(F.floor((day - span["lo"]) * parts / max(span["hi"] - span["lo"] + 1, 1)), F.lit(parts - 1))
+    return stream_of([events.where(at == k) for k in range(parts)])
+
+
+def stream_of(batches: list[DataFrame]) -> DataFrame:
+    """A stream that brings one frame after the other, a micro-batch each."""
+    spark = batches[0].sparkSession
     path = scratch_path(spark, "event-files")
-    for k in range(parts):
-        at = F.lit(0) if span["lo"] is None else F.least(F.floor((day - span["lo"]) * parts / max(span["hi"] - span["lo"] + 1, 1)), F.lit(parts - 1))
-        events.where(at == k).coalesce(1).write.parquet(f"{path}/part={k}")
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
+    for k, rows in enumerate(batches):
+        rows.coalesce(1).write.parquet(f"{path}/part={k}")
+    return spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*")
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
