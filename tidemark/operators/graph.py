@@ -166,11 +166,19 @@ def page_rank(df: DataFrame, entities: list[str] = ENTITIES, damping: float = DA
 
     Stops once the summed change is below nodes * tolerance; without convergence every score is 1 / nodes.
     """
-    e = cut_lineage(edges(df, entities).select("txn", F.concat_ws(_SEP, "subtype", "value").alias("ent")), "rank-edges")
+    named = edges(df, entities).select("txn", F.concat_ws(_SEP, "subtype", "value").alias("node"))
+    for seed in range(8):
+        e = cut_lineage(named.withColumn("ent", node_number(F.col("node"), seed)), "rank-edges")
+        held = e.select("node", "ent").distinct().agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ent").alias("d")).first()
+        if held["n"] == held["d"]:
+            break
+    else:
+        raise RuntimeError("node hashes keep colliding")
+    e = e.select("txn", "ent")
     ent_deg = e.groupBy("ent").agg(F.count(F.lit(1)).alias("deg"))
     txn_deg = e.groupBy("txn").agg(F.count(F.lit(1)).alias("deg"))
     # Nodes from the stored edges: all transactions, and entities with an edge.
-    n = df.select(F.count_distinct(ID)).first()[0] + ent_deg.count()
+    n = df.select(F.count_distinct(ID)).first()[0] + held["n"]
     txns = df.select(F.col(ID).alias("txn")).join(txn_deg, "txn", "left")
     ranks_t = txns.select("txn", "deg", F.lit(1.0 / n).alias("rank"))
     ranks_e = ent_deg.select("ent", "deg", F.lit(1.0 / n).alias("rank"))
