@@ -59,9 +59,9 @@ def test_both_ways_of_a_word_agree():
 def test_memories_may_be_cleared(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE_RUNS", 5)
     monkeypatch.setattr(packing, "CACHE_CHUNKS", 5)
-    texts = [f"alpha{k} beta{k} gamma" for k in range(9)]
     words, byte = bpe.WordBpe(WORDS), packing.ByteBpe(BYTES)
-    for _ in range(2):
+    for size in (2, 9, 1, 30, 9):
+        texts = [f"alpha{k} beta{k} gamma {'long' * 40}{k}" for k in range(size)]
         assert words(pa.array(texts)).to_pylist() == [library[WORDS].encode(t, add_special_tokens=False).ids for t in texts]
         assert byte(pa.array(texts)) == [array("I", library[BYTES].encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 

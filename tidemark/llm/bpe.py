@@ -36,6 +36,7 @@ from tidemark.llm.packing import _byte_names
 _END = "\x00"  # stands for the end-of-word suffix: one character, so that the automaton sees one symbol
 _NONE = np.int64(1) << 40  # later than any merge
 TEXT_AT_ONCE, TOKENS_AT_ONCE = 2 << 20, 1 << 20  # bytes and tokens of a part; a longer text is a part of its own
+LONG = 64  # bytes of a run that is not remembered
 CACHE_RUNS = 250_000  # different runs whose ids a worker remembers
 
 
@@ -184,9 +185,6 @@ class WordBpe:
         return [ws if all(w.isascii() and w.isprintable() for w in ws) else [w.encode().decode("latin-1").translate(self.names) for w in ws] for ws in found]
 
     def _learn(self, runs: list[bytes]) -> None:
-        if len(self._known) + len(runs) > CACHE_RUNS:
-            self._known.clear()
-            self._words.clear()
         parts = self.split([r.decode() for r in runs]) if runs else []
         known = self._words
         new = list(dict.fromkeys(w for ws in parts for w in ws if w not in known))
@@ -194,6 +192,9 @@ class WordBpe:
             self.encode_words(new)
         for r, ws in zip(runs, parts):
             self._known[r] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
 
     def one(self, text: str) -> np.ndarray:
         """Ids of a text with special tokens in it."""
@@ -214,11 +215,16 @@ class WordBpe:
         data, offsets, before = words(texts)
         codes, runs = encoded(data, offsets)
         new = [r for r in runs if r not in self._known]
+        if new and len(self._known) + len(new) > CACHE_RUNS:
+            self._known.clear()
+            self._words.clear()
+            new = runs
         if new:
             self._learn(new)
-            if lost := [r for r in runs if r not in self._known]:  # the memory was cleared
-                self._learn(lost)
         own = [self._known[r] for r in runs]
+        for r in runs:
+            if len(r) > LONG:
+                del self._known[r]  # long runs are rare and would fill the memory
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         held = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.array(np.frombuffer(b"".join(own), "<i4")))
         flat = held.take(pa.array(codes)).flatten()

@@ -35,7 +35,8 @@ from tidemark.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_CHUNKS = 600_000  # token ids of that many different short chunks are kept in a worker
+CACHE_CHUNKS = 600_000  # token ids of that many different runs are kept in a worker
+LONG = 64  # bytes of a run that is not remembered
 _ODD = re.compile(f"[{ODD_SPACE}]")
 _NEWLINE = b"\n"
 
@@ -68,8 +69,6 @@ class ByteBpe:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encode new runs together: between lines, a newline is a token of its own."""
-        if len(self._known) + len(chunks) > CACHE_CHUNKS:
-            self._known.clear()
         plain = [c for c in chunks if not c.isspace() and (c.isascii() or not _ODD.search(c.decode()))]
         for c in set(chunks).difference(plain):
             self._known[c] = array("I", self._encoding.encode_ordinary(c.decode())).tobytes()
@@ -94,11 +93,15 @@ class ByteBpe:
         offsets, before = tiles(texts)
         codes, different = encoded(texts.bytes, offsets)
         new = [c for c in different if c not in self._known]
+        if new and len(self._known) + len(new) > CACHE_CHUNKS:
+            self._known.clear()
+            new = different
         if new:
             self._learn(new)
-            if len(new) < len(different) and any(c not in self._known for c in different):  # the memory was cleared
-                self._learn([c for c in different if c not in self._known])
         own = list(map(self._known.__getitem__, different))
+        for c in different:
+            if len(c) > LONG:
+                del self._known[c]  # long runs are rare and would fill the memory
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), pa.array(np.frombuffer(b"".join(own), "<u4"))).take(pa.array(codes))
         flat = ids.flatten().to_numpy()
