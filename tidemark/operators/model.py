@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,13 +187,15 @@ def sampled_parameters(n: int, seed: int = config.SEED) -> list[dict[str, float]
             for _ in range(n)]
 
 
-def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, label: str = LABEL) -> DataFrame:
-    """Validation AUC of each sampled parameter set, best first."""
-    rows = []
-    for i, p in enumerate(sampled_parameters(trials)):
+def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, label: str = LABEL, at_once: int = 4) -> DataFrame:
+    """Validation AUC of each sampled parameter set, best first; `at_once` trials share the cluster."""
+    def trial(numbered: tuple[int, dict[str, float]]) -> tuple:
+        i, p = numbered
         model, fill = train_boosted(train, val, features, label, **p)
-        value = auc(score_rows(val, model, features, fill), label, "p").first()["auc"]
-        rows.append((i, *p.values(), value))
+        return (i, *p.values(), auc(score_rows(val, model, features, fill), label, "p").first()["auc"])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        rows = list(pool.map(trial, enumerate(sampled_parameters(trials))))
     schema = "trial int, depth int, step double, rounds int, subsample double, columns double, least_rows int, least_gain double, least_weight double, bins int, auc double"
     return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "trial")
 
