@@ -264,10 +264,12 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
 
     spanned = met.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(span, "a long, b long")
     roots = components(spark, linked.unionByName(spanned))
-    of_class = classes.join(roots, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("root", "rep").alias("root"))
-    of_row = cut_lineage(signed.select("uid", "id", "words").join(of_class, "words").select("uid", "id", "root"), "llm-roots")
+    # Both joins of rows to classes and groups read written tables: a hot one can then be split between tasks.
+    of_class, seen = cut_lineage(classes.join(roots, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("root", "rep").alias("root")), "llm-classes", n=F.count(F.lit(1)))
+    of_row = cut_lineage(signed.select("uid", "id", "words").join(small_side(of_class, seen["n"]), "words").select("uid", "id", "root"), "llm-roots")
     heads = of_row.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("head")).select("root", F.col("head.id").alias("component_id"), F.col("head.uid").alias("head"))
-    named = of_row.join(heads, "root").select("uid", "component_id", (F.col("uid") == F.col("head")).alias("kept"))
+    heads, seen = cut_lineage(heads, "llm-heads", n=F.count(F.lit(1)))
+    named = of_row.join(small_side(heads, seen["n"]), "root").select("uid", "component_id", (F.col("uid") == F.col("head")).alias("kept"))
     if not keep:
         return named.join(of_row.select("uid", "id"), "uid").select("id", "component_id", "kept")
     return stored.select("uid", "row", "id").join(named, "uid").select("row", "id", "component_id", "kept")
