@@ -34,7 +34,7 @@ from tidemark.llm.common import components
 from tidemark.session import cut_lineage
 
 COSINE = 0.93
-PER_PIVOT = 500  # vectors of a label for one pivot
+PER_PIVOT = 1024  # vectors of a label for one pivot: if every vector had to be copied to every cell, that would cost no more than dealing the label into blocks
 LABEL_PIVOTS, MAX_PIVOTS = 256, 8192
 BLOCK = 2048  # vectors of a home or member block, in the mean
 SLACK = 1e-7  # covers rounding of distances; candidates are compared by their cosine
