@@ -42,9 +42,9 @@ _KEEPS_IN = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "t
 #: Marks of an element: its tag, its role, or a word of its class or id.
 REST_TAGS = {"nav": 10.0, "footer": 10.0, "aside": 10.0, "header": 8.0, "form": 10.0, "menu": 10.0, "dialog": 10.0, "button": 10.0, "fieldset": 10.0, "search": 10.0}
 REST_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form status".split())
-REST_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adbox adslot banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright
+REST_WORDS = frozenset("""ad ads advert adverts advertisement advertisements advertising adbox adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright
     dialog disclaimer disqus footer form gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond
-    search share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets""".split())
+    search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets""".split())
 LAYOUT_WORDS = frozenset("layout wrapper wrap container page site with has no main row grid".split())  # such an element holds the page, whatever else it is called
 TEXT_TAGS = frozenset(["article", "main"])
 TEXT_WORDS = frozenset("article articlebody story post entry content".split())
@@ -53,10 +53,10 @@ NEXT, SAME_PARENT, SAME_GRANDPARENT = 0.5, 0.6, 0.25
 
 
 class _Element:
-    __slots__ = ("tag", "number", "mark", "sticky", "text")
+    __slots__ = ("tag", "number", "mark", "sticky")
 
-    def __init__(self, tag: str, number: int, mark: float, sticky: bool, text: bool):
-        self.tag, self.number, self.mark, self.sticky, self.text = tag, number, mark, sticky, text
+    def __init__(self, tag: str, number: int, mark: float, sticky: bool):
+        self.tag, self.number, self.mark, self.sticky = tag, number, mark, sticky
 
 
 def _marked(tag: str, attributes: str, above: _Element) -> tuple[float, bool]:
@@ -96,7 +96,7 @@ def _marked(tag: str, attributes: str, above: _Element) -> tuple[float, bool]:
 
 def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
     """(text, score, parent, grandparent) of every block of text, in page order."""
-    root = _Element("", 0, 0.0, False, False)
+    root = _Element("", 0, 0.0, False)
     stack = [root]
     out: list[tuple[str, float, int, int]] = []
     parts: list[str] = []
@@ -159,7 +159,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                     stack.pop()
             number += 1
             mark, sticky = _marked(tag, found.group(3), stack[-1])
-            stack.append(_Element(tag, number, mark, sticky, False))
+            stack.append(_Element(tag, number, mark, sticky))
             in_link += tag == "a"
         else:
             if tag not in _INLINE:
