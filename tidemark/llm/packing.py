@@ -35,8 +35,9 @@ from tidemark.session import cut_lineage
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_CHUNKS = 600_000  # token ids of that many different runs are kept in a worker
+CACHE_CHUNKS = 200_000  # token ids of that many different runs are kept in a worker: about 40 MB
 LONG = 64  # bytes of a run that is not remembered
+TEXT_AT_ONCE = 2 << 20  # bytes of text worked on at once; a longer text is worked on alone
 _ODD = re.compile(f"[{ODD_SPACE}]")
 _NEWLINE = b"\n"
 
@@ -145,7 +146,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
     def run(batches):
         encode, part, end = encoder(tokenizer), TaskContext.get().partitionId(), array("I", [END_ID]).tobytes()
         seen = np.zeros(capacity + 1, np.int64).tolist()
-        for batch in (b for whole in batches for b in blocks(whole, 1)):
+        for batch in (b for whole in batches for b in blocks(whole, 1, TEXT_AT_ONCE)):
             ids, piece, start, length, crc, nth, raw = [], [], [], [], [], [], []
             for doc, tokens in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 tokens += end
