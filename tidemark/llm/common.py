@@ -44,24 +44,29 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 def components(spark: SparkSession, links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, from links (a, b) of longs.
 
-    Alternating large-star and small-star steps turn the links into stars. Each round is one written
-    table, so a lost executor costs one round at most; the links of a hot node are spread by the
-    aggregation that precedes each join and by adaptive skew joins. Nodes without a link don't appear.
+    Alternating large-star and small-star steps turn the links into stars. Every step is written, so a
+    lost executor costs one step at most, and the joins read written tables: the links of a hot node
+    can be split between tasks. Nodes without a link don't appear.
     """
     def stored(frame: DataFrame):
         frame, seen = cut_lineage(frame, "llm-stars", n=F.count(F.lit(1)), x=F.bit_xor(F.xxhash64("u", "v")))
         return frame, (seen["n"], seen["x"])
 
+    def least(pairs: DataFrame) -> DataFrame:
+        """The smallest node that each u is linked to."""
+        found, seen = cut_lineage(pairs.groupBy("u").agg(F.min("v").alias("m")), "llm-least", n=F.count(F.lit(1)))
+        return small_side(found, seen["n"])
+
     ordered = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     pairs, seen = stored(ordered.distinct())
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        up = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut_lineage(up.where("u != v").distinct(), "llm-large")
+        low = least(large)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         pairs, now = stored(small.where("u != v").distinct())
         if now == seen:
             break
