@@ -219,9 +219,10 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """One row per row of `df`: a struct `row` of the columns `keep`, `id`, `component_id` and `kept`."""
     spark = df.sparkSession
-    carried = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).alias("_"))
-    stored = cut_lineage(df.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("row")), "llm-rows")
-    texts = stored.select("uid", "text")
+    carried = list(dict.fromkeys([*(keep or []), doc_id, text]))
+    stored = cut_lineage(df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")), "llm-rows")
+    own, body = F.col(f"row.`{doc_id}`").cast("long").alias("id"), F.col(f"row.`{text}`").cast("string").alias("text")
+    texts = stored.select("uid", body)
     df_counts, documents = frequencies(texts.where("text IS NOT NULL").select("text"))
     shared = spark.sparkContext.broadcast((levels(df_counts, documents), Sampler()))
 
@@ -237,7 +238,7 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
             own = [int(u).to_bytes(8, "big") if gone else d for u, gone, d in zip(uid.tolist(), null.tolist(), digests)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))], names=["uid", "id", "words", "bands"])
 
-    signed = cut_lineage(stored.select("uid", "id", "text").mapInArrow(sign, "uid long, id long, words binary, bands array<long>"), "llm-samples")
+    signed = cut_lineage(stored.select("uid", own, body).mapInArrow(sign, "uid long, id long, words binary, bands array<long>"), "llm-samples")
     classes = signed.groupBy("words").agg(F.min("uid").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "bands")
     pairs, met = _candidates(reps)
@@ -272,7 +273,7 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     named = of_row.join(small_side(heads, seen["n"]), "root").select("uid", "component_id", (F.col("uid") == F.col("head")).alias("kept"))
     if not keep:
         return named.join(of_row.select("uid", "id"), "uid").select("id", "component_id", "kept")
-    return stored.select("uid", "row", "id").join(named, "uid").select("row", "id", "component_id", "kept")
+    return stored.select("uid", "row", own).join(named, "uid").select("row", "id", "component_id", "kept")
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
