@@ -74,6 +74,33 @@ def test_odd_pages(page, text):
     assert mainblocks.main_text(page) == text
 
 
+@pytest.mark.parametrize("before", [
+    "<svg width='1' />", "<svg/>", "<math/>", "<svg><svg /><text>no</text></svg>", "<object><object>no</object>no</object>", "<video src=a>", "<object data=a>", "<noscript>", "<canvas>", "<select>", "<template>", "<iframe src=a>", "<audio>",
+    "<svg viewBox='0 0 1 1'>", "<video src=a><video src=b>no</video>", "<video><script>'<video>'</script>no</video>", "<!-- <svg> --><svg title='</svg>'>no</svg>",
+])
+def test_raw_elements_drop_nothing_else(before):
+    rest = f"<p>{ARTICLE}</p><p>{ARTICLE} <svg width=5/>no</svg>More.</p>"
+    text = f"{ARTICLE}\n{ARTICLE} More."
+    assert mainblocks.main_text(f"<body><article>{before}{rest}</article>") == text
+    assert mainblocks.main_text(f"<article>{rest}{before}{rest}</article>") == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><meta charset=utf-8>", "<head><script>var a</script><link rel=x href=y>", "<html><head><style>p{}</style></head>", "<head><title>T</title></head><body class=a>", "<head><noscript><p>no</p></noscript>"])
+def test_head_ends_where_it_must(head):
+    assert mainblocks.main_text(f"{head}<article><p>{ARTICLE}</p></article>") == ARTICLE
+    assert mainblocks.main_text(f"{head}\n{ARTICLE}") == ARTICLE
+
+
+def test_text_of_math_is_text():
+    page = f"<article><p>{ARTICLE} So <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math>. {ARTICLE}</p><p>{ARTICLE} <math><mspace/><mn>1</mn></p><p>{ARTICLE}</p></article>"
+    assert mainblocks.main_text(page) == f"{ARTICLE} So E = m c 2. {ARTICLE}\n{ARTICLE} 1\n{ARTICLE}"
+
+
+def test_many_endless_tags_take_one_look():
+    page = "<article>" + "<noscript><svg>a " * 40_000 + "</article>"
+    assert mainblocks.main_text(page).split() == ["a"] * 40_000
+
+
 def test_extract_frames(spark):
     rows = [(1, "u", None, "x", 1), (None, None, f"<article><p>{ARTICLE}</p></article>", None, None), (3, "u", "", "x", 3), (3, "u", "", "x", 3), (4, "u", f"<article>{'<p>' + ARTICLE + '</p>' :s}</article>" + "<div>x</div>" * 20_000, "x", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, row int")

@@ -11,10 +11,12 @@ leaves few blocks for the maximum flow.
 
 Pages are rows, each labelled within its task; there is no shuffle.
 
-Defined cases: null or empty html gives empty text; text outside any tag is a block; comments, scripts,
-styles, the head, and raw elements that never end are not text; unclosed tags end with their parent;
-character references are decoded, unknown ones are left as they are. Extra columns are kept; those named
-like a result column are replaced.
+Defined cases: null or empty html gives empty text; text outside any tag is a block; comments, titles,
+scripts, styles and other raw elements are not text; a script, style, textarea or title that never ends reaches to
+the page's end, of any other raw element without an end only the tag is skipped, and an svg or math tag that ends
+in a slash is empty; the tags of a head are ignored, so that text or tags which can't be in one belong to the page, as in
+HTML; the text of math is text; unclosed tags end with their parent; character references are decoded, unknown
+ones are left as they are. Extra columns are kept; those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -32,10 +34,15 @@ from tidemark.llm.common import unpacked
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_BARE_VALUE = re.compile(r"=\s*[^\s\"'>]+\Z")
 _PART = re.compile(r"[a-z0-9]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea select svg math iframe object canvas audio video head title xmp noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+_RAW = frozenset("script style noscript template textarea select svg iframe object canvas audio video title xmp noembed noframes".split())
+_RAW_TEXT = frozenset("script style noscript textarea iframe title xmp noembed noframes".split())  # end at the first end tag, whatever they hold; others may hold their own kind
+_RAW_TO_END = frozenset("script style textarea title".split())  # reach to the end of the page if they never end
+_MATH = frozenset("""annotation annotation-xml maction menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub
+    msubsup msup mtable mtd mtext mtr munder munderover none semantics""".split())
+_INLINE = _MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody")}
 _KEEPS_IN = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "tbody": ("table",)}
@@ -94,6 +101,39 @@ def _marked(tag: str, attributes: str, above: _Element) -> tuple[float, bool]:
     return own, sticky
 
 
+def _empty(tag: str, attributes: str) -> bool:
+    """Whether a tag of svg or math ends in a slash that is not part of an attribute's value."""
+    return tag in ("svg", "math") and attributes.endswith("/") and not _BARE_VALUE.search(attributes)
+
+
+def _text_end(page: str, tag: str, at: int, endless: set[str]) -> int:
+    """Where the raw text of a tag that ends at `at` ends; `endless` remembers tags that no end tag follows."""
+    found = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    if found:
+        return found.end()
+    endless.add(tag)
+    return len(page) if tag in _RAW_TO_END else at
+
+
+def _raw_ends(page: str) -> dict[int, int]:
+    """Where the raw elements that may hold their own kind end, by where they start; those that never end are left out."""
+    opened: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    endless: set[str] = set()
+    at = 0
+    while found := _TOKEN.search(page, at):
+        at = found.end()
+        closing, tag = found.group(1), (found.group(2) or "").lower()
+        if tag in _RAW_TEXT:
+            at = at if closing else _text_end(page, tag, at, endless)
+        elif tag in _RAW and closing:
+            if opened.get(tag):
+                ends[opened[tag].pop()] = at
+        elif tag in _RAW and not _empty(tag, found.group(3)):
+            opened.setdefault(tag, []).append(found.start())
+    return ends
+
+
 def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
     """(text, score, parent, grandparent) of every block of text, in page order."""
     root = _Element("", 0, 0.0, False)
@@ -101,6 +141,8 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
     out: list[tuple[str, float, int, int]] = []
     parts: list[str] = []
     linked, in_link, number = 0, 0, 0
+    endless: set[str] = set()
+    ends: dict[int, int] | None = None
 
     def end_block() -> None:
         nonlocal linked
@@ -133,14 +175,21 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
         tag = tag.lower()
         if not closing:
             if tag in _RAW:
-                finish = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body[\s>]", re.I).search(page, at)
-                at = (finish.start() if tag == "head" and page[finish.start() + 1] != "/" else finish.end()) if finish else size
-                if tag not in ("svg", "math", "img"):
+                if tag in _RAW_TEXT:
+                    at = _text_end(page, tag, at, endless)
+                elif not _empty(tag, found.group(3)):
+                    ends = _raw_ends(page) if ends is None else ends
+                    at = ends.get(found.start(), at)
+                if tag != "svg":
                     parts.append(" ")
                 continue
             if tag == "br":
                 parts.append(" ")
                 continue
+            if tag in _MATH:
+                parts.append(" ")
+            if _empty(tag, found.group(3)):
+                continue
             if tag not in _INLINE:
                 end_block()
                 closes = ("p",) if tag in _ENDS_P else _SELF_CLOSING.get(tag, ())
@@ -152,7 +201,7 @@ def page_blocks(page: str) -> list[tuple[str, float, int, int]]:
                             in_link = 0
                         del stack[k:]
                     k -= 1
-            if tag in _VOID:
+            if tag in _VOID or tag == "head":
                 continue
             if tag in TEXT_TAGS:
                 while len(stack) > 1 and stack[-1].tag in ("nav", "header", "footer", "menu", "ul", "ol", "li", "p") and any(e.tag in _OPENS_TEXT for e in stack):
