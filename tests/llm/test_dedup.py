@@ -80,6 +80,34 @@ def test_groups_equal_brute_force(spark, monkeypatch, small):
     assert (got.kept == (got.id == got.component_id)).all()
 
 
+@pytest.mark.parametrize("words", [400, 10_000])
+def test_weights_do_not_depend_on_the_size_of_other_texts(spark, words):
+    """Two texts that differ in passages of most texts only: weighted alike, plainly not, however many shingles others hold."""
+    rng = np.random.default_rng(9)
+    draw = lambda n: " ".join(np.char.add("w", rng.integers(0, 10**6, n).astype(str)))
+    base, one, two = draw(504), draw(109), draw(109)
+    texts = [f"{base} {one}", f"{base} {two}", *(f"{one} {draw(words)} {two}" for _ in range(398))]
+    got = neardup.groups(spark.createDataFrame(pd.DataFrame({"doc_id": range(400), "text": texts}))).toPandas().sort_values("id")
+    assert got.component_id.tolist() == [0, 0, *range(2, 400)]
+
+
+def test_weight_steps_are_exact(spark, monkeypatch):
+    """Steps told to blocks against counting by hand, with many small blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 500)
+    texts = near_texts(5, 6, 12, 60, 6) + [None, "", "a b", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").repartition(3).cache()
+    starts = neardup._block_starts(df)
+    assert len(starts) > 20
+    _, first, at, _, base = neardup.elements(pa.array(texts))
+    doc = np.repeat(np.arange(len(texts)), np.diff(at))[first]
+    shingles, n = np.unique(base[first], return_counts=True)
+    level = dict(zip(shingles.tolist(), neardup.levels(n, 73).tolist()))
+    common = neardup.levels(np.ones(1), 73)[0]
+    want = {(int(np.searchsorted(starts, d, side="right")) - 1, s, level[s]) for d, s in zip(doc.tolist(), base[first].tolist()) if level[s] != common}
+    got = [(r.block, s, x) for r in neardup.frequent_shingles(df, spark.sparkContext.broadcast(starts), 1, 73).collect() for s, x in zip(np.frombuffer(r.shingles, np.uint64).tolist(), r.levels)]
+    assert set(got) == want and want
+
+
 def test_element_hashes_are_multisets():
     one, _, at, digests, _ = neardup.elements(pa.array(["a b c d e a b c d e a b c d e", "A B C D E", "", None]))
     assert len(set(one[at[0]:at[1]].tolist())) == 11 and one[at[1]] in one[at[0]:at[1]]

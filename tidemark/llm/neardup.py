@@ -2,11 +2,14 @@
 
 A text's elements are its five-word shingles (of lower-cased words), a repeated shingle counting as one
 element per occurrence, so that term frequency is part of the multiset. An element weighs 1 to 2,
-by inverse document frequency; frequencies of all documents are counted in a fixed number of hash buckets
-(`DF_BUCKETS`), so the table sent to executors has a size that doesn't depend on the corpus.
-
-1. Texts with equal words form a class; one representative of each goes on.
-2. Improved consistent weighted sampling draws `BANDS * ROWS` samples per representative: for an element of
+by inverse document frequency of its shingle.
+
+1. Frequencies are exact. Texts form blocks of a few MB (runs of row numbers, whose starts are all that reaches
+   the driver); each block sends its different shingles with the number of its documents that hold them to
+   ranges of the hash, of which there are as many as the corpus needs. A range adds up, and tells the blocks
+   which shingles are so frequent that their weight isn't the one of a shingle of a single document. Every
+   text's weight steps are written beside its samples.
+2. Texts with equal words form a class; one representative of each goes on. Improved consistent weighted sampling draws `BANDS * ROWS` samples per representative: for an element of
    weight S, t = floor(ln S / r + b), ln y = r (t - b), ln a = ln c - ln y - r, and the element with the
    least a is the sample. r, c (Gamma(2, 1)) and b (uniform) come from a pool indexed by a hash of the
    element, another hash for each sample. An element's weight is the same in all texts, so t needs no
@@ -34,14 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import Texts, blocks, encoded, words
+from tidemark.llm.chunks import BLOCK_BYTES, Texts, blocks, encoded, words
 from tidemark.llm.common import components, small_side, unpacked
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-DF_BUCKETS = 1 << 20
+DF_BUCKETS = 1 << 20  # ranges of shingles that are counted together, at most
+RANGE_BYTES = 16 << 20  # text per such range, where that makes at least LEAST_RANGES
+LEAST_RANGES = 256  # a shingle's first byte follows from its range
+ROW_BYTES = 64  # what a row counts in a block beside its text
 LEVELS = 16  # steps of the element weights between 1 and 2
 POOL_BITS = 15
 SMALL = 8  # members of a bucket that are compared as pairs
@@ -91,30 +97,75 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> _U(44)).astype(np.int64) & (DF_BUCKETS - 1)
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per hash bucket of shingles, over all documents, and the number of documents."""
+def _block_starts(texts: DataFrame) -> np.ndarray:
+    """The least uid of each block of texts; a block holds about BLOCK_BYTES and rows numbered by one task."""
+    def cut(batches):
+        size, last = BLOCK_BYTES, -1
+        for batch in batches:
+            starts = []
+            for uid, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if size >= BLOCK_BYTES or uid >> 33 != last >> 33:
+                    starts.append(uid)
+                    size = 0
+                size, last = size + n + ROW_BYTES, uid
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64())], names=["start"])
+
+    sizes = texts.select("uid", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    return np.sort(sizes.mapInArrow(cut, "start long").toArrow().column("start").to_numpy())
+
+
+def _stored_shingles(shingles: np.ndarray) -> bytes:
+    """All but the first byte of sorted shingles, byte by byte, which compresses."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()
+
+
+def _read_shingles(held: bytes, first: int) -> np.ndarray:
+    out = np.full((len(held) // 7, 8), first, np.uint8)
+    out[:, 1:] = np.frombuffer(held, np.uint8).reshape(7, -1).T
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def frequent_shingles(texts: DataFrame, starts, size: int, documents: int) -> DataFrame:
+    """(block, shingles, levels): the shingles of each block, in several rows, whose weight step isn't that of a shingle of one document; `starts` is a broadcast."""
+    bits = int(np.clip(np.ceil(np.log2(max(size / RANGE_BYTES, LEAST_RANGES))), np.log2(LEAST_RANGES), np.log2(DF_BUCKETS)))
+    common = levels(np.ones(1, np.int64), documents)[0]
+
     def count(batches):
-        held = np.zeros(DF_BUCKETS, np.int64)
-        n = 0
-        for batch in (b for whole in batches for b in blocks(whole, 0)):
-            _, first, at, _, base = elements(batch.column(0))
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[first]
-            pairs = np.unique(doc * DF_BUCKETS + _bucket(base[first]))
-            held += np.bincount(pairs % DF_BUCKETS, minlength=DF_BUCKETS)
-            n += batch.num_rows
-        some = np.flatnonzero(held)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(held[some], n))], names=["bucket", "n"])
-
-    rows = texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most DF_BUCKETS + 1 rows
-    bucket, n = rows.column("bucket").to_numpy(), rows.column("n").to_numpy()
-    out = np.zeros(DF_BUCKETS, np.int64)
-    out[bucket[bucket >= 0]] = n[bucket >= 0]
-    return out, int(n[bucket < 0].sum())
+        for batch in (b for whole in batches for b in blocks(whole, 1)):
+            block = np.searchsorted(starts.value, batch.column(0).to_numpy(), side="right") - 1
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                _, first, _, _, base = elements(batch.column(1).slice(a, b - a))
+                found, n = np.unique(base[first], return_counts=True)
+                own = (found >> _U(64 - bits)).astype(np.int64)
+                edges = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(found)] if len(found) else [0]
+                parts = list(zip(edges, edges[1:]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([own[x] for x, _ in parts], pa.int64()), pa.array([block[a]] * len(parts), pa.int64()), pa.array([_stored_shingles(found[x:y]) for x, y in parts], pa.binary()),
+                    pa.array([n[x:y].astype(np.uint32).tobytes() for x, y in parts], pa.binary())], names=["part", "block", "shingles", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        first = table.column("part")[0].as_py() >> (bits - 8)
+        block = table.column("block").to_numpy()
+        held = [_read_shingles(x, first) for x in table.column("shingles").to_pylist()]
+        flat, n = np.concatenate(held), np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32)
+        row = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+        order = np.argsort(flat, kind="stable")
+        flat, n, row = flat[order], n[order], row[order]
+        at = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        level = np.repeat(levels(np.add.reduceat(n.astype(np.int64), at), documents), np.diff(np.append(at, len(flat))))
+        some = np.flatnonzero(level != common)
+        some = some[np.argsort(row[some], kind="stable")]
+        rows, at = np.unique(row[some], return_index=True)
+        ends = np.append(at[1:], len(some))
+        return pa.table({"block": pa.array(block[rows], pa.int64()), "shingles": pa.array([flat[some[x:y]].tobytes() for x, y in zip(at, ends)], pa.binary()),
+                         "levels": pa.array([level[some[x:y]].tobytes() for x, y in zip(at, ends)], pa.binary())})
+
+    return texts.mapInArrow(count, "part long, block long, shingles binary, n binary").groupBy("part").applyInArrow(add, "block long, shingles binary, levels binary")
 
 
 def levels(df: np.ndarray, documents: int) -> np.ndarray:
-    """The weight step 0..LEVELS of each bucket: weight = 1 + step / LEVELS."""
+    """The weight step 0..LEVELS for each number of documents: weight = 1 + step / LEVELS."""
     if documents < 2:
         return np.full(len(df), LEVELS, np.uint8)
     idf = np.log((documents + 1) / (np.minimum(df, documents) + 1)) / np.log(documents + 1)
@@ -152,10 +203,9 @@ class Sampler:
         return out
 
 
-def _known(batch_column: pa.Array, level_of: np.ndarray):
-    """Per text of the column: sorted elements and their weights."""
-    found, _, at, _, base = elements(batch_column)
-    weight = 1.0 + level_of[_bucket(base)] / LEVELS
+def _weighted(found: np.ndarray, at: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text: sorted elements and their weights."""
+    weight = 1.0 + level / LEVELS
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         order = np.argsort(found[a:b])
@@ -163,6 +213,18 @@ def _known(batch_column: pa.Array, level_of: np.ndarray):
     return out
 
 
+def _known(batch_column: pa.Array, level_of: np.ndarray):
+    """Sorted elements and weights of the texts of a small table, of which each shingle has a bucket of its own."""
+    found, _, at, _, base = elements(batch_column)
+    return _weighted(found, at, level_of[_bucket(base)])
+
+
+def _held(texts: pa.Array, steps: pa.Array):
+    """Sorted elements and weights of texts whose weight steps are known."""
+    found, _, at, _, _ = elements(texts)
+    return _weighted(found, at, np.frombuffer(b"".join(steps.to_pylist()), np.uint8))
+
+
 def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
     """Weighted or plain Jaccard similarity of two texts' elements of at least SIMILARITY."""
     _, i, _ = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -220,50 +282,66 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     """One row per row of `df`: a struct `row` of the columns `keep`, `id`, `component_id` and `kept`."""
     spark = df.sparkSession
     carried = list(dict.fromkeys([*(keep or []), doc_id, text]))
-    stored = cut_lineage(df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")), "llm-rows")
-    own, body = F.col(f"row.`{doc_id}`").cast("long").alias("id"), F.col(f"row.`{text}`").cast("string").alias("text")
+    whole = F.col(f"row.`{text}`").cast("string")
+    stored, seen = cut_lineage(df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row")), "llm-rows",
+                               size=F.coalesce(F.sum(F.octet_length(whole)), F.lit(0)), documents=F.count(whole))
+    own, body = F.col(f"row.`{doc_id}`").cast("long").alias("id"), whole.alias("text")
     texts = stored.select("uid", body)
-    df_counts, documents = frequencies(texts.where("text IS NOT NULL").select("text"))
-    shared = spark.sparkContext.broadcast((levels(df_counts, documents), Sampler()))
-
-    def sign(batches):
-        level_of, sampler = shared.value
-        for batch in (b for whole in batches for b in blocks(whole, 2)):
-            found, _, at, digests, base = elements(batch.column(2))
-            bands = sampler.bands(found, level_of[_bucket(base)], at).T.astype(np.int64)
-            some = np.diff(at) > 0
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
-            null = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            uid = batch.column(0).to_numpy()
-            own = [int(u).to_bytes(8, "big") if gone else d for u, gone, d in zip(uid.tolist(), null.tolist(), digests)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel()))], names=["uid", "id", "words", "bands"])
-
-    signed = cut_lineage(stored.select("uid", own, body).mapInArrow(sign, "uid long, id long, words binary, bands array<long>"), "llm-samples")
+    size, documents = seen["size"], seen["documents"]
+    starts = spark.sparkContext.broadcast(_block_starts(texts))
+    sampler = spark.sparkContext.broadcast(Sampler())
+    common = levels(np.ones(1, np.int64), documents)[0]
+
+    @F.arrow_udf("long")
+    def block_of(uid: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(starts.value, uid.to_numpy(), side="right") - 1)
+
+    def sign(rows: pa.Table, listed: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        held = pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string())
+        found, _, at, digests, base = elements(held)
+        known = np.frombuffer(b"".join(listed.column("shingles").to_pylist()), np.uint64)
+        step = np.frombuffer(b"".join(listed.column("levels").to_pylist()), np.uint8)
+        level = np.full(len(found), common, np.uint8)
+        if len(known):
+            order = np.argsort(known)
+            known, step = known[order], step[order]
+            place = np.minimum(np.searchsorted(known, base), len(known) - 1)
+            level = np.where(known[place] == base, step[place], level)
+        bands = sampler.value.bands(found, level, at).T.astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))]).astype(np.int32)
+        uid = rows.column("uid").to_pylist()
+        own = [int(u).to_bytes(8, "big") if gone else d for u, gone, d in zip(uid, held.is_null().to_pylist(), digests)]
+        return pa.table({"uid": pa.array(uid, pa.int64()), "id": rows.column("id"), "words": pa.array(own, pa.binary()), "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
+                         "levels": pa.array([level[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
+
+    listed = frequent_shingles(texts, starts, size, documents)
+    in_blocks = stored.select("uid", own, body, block_of("uid").alias("block"))
+    signed = cut_lineage(in_blocks.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(sign, "uid long, id long, words binary, bands array<long>, levels binary"), "llm-samples")
     classes = signed.groupBy("words").agg(F.min("uid").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "bands")
     pairs, met = _candidates(reps)
     pairs, seen = cut_lineage(pairs, "llm-pairs", n=F.count(F.lit(1)))
 
     def verify(batches):
-        level_of, _ = shared.value
         for batch in (b for whole in batches for b in blocks(whole, 2)):
-            left, right = _known(batch.column(2), level_of), _known(batch.column(3), level_of)
+            left, right = _held(batch.column(2), batch.column(4)), _held(batch.column(3), batch.column(5))
             good = [similar(x, y) for x, y in zip(left, right)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    wanted = texts.join(small_side(named, 2 * seen["n"]), "uid", "left_semi")
-    t = [wanted.select(F.col("uid").alias(k), F.col("text").alias(f"text_{k}")) for k in ("a", "b")]
-    linked = pairs.join(t[0], "a").join(t[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    steps = signed.select("uid", "levels")
+    named = small_side(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), 2 * seen["n"])
+    wanted = texts.join(named, "uid", "left_semi").join(steps.join(named, "uid", "left_semi"), "uid")
+    t = [wanted.select(F.col("uid").alias(k), F.col("text").alias(f"text_{k}"), F.col("levels").alias(f"levels_{k}")) for k in ("a", "b")]
+    linked = pairs.join(t[0], "a").join(t[1], "b").select("a", "b", "text_a", "text_b", "levels_a", "levels_b").mapInArrow(verify, "a long, b long")
 
     def span(table: pa.Table) -> pa.Table:
-        level_of, _ = shared.value
         table = table.combine_chunks()
         ids = table.column("uid").to_pylist()
-        found = spanning_links(ids, _known(table.column("text").combine_chunks(), level_of)) if len(ids) > 1 else []
+        found = spanning_links(ids, _held(table.column("text").combine_chunks(), table.column("levels"))) if len(ids) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    spanned = met.join(texts, "uid").groupBy("band", "i", "j").applyInArrow(span, "a long, b long")
+    spanned = met.join(steps, "uid").join(texts, "uid").groupBy("band", "i", "j").applyInArrow(span, "a long, b long")
     roots = components(spark, linked.unionByName(spanned))
     # Both joins of rows to classes and groups read written tables: a hot one can then be split between tasks.
     of_class, seen = cut_lineage(classes.join(roots, F.col("rep") == F.col("node"), "left").select("words", F.coalesce("root", "rep").alias("root")), "llm-classes", n=F.count(F.lit(1)))
