@@ -217,6 +217,19 @@ def test_language_cases(spark):
     assert one.lang_pred == "en" and one.score == 1.0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Languages beyond the 200 with the most windows, and a sample that all share."""
+    rows = [(1000 * k + j, f"{chr(97 + k // 26)}{chr(97 + k % 26)} " * (600 if k < 220 else 90), f"l{k}") for k in range(230) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda x, y, languages: seen.update(x=x, y=y, languages=languages))
+    langid.fit(df, F.lit(True))
+    assert seen["languages"] == sorted(f"l{k}" for k in range(230)) and set(seen["y"].tolist()) == set(range(230))
+    monkeypatch.setattr(langid, "SAMPLE_IN_ALL", 500)
+    langid.fit(df, F.lit(True))
+    assert np.bincount(seen["y"]).tolist() == [2] * 230 and len(seen["x"]) == 460
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_held_out_languages(spark):
     got = QUERIES["op9_language_id"](spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "lang"]], on="doc_id")

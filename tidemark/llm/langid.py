@@ -5,7 +5,8 @@ are embedded; filters of several widths slide over them, each keeps its greatest
 over those gives the language. A text's language is the one with the greatest mean probability over its
 windows; that mean is the score.
 
-The network is trained in numpy on the driver on at most SAMPLE windows per language. They come from
+The network is trained in numpy on the driver on at most SAMPLE windows per language and about SAMPLE_IN_ALL in all, which
+languages share evenly; every language of a labelled document is learned. The windows come from
 labelled documents, drawn evenly: per language, windows with the least hashes of (id, position), found in two
 distributed steps. It is a few thousand numbers, sent to tasks, which score windows in batches.
 
@@ -28,7 +29,8 @@ from tidemark.llm.common import unpacked
 
 WINDOW = 128
 SAMPLE = 3000  # training windows per language at most
-LANGUAGES = 200  # languages at most: the most frequent ones
+SAMPLE_IN_ALL = 200 * SAMPLE  # training windows at most, but one of each language at least
+SPARE = 30  # windows drawn beyond half as many again as are wanted, so that a small share isn't missed
 EMBEDDED, FILTERS, WIDTHS = 8, 16, (2, 3, 4)
 EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY = 6, 800, 64, 4e-3, 1e-5
 PAD = 256
@@ -136,22 +138,24 @@ def fit(docs: DataFrame, train_rows: Column, text: str = "text", lang: str = "la
     """Train on rows that `train_rows` marks and whose language isn't null; None without any."""
     known = docs.where(F.coalesce(train_rows, F.lit(False)) & F.col(f"`{lang}`").isNotNull() & (F.octet_length(F.col(f"`{text}`").cast("string")) > 0)).select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.octet_length(F.col(f"`{text}`").cast("string")).cast("long").alias("size"), F.col(f"`{doc_id}`").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sizes = known.groupBy("lang").agg(F.sum(F.ceil(F.col("size") / WINDOW)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.sum(F.ceil(F.col("size") / WINDOW)).alias("n")).collect()  # a row per language
     if not sizes:
         return None
-    rate = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, 1.5 * SAMPLE / r["n"]))])
-    share = F.coalesce(rate[F.col("lang")], F.lit(0.0))
+    each = min(SAMPLE, max(1, SAMPLE_IN_ALL // len(sizes)))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (1.5 * each + SPARE) / r["n"])) for r in sizes], "lang string, share double")
+    share = F.col("share")
     starts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / WINDOW) - 1)
     key = lambda k: F.pmod(F.xxhash64("id", "size", k), F.lit(1 << 31))
-    chosen = known.select("lang", "text", share.alias("share"), F.explode(F.transform(F.filter(starts, lambda k: key(k) < share * (1 << 31)), lambda k: F.struct(k.alias("k"), key(k).alias("h")))).alias("w"))
+    chosen = known.join(F.broadcast(rates), "lang").select("lang", "text", F.explode(F.transform(F.filter(starts, lambda k: key(k) < share * (1 << 31)), lambda k: F.struct(k.alias("k"), key(k).alias("h")))).alias("w"))
     cut = chosen.select("lang", F.col("w.h").alias("h"), F.substring(F.col("text").cast("binary"), F.col("w.k").cast("int") * WINDOW + 1, F.lit(WINDOW)).alias("bytes"))
-    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "bytes"))).where(F.col("r") <= SAMPLE)
-    rows = ranked.select("lang", "bytes").toArrow()  # at most SAMPLE windows of each of LANGUAGES languages
+    ranked = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "bytes"))).where(F.col("r") <= each)
+    rows = ranked.select("lang", "bytes").toArrow()  # at most SAMPLE_IN_ALL windows, or one of each language
     languages = sorted(set(rows.column("lang").to_pylist()))
     x = np.full((rows.num_rows, WINDOW), PAD, np.int16)
     for k, b in enumerate(rows.column("bytes").to_pylist()):
         x[k, : len(b)] = _LOWER[np.frombuffer(b, np.uint8)]
-    y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
+    place = {v: k for k, v in enumerate(languages)}
+    y = np.array([place[v] for v in rows.column("lang").to_pylist()])
     order = np.lexsort((y, *x.T[:16]))  # rows arrive in any order
     return train(x[order], y[order], languages)
 
