@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, ctw, langid, mainblocks, neardup, packing, quality, sharding, vectors
+from tidemark.llm import bpe, classifier, clusters, ctw, fim, langid, mainblocks, neardup, packing, quality, sharding, treepack, vectors
 from tidemark.llm.common import fold, table
 from tidemark.session import scratch_path
 
@@ -67,6 +67,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "component_id", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treepack.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.summary(*clusters.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -78,9 +92,14 @@ QUERIES = {
     "op8_flow_resharding": op8_flow_resharding,
     "op9_language_id": op9_language_id,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_first_fit_packing": op12_first_fit_packing,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE,
     "op2_embedding_near_dedup": vectors.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_centroid_clustering": clusters.oracle(),
 }
