@@ -1,13 +1,18 @@
 """Feature generators composed into one job: learn on the training rows, apply to later rows.
 
 Generators that look at other rows work on a narrow projection and hand back frames keyed by the
-transaction; those frames share their partitioning, so they are joined to each other without another
-shuffle and to the wide rows once.
+transaction. `fit_transform` joins these frames lazily. `slices` is the way for large tables: the rows and the
+frame of every tier are written in equal buckets of the transaction id, all past features come from one table of
+instants for training and later rows together, and the tiers are joined bucket by bucket, without a shuffle of the
+wide rows.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -19,11 +24,13 @@ from tidemark.operators import basic as B
 from tidemark.operators import encode as E
 from tidemark.operators import graph as G
 from tidemark.operators import model as L
+from tidemark.operators import pastpass as P
 from tidemark.operators import reduce as R
 from tidemark.operators import velocity as V
+from tidemark.operators.buckets import BucketedTables
 from tidemark.operators.profile import numbered
 
-ID = "TransactionID"
+ID, SLICE, LATER = "TransactionID", "slice", "later__"
 
 
 class FeatureGenerator(Protocol):
@@ -57,8 +64,11 @@ class Amount:
     def fit(self, train):
         self.edges = B.decile_edges(train)
 
+    def add(self, rows):
+        return B.amount_decile(B.log_amount(rows), self.edges)
+
     def own(self, rows):
-        return B.amount_decile(B.log_amount(rows), self.edges).select(ID, "log_amount", "amount_decile")
+        return self.add(rows).select(ID, "log_amount", "amount_decile")
 
     def later(self, rows, history):
         return self.own(rows)
@@ -71,8 +81,11 @@ class Calendar:
     def fit(self, train):
         pass
 
+    def add(self, rows):
+        return B.calendar_set(rows)
+
     def own(self, rows):
-        return B.calendar_set(rows).select(ID, "hour_of_day", "day_of_week", "is_weekend", "is_business_hours", "hour_sin", "hour_cos")
+        return self.add(rows).select(ID, "hour_of_day", "day_of_week", "is_weekend", "is_business_hours", "hour_sin", "hour_cos")
 
     def later(self, rows, history):
         return self.own(rows)
@@ -86,12 +99,14 @@ class Mail:
     def fit(self, train):
         pass
 
+    def add(self, rows):
+        for c in self.columns:
+            rows = B.mail_columns(rows, c) if c in rows.columns else rows
+        return rows
+
     def own(self, rows):
         present = [c for c in self.columns if c in rows.columns]
-        out = rows
-        for c in present:
-            out = B.mail_columns(out, c)
-        return out.select(ID, *[f"{c}_{s}" for c in present for s in ("provider", "tld", "is_free", "is_disposable")])
+        return self.add(rows).select(ID, *[f"{c}_{s}" for c in present for s in ("provider", "tld", "is_free", "is_disposable")])
 
     def later(self, rows, history):
         return self.own(rows)
@@ -105,8 +120,11 @@ class Missing:
     def fit(self, train):
         self.columns = B.columns_often_missing(train)
 
+    def add(self, rows):
+        return B.missing_indicators(rows, self.columns)
+
     def own(self, rows):
-        return B.missing_indicators(rows, self.columns).select(ID, *[f"is_null_{c}" for c in self.columns])
+        return self.add(rows).select(ID, *[f"is_null_{c}" for c in self.columns])
 
     def later(self, rows, history):
         return self.own(rows)
@@ -118,6 +136,7 @@ class Past:
 
     compute: object
     rationale: str
+    family: str  # its name in `pastpass`, which makes several of them in one pass
 
     def fit(self, train):
         pass
@@ -136,12 +155,16 @@ def _behaviour(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Encoding:
-    columns: tuple[str, ...] = ("card4", "addr1", "P_emaildomain")  # those that the training rows have
+    columns: tuple[str, ...] = ("card4", "addr1", "P_emaildomain")
     rationale: str = "Smoothed label rate of the category, from other folds on the training rows."
     tables: dict = field(default_factory=dict)
     prior: DataFrame | None = None
+    absent: tuple[str, ...] = ()  # configured columns that the training rows lack
 
     def fit(self, train):
+        self.absent = tuple(c for c in self.columns if c not in train.columns)
+        if self.absent:
+            warnings.warn(f"no encoding for columns that the training rows lack: {', '.join(self.absent)}", stacklevel=2)
         self.columns = tuple(c for c in self.columns if c in train.columns)
         self.prior = train.agg(F.avg(F.col("isFraud").cast("double")).alias("prior"))
         self.tables = {c: E.fit_encoding(train, c) for c in self.columns}
@@ -160,6 +183,7 @@ class Encoding:
 class Decay:
     rationale: str = "Decayed counts and labels of the entity's past."
     state: DataFrame | None = None
+    family: str = "decay"
 
     def fit(self, train):
         self.state = V.ewm_end_state(train)
@@ -190,11 +214,11 @@ class Graph:
 
 DEFAULT = [
     ("amount", Amount), ("calendar", Calendar), ("mail", Mail), ("missing", Missing),
-    ("velocity", lambda: Past(V.velocity, "How often the entity was seen lately.")),
-    ("stats", lambda: Past(V.amount_stats, "Level and spread of the entity's recent amounts.")),
+    ("velocity", lambda: Past(V.velocity, "How often the entity was seen lately.", "velocity")),
+    ("stats", lambda: Past(V.amount_stats, "Level and spread of the entity's recent amounts.", "stats")),
     ("encoding", Encoding),
-    ("behaviour", lambda: Past(_behaviour, "Departure from the card's own habits.")),
-    ("cold_start", lambda: Past(V.cold_start, "Whether the card has any history.")),
+    ("behaviour", lambda: Past(_behaviour, "Departure from the card's own habits.", "behaviour")),
+    ("cold_start", lambda: Past(V.cold_start, "Whether the card has any history.", "cold_start")),
     ("decay", Decay), ("graph", Graph),
 ]
 
@@ -223,10 +247,68 @@ class FeatureChain:
             frames.append(frame)
             self.features += [(name, c, t, part.rationale) for c, t in frame.dtypes if c != ID]
         out = self._join(train, frames)
+        self._thin(train)
+        return out.drop(*self.dropped)
+
+    @contextmanager
+    def slices(self, train: DataFrame, later: DataFrame, buckets: int | None = None) -> Iterator[DataFrame]:
+        """Training rows and later rows with all features and `slice`; the past of the training rows flows on.
+
+        No later row may be as early as the last training row. Gives the rows of `fit_transform` and of
+        `transform` with the training rows as history. The frame reads tables that are deleted on leaving.
+        """
+        with BucketedTables(train.sparkSession, ID, buckets) as tables:
+            marked = train.withColumn(SLICE, F.lit("train")).unionByName(later.withColumn(SLICE, F.lit("later")), allowMissingColumns=True)
+            rows = tables.write(marked, "transactions")
+            train, later = (rows.where(F.col(SLICE) == s).drop(SLICE) for s in ("train", "later"))
+            span = rows.agg(F.max(F.when(F.col(SLICE) == "train", F.col(V.TIME))).alias("last"), F.min(F.when(F.col(SLICE) == "later", F.col(V.TIME))).alias("first")).first()
+            if span["first"] is not None and span["last"] is not None and span["first"] <= span["last"]:
+                raise ValueError("a later row lies before the last training row")
+            tiers, self.features, past, wide = [], [], [], rows
+            for name, part in self.parts:
+                part.fit(train)
+                if hasattr(part, "add"):
+                    made = part.own(train)
+                elif hasattr(part, "family"):
+                    past.append(part.family)
+                    made = None
+                else:
+                    made = part.own(train)
+                    tiers.append(tables.write(made.unionByName(part.later(later, train), allowMissingColumns=True), name))
+                if made is not None:
+                    self.features += [(name, c, t, part.rationale) for c, t in made.dtypes if c != ID]
+            if past:
+                tiers += self._past(tables, rows.drop(SLICE), later, past, span["last"])
+            wide = tables.joined(rows, tiers)
+            frozen = [c for c in wide.columns if c.startswith(LATER)]
+            wide = wide.withColumns({c[len(LATER):]: F.when(F.col(SLICE) == "later", F.col(f"`{c}`")).otherwise(F.col(f"`{c[len(LATER):]}`")) for c in frozen}).drop(*frozen)
+            for _, part in self.parts:
+                wide = part.add(wide) if hasattr(part, "add") else wide
+            self._thin(train)
+            order = {name: k for k, (name, _) in enumerate(self.parts)}
+            self.features.sort(key=lambda f: order[f[0]])
+            yield wide.drop(*self.dropped)
+
+    def _past(self, tables: BucketedTables, rows: DataFrame, later: DataFrame, families: list[str], last: int | None) -> list[DataFrame]:
+        """Tables of the past features; `later_` columns hold what later rows read from the state that training ended with."""
+        named = {part.family: (name, part) for name, part in self.parts if hasattr(part, "family")}
+        found = [tables.write(P.past_features(rows, families, last), "past")]
+        if "behaviour" in families:
+            found.append(tables.write(V.address_change(rows).join(V.device_change(rows), ID), "habits"))
+        types = {c: t for f in found for c, t in f.dtypes}
+        for family, columns in P.family_columns(families).items():
+            name, part = named[family]
+            made = columns + (["addr_change_flag", "device_change_flag"] if family == "behaviour" else [])
+            self.features += [(name, c, types[c], part.rationale) for c in made]
+        if "decay" in families:
+            frozen = named["decay"][1].later(later, None)
+            found.append(tables.write(frozen.select(ID, *[F.col(f"`{c}`").alias(LATER + c) for c in frozen.columns if c != ID]), "decay"))
+        return found
+
+    def _thin(self, train: DataFrame) -> None:
         if self.thin_columns and numbered(train.columns):
             self.groups = R.prune_correlated(train, "isFraud")
             self.dropped = [d["column"] for g in self.groups for d in g.dropped]
-        return out.drop(*self.dropped)
 
     def transform(self, rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Features of later rows. Without `history` past features see the slice alone; with it, the

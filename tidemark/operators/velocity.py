@@ -61,6 +61,11 @@ def zscores(df: DataFrame, entity: str = "card1", hour: str = "hour_of_day") ->
     inst = H.instants(rows, ["card"], amount=AMOUNT, hour=hour)
     past = H.running(inst, ["card"], sums=["hsum"], amount=True, gaps=True)
     past = past.select("card", "ts", "past_an", "past_mean", "past_m2", "past_hsum", "gap", "past_gap_n", "past_gap_sum", "past_gap_sq")
+    return _attach(df, rows, past, zscore_columns(hour))
+
+
+def zscore_columns(hour: str) -> dict[str, Column]:
+    """The scores of a row with its amount and hour beside the past of its card, as `running` gives it."""
     eps = config.ZSCORE_EPSILON
     n, gn = F.col("past_an"), F.col("past_gap_n").cast("double")
     gate = n > 0
@@ -69,11 +74,11 @@ def zscores(df: DataFrame, entity: str = "card1", hour: str = "hour_of_day") ->
     # The gaps are whole seconds, so n * sum of squares - square of sum is exact before the division.
     gap_var = (gn * F.col("past_gap_sq") - F.col("past_gap_sum").cast("double") * F.col("past_gap_sum")) / F.nullif(gn * (gn - 1), F.lit(0.0))
     gap_std = F.sqrt(F.greatest(gap_var, F.lit(0.0)))
-    return _attach(df, rows, past, {
+    return {
         "amt_zscore_vs_card1_history": F.when(gate & (n >= 2), (F.col(AMOUNT) - F.col("past_mean")) / (std + eps)),
         "time_since_last_txn_zscore": F.when(gate & (gn >= 2), (F.col("gap") - gap_mean) / (gap_std + eps)),
         "hour_deviation": F.when(gate, F.abs(F.col(hour) - F.col("past_hsum") / F.nullif(n, F.lit(0)))),
-    })
+    }
 
 
 def address_change(df: DataFrame, entity: str = "card1", address: str = "addr1") -> DataFrame:

@@ -10,12 +10,14 @@ from tidemark.operators import basic as B
 from tidemark.operators import chain as C
 from tidemark.operators import clean
 from tidemark.operators import model as L
+from tidemark.operators import pastpass as P
 from tidemark.operators import monitor as M
 from tidemark.operators import store as S
+from tidemark.operators.profile import numbered
 from tidemark.plans.evaluation import FEATURES, _model_frame, _parts
-from tidemark.plans.point_in_time import tied
-from tidemark.session import cut_lineage, scratch_path
-from tidemark.sources.views import SCORED_SQL, TXN_SQL, TXN_TIES_SQL, scored, transactions
+from tidemark.plans.point_in_time import SPLIT_AT, W1_SQL, W3_SQL, W4_SQL, W5_SQL, W6_SQL, W9_SQL, tied
+from tidemark.session import cut_lineage
+from tidemark.sources.views import FULL_SQL, SCORED_SQL, TXN_SQL, TXN_TIES_SQL, full_transactions, scored, transactions
 
 CARD_FEATURES = ["card1_seen_amt", "card1_amt_max_30d", "card1_velocity_1h"]
 
@@ -199,27 +201,69 @@ def p12(spark, sf):
     return L.search(cut_lineage(train, "search"), cut_lineage(val, "search"), FEATURES, 3)
 
 
+def _slices(spark, sf):
+    t = full_transactions(spark, sf)
+    return t.where(F.col("TransactionDT") < SPLIT_AT), t.where(F.col("TransactionDT") >= SPLIT_AT)
+
+
 def p13(spark, sf):
-    """All feature tiers on a training slice and a later slice; the mean of every feature."""
-    t = tied(spark, sf).drop("hour_of_day")
-    train, later = t.where(F.col("TransactionDT") < 20 * 86400), t.where(F.col("TransactionDT") >= 20 * 86400)
-    parts = C.FeatureChain()
-    a = cut_lineage(parts.fit_transform(train), "features-train")
-    path = scratch_path(spark, "features-fitted")
-    parts.save(spark, path)
-    b = cut_lineage(parts.load_tables(spark, path).transform(later, train), "features-later")
+    """All feature tiers, the V block and its thinning on a training slice and a later slice; the mean of every feature."""
+    chain = C.FeatureChain()
+    with chain.slices(*_slices(spark, sf)) as wide:
+        kept = {c for c, t_ in wide.dtypes if t_ != "string"} - {"slice"}
+        cols = [f for _, f, t_, _ in chain.features if f in kept] + [c for c in numbered(wide.columns)]
+        means = wide.groupBy("slice").agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f.replace(".", "_")) for f in cols])
+        long = means.unpivot(["slice"], [f.replace(".", "_") for f in cols], "feature", "mean")
+        return cut_lineage(round_columns(long), "feature-means")
+
+
+PAST_TIER = [*P.family_columns(["velocity"])["velocity"], *P.family_columns(["stats"])["stats"], "amt_zscore_vs_card1_history", "time_since_last_txn_zscore",
+             "addr_change_flag", "device_change_flag", "is_coldstart_card1"]
+
+
+def p13_past(spark, sf):
+    """The past tiers of the chain, row by row, over both slices."""
+    chain = C.FeatureChain([(n, make()) for n, make in C.DEFAULT if n in ("velocity", "stats", "behaviour", "cold_start")], thin_columns=False)
+    with chain.slices(*_slices(spark, sf)) as wide:
+        return cut_lineage(round_columns(wide.select("TransactionID", *PAST_TIER)), "past-tier")
+
+
+def _past_tier_sql():
+    stats = ", ".join(f"""CASE WHEN "{e}" IS NOT NULL THEN {sql6(f'{dict(mean="avg", std="stddev_samp", max="max")[s]}("TransactionAmt") OVER (PARTITION BY "{e}" ORDER BY "TransactionDT" RANGE BETWEEN {secs} PRECEDING AND 1 PRECEDING)')} END AS "{e}_amt_{s}_{w}" """
+                      for e, some in config.STATS_BY_ENTITY.items() for s in some for w, secs in config.STATS_WINDOWS.items())
+    joins = " ".join(f'JOIN ({q}) AS q{i} USING ("TransactionID")' for i, q in enumerate((W1_SQL, W3_SQL, W4_SQL, W5_SQL, W6_SQL, W9_SQL)))
+    return f"""SELECT "TransactionID", {', '.join(f'"{c}"' for c in PAST_TIER)} FROM (WITH {TXN_TIES_SQL} SELECT "TransactionID", {stats} FROM tied) AS s {joins}"""
+
+
+def p13_encoding(spark, sf):
+    """The encoding tier: out of fold on the training slice, the learned table on the later one."""
+    chain = C.FeatureChain([("encoding", C.Encoding())], thin_columns=False)
+    with chain.slices(*_slices(spark, sf)) as wide:
+        return cut_lineage(round_columns(wide.select("TransactionID", *[f"{c}_target_enc" for c in ENCODED])), "encoding-tier")
+
+
+ENCODED = ["card4", "addr1", "P_emaildomain"]
 
-    def means(df, name):
-        cols = [(g, f) for g, f, t_, _ in parts.features if t_ != "string" and f in df.columns]
-        wide = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f.replace(".", "_")) for _, f in cols])
-        long = wide.unpivot([], [f.replace(".", "_") for _, f in cols], "feature", "mean")
-        return long.withColumn("slice", F.lit(name))
 
-    return round_columns(means(a, "train").unionByName(means(b, "later")))
+def _encoding_tier_sql():
+    a, k = config.ENCODING_ALPHA, config.N_FOLDS
+    ctes, cols, joins = [], [], []
+    for c in ENCODED:
+        ctes.append(f"""n_{c} AS (SELECT "{c}" AS cat, fold, count(*) AS n, sum(y) AS h FROM x WHERE early GROUP BY 1, 2),
+t_{c} AS (SELECT cat, sum(n) AS n, sum(h) AS h FROM n_{c} GROUP BY 1)""")
+        joins.append(f"""LEFT JOIN n_{c} ON n_{c}.cat IS NOT DISTINCT FROM x."{c}" AND n_{c}.fold = x.fold LEFT JOIN t_{c} ON t_{c}.cat IS NOT DISTINCT FROM x."{c}" """)
+        cols.append(f"""CASE WHEN early THEN {sql6(f'(t_{c}.h - n_{c}.h + {a}::DOUBLE * o.prior) / (t_{c}.n - n_{c}.n + {a}::DOUBLE)')}
+  ELSE {sql6(f'CASE WHEN t_{c}.n IS NULL THEN g.prior ELSE (t_{c}.h + {a}::DOUBLE * g.prior) / (t_{c}.n + {a}::DOUBLE) END')} END AS "{c}_target_enc" """)
+    return f"""WITH {FULL_SQL},
+x AS (SELECT *, "isFraud"::DOUBLE AS y, "TransactionDT" < {SPLIT_AT} AS early, (('0x' || substr(md5('{config.SEED}:' || "TransactionID"), 1, 8))::BIGINT % {k}) AS fold FROM branded),
+g AS (SELECT avg(y) AS prior FROM x WHERE early),
+o AS (SELECT f.fold, avg(y) AS prior FROM (SELECT unnest(range({k})) AS fold) f JOIN x ON x.fold <> f.fold AND early GROUP BY 1),
+{', '.join(ctes)}
+SELECT "TransactionID", {', '.join(cols)} FROM x JOIN o ON o.fold = x.fold CROSS JOIN g {' '.join(joins)}"""
 
 
 def p13_manifest(spark, sf):
-    t = tied(spark, sf).drop("hour_of_day")
+    t = full_transactions(spark, sf)
     parts = C.FeatureChain([(n, make()) for n, make in C.DEFAULT if n in ("amount", "calendar", "mail", "velocity", "stats", "cold_start")])
     parts.fit_transform(t)
     return parts.manifest(spark).select("generator", "feature", "dtype")
@@ -262,11 +306,11 @@ def a23(spark, sf):
 
 QUERIES = {
     "p1_newest_snapshot": p1, "p2_long_rows_ttl": p2, "p3_visible_values": p3, "p4_feature_assembly": p4, "p5_degraded_mode": p5, "p6_decisions": p6, "p6_model_decisions": p6_model, "p7_top_contributions": p7,
-    "p8_reason_texts": p8, "p9_shadow_columns": p9, "p10_boosted_trees": p10, "p11_impute_scale": p11, "p12_parameter_search": p12, "p13_feature_tiers": p13,
+    "p8_reason_texts": p8, "p9_shadow_columns": p9, "p10_boosted_trees": p10, "p11_impute_scale": p11, "p12_parameter_search": p12, "p13_feature_tiers": p13, "p13_past_tier": p13_past, "p13_encoding_tier": p13_encoding,
     "p13_feature_manifest": p13_manifest, "p14_split_gap": p14, "a23_label_quality": a23,
 }
 ORACLES = {
     "p1_newest_snapshot": P1_SQL, "p2_long_rows_ttl": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap",
     "p3_visible_values": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap WHERE written_at <= {AS_OF} AND expires_at > {AS_OF}",
-    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p6_model_decisions": P6_MODEL_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p11_impute_scale": P11_SQL,
+    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p6_model_decisions": P6_MODEL_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p13_past_tier": _past_tier_sql(), "p13_encoding_tier": _encoding_tier_sql(), "p11_impute_scale": P11_SQL,
 }

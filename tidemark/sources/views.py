@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tidemark.session import ready
 
 
+# Card brands.
+CARD_BRANDS = ["american express", "discover", "mastercard", "visa"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -80,6 +84,22 @@ tied AS (
 )"""
 
 
+def full_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tied transactions with a card brand and the V block; vectors repeat in order of their ids."""
+    t = transactions(spark, sf_dir, ties=True)
+    block = wide_block(spark, sf_dir).drop("isFraud").withColumnRenamed("TransactionID", "_vec")
+    n = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_n"))  # one row
+    brand = F.element_at(F.array(*[F.lit(b) for b in CARD_BRANDS]), (F.col("card1") % len(CARD_BRANDS) + 1).cast("int"))
+    t = t.withColumn("card4", F.when(F.col("card1") % 9 != 0, brand)).crossJoin(F.broadcast(n))
+    return t.join(block, F.try_mod(F.col("TransactionID"), F.col("_n")) == F.col("_vec"), "left").drop("_vec", "_n")
+
+
+FULL_SQL = TXN_TIES_SQL + f""",
+branded AS (
+  SELECT *, CASE WHEN card1 % 9 <> 0 THEN {CARD_BRANDS}[card1 % {len(CARD_BRANDS)} + 1] END AS card4 FROM tied
+)"""
+
+
 def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions from `orders`: one-day time grain, so many rows are tied."""
     o = table(spark, sf_dir, "orders")
