@@ -89,6 +89,7 @@ def library():
 
 ODD = " \n\t\r\x0b\x0c\x1c\x85\xa0 　  'sdtrevml123\xb2٣\xe9\xe8\xf1\xdfabcXYZİΣ.,!#漢字\U0001f600́​﻿_-"
 SOME = [None, "", " ", "don't  'sup 's", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> c", "<|startoftext|>", "ΣΣ İ", "thing " * 30_000, "a" * 5000]
+SOME += ["Don't. It'S (A.'s b'.S) X.y,z 'Ll.'d a1.b2 É.È,e", "<|EndOfText|> A", "Zé. é.z a\u0301. A\u0301b .\u0301x"]
 SOME += ["".join(random.Random(k).choices(ODD, k=k % 70)) for k in range(500)]
 
 
@@ -96,7 +97,8 @@ def test_runs_are_encoded_as_by_the_library(library, monkeypatch):
     mine = treepack.RunEncoder(WORDS)
     for cache in (200_000, 7):
         monkeypatch.setattr(treepack, "CACHE_RUNS", cache)
-        for texts in (SOME, SOME[:9], SOME[100:140], ["", None], []):
+        plain = [t for t in SOME if "<|" not in (t or "").lower()]
+        for texts in (SOME, plain, plain, SOME[:9], SOME[100:140], ["", None], []):
             flat, at = mine(pa.array(texts, pa.string()))
             assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 

@@ -23,6 +23,7 @@ null; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,15 +39,27 @@ from tidemark.llm.chunks import Texts, blocks, encoded, words
 CAPACITY = 2048
 END_ID = 1
 GROUP = 4096  # mean documents of a group
-CACHE_RUNS = 200_000  # runs of non-spaces whose ids a worker remembers
+# What the tokenizer's file must say, so that runs can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+CACHE_RUNS = 300_000  # runs whose ids a worker remembers in each of two generations: about 60 MB each
 LONG = 64  # bytes of a run that is not remembered
-TEXT_AT_ONCE = 2 << 20  # bytes of text worked on at once; a longer text is worked on alone
+TEXT_AT_ONCE = 4 << 20  # bytes of text worked on at once; a longer text is worked on alone
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
 
 class RunEncoder:
-    """Ids of a tokenizer of the tokenizers library that drops white space: run by run of non-spaces.
+    """Ids of a tokenizer of the tokenizers library that lowers letters, drops white space and splits words from punctuation.
 
-    New runs of a batch are encoded in one call with a special token between them, and remembered.
+    Texts are cut into runs: at white space, and where an ASCII letter meets an ASCII mark other than an apostrophe.
+    No token of such a vocabulary crosses these cuts. ASCII letters are lowered before equal runs are looked for.
+    The new runs of a block are encoded by the library in one call with a special token between them, and
+    remembered; runs that were not met again while as many others came are forgotten. A block in which a special
+    token occurs (or would, once lowered) is cut at white space only.
     """
 
     def __init__(self, path: str):
@@ -54,44 +67,69 @@ class RunEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        special = {t.content: i for i, t in self._library.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word)}
-        if not special:
-            raise ValueError("the tokenizer has no special token to set runs apart")
+        added = self._library.get_added_tokens_decoder()
+        special = {t.content: i for i, t in added.items() if t.special and not (t.normalized or t.single_word)}
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        if not special or held["normalizer"] != NORMALIZER or held["pre_tokenizer"] != PRE_TOKENIZER:
+            raise ValueError("not a tokenizer whose runs can be told from its file")
         self._mark, self._mark_id = next(iter(special.items()))
-        self._added = re.compile("|".join(re.escape(t.content) for t in self._library.get_added_tokens_decoder().values()).encode())
-        self._known: dict[bytes, np.ndarray] = {}
-        self.narrow = np.dtype("<u2" if self._library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")  # holds every id
+        self._added = re.compile("|".join(re.escape(t.content) for t in added.values()).encode(), re.IGNORECASE)
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self.kind = np.dtype("<u2" if self._library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")  # holds every id
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, runs: list[bytes]) -> None:
+    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         plain = [r for r in runs if not self._added.search(r)]
-        for r in set(runs).difference(plain):
-            self._known[r] = self._ids(r.decode())
+        found = {r: self._ids(r.decode()).tobytes() for r in set(runs).difference(plain)}
         if plain:
-            ids = self._ids(self._mark.join(r.decode() for r in plain))
-            for r, own in zip(plain, np.split(ids, np.flatnonzero(ids == self._mark_id))):
-                self._known[r] = own[1:] if len(own) and own[0] == self._mark_id else own
+            ids, width = self._ids(self._mark.join([r.decode() for r in plain])), self.kind.itemsize
+            at = (width * np.flatnonzero(ids == self._mark_id)).tolist()
+            raw = ids.tobytes()
+            found.update((r, raw[a:b]) for r, a, b in zip(plain, [0, *[x + width for x in at]], [*at, len(raw)]))
+        return found
+
+    def _of(self, different: list[bytes]) -> list[bytes]:
+        young, old = self._young, self._old
+        own = [young.get(r) for r in different]
+        missing = [k for k, ids in enumerate(own) if ids is None]
+        for k in missing:
+            own[k] = old.get(different[k])
+        learnt = self._learn([different[k] for k in missing if own[k] is None])
+        for k in missing:
+            r = different[k]
+            if own[k] is None:
+                own[k] = learnt[r]
+            if len(r) <= LONG:  # longer runs are rare and would fill the memory
+                young[r] = own[k]
+        if len(young) > CACHE_RUNS:
+            self._young, self._old = {}, young
+        return own
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text start."""
-        data, offsets, before = words(Texts(column))
+        texts = Texts(column)
+        if self._added.search(texts.bytes):
+            data, offsets, before = words(texts)
+        else:
+            raw = texts.bytes
+            data, offsets, before = words(texts, np.where((raw >= 65) & (raw <= 90), raw | 32, raw))
+            letter, mark = _LETTER[data], _MARK[data]
+            cut = np.zeros(len(data) + 1, bool)
+            cut[1:-1] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+            cut[offsets] = True
+            starts, offsets = offsets[before], np.flatnonzero(cut)
+            before = np.searchsorted(offsets, starts)
         codes, different = encoded(data, offsets)
-        new = [r for r in different if r not in self._known]
-        if new and len(self._known) + len(new) > CACHE_RUNS:
-            self._known.clear()
-            new = different
-        self._learn(new)
-        own = list(map(self._known.__getitem__, different))
-        for r in different:
-            if len(r) > LONG:
-                del self._known[r]  # long runs are rare and would fill the memory
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        if not len(own):
-            return np.zeros(0, "<u4"), np.zeros(len(before), np.int64)
-        held = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.concatenate(own)))
-        return held.take(pa.array(codes)).flatten().to_numpy().astype("<u4", copy=False), np.concatenate([[0], np.cumsum(sizes[codes])])[before]
+        if not different:
+            return np.zeros(0, self.kind), np.zeros(len(before), np.int64)
+        own = self._of(different)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
+        held = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), pa.array(np.frombuffer(b"".join(own), self.kind)))
+        return held.take(pa.array(codes)).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes[codes])])[before]
 
 
 _ENCODERS: dict[str, RunEncoder] = {}
@@ -198,10 +236,9 @@ def _mixed(x: int) -> int:
 
 def pieces(docs: DataFrame, tokenizer: str, groups: int, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:
     """Full pieces of each document, without ids, and its remainder with them, each dealt to a group."""
-    end = np.array([END_ID], "<u4")
-
     def run(batches):
         encode, part, nth = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([END_ID], encode.kind)
         for batch in (b for whole in batches for b in blocks(whole, 1, TEXT_AT_ONCE)):
             flat, at = encode(batch.column(1))
             out = {name.split()[0]: [] for name in PIECES.split(", ")}
@@ -211,7 +248,7 @@ def pieces(docs: DataFrame, tokenizer: str, groups: int, capacity: int = CAPACIT
                 for start in range(0, n, capacity):
                     own = ids[start: start + capacity]
                     whole = len(own) == capacity
-                    for name, value in zip(out, (_mixed((part << 40) + nth ^ _mixed(seed + 1)) % groups, doc, start, len(own), zlib.crc32(own) if whole else None, n, None if whole else own.astype(encode.narrow).tobytes())):
+                    for name, value in zip(out, (_mixed((part << 40) + nth ^ _mixed(seed + 1)) % groups, doc, start, len(own), zlib.crc32(own.astype("<u4")) if whole else None, n, None if whole else own.tobytes())):
                         out[name].append(value)
                     nth += 1
             types = [pa.int64()] * 6 + [pa.binary()]
