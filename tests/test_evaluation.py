@@ -156,6 +156,47 @@ def test_isotonic_is_increasing_and_clipped(spark, frame):
     assert got == sorted(got) and 0.0 <= got[0] and got[-1] <= 1.0
 
 
+def pooled(points):
+    """Pool adjacent violators over (score, rows, labels)."""
+    blocks = []
+    for x, w, y in points:
+        blocks.append([w, y, [x]])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            w2, y2, xs = blocks.pop()
+            blocks[-1][0] += w2
+            blocks[-1][1] += y2
+            blocks[-1][2].extend(xs)
+    return {x: y / w for w, y, xs in blocks for x in xs}
+
+
+def test_hulls_of_many_ranges_equal_pooling(spark):
+    """A million distinct scores over 64 ranges: long flat stretches and many blocks."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("id / 1000000D as s", "cast(xxhash64(id) % 1000 / 1000D < pow(id / 1000000D, 3) - 0.4 * sin(id / 100000D) as int) as y")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        model = K.fit_isotonic(df, "y", "s").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = pooled((r["s"], 1, r["y"]) for r in sorted(df.collect()))
+    assert 20 < len({r["value"] for r in model}) < n and all(math.isclose(want[r["score"]], r["value"], rel_tol=1e-12) for r in model)
+    knots = sorted((r["score"], r["value"]) for r in model)
+    assert [v for _, v in knots] == sorted(v for _, v in knots)
+    at = {s for s, _ in knots}
+    assert min(at) == min(want) and max(at) == max(want)
+
+
+def test_calibrated_scores_lie_on_the_fit(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.2, 1), (0.3, 0), (0.5, 1), (0.5, 1), (0.9, 1), (None, 1)], "s double, y int")
+    model = K.fit_isotonic(df, "y", "s")
+    assert sorted(map(tuple, model.collect())) == [(0.1, 0.0), (0.2, 0.5), (0.3, 0.5), (0.5, 1.0), (0.9, 1.0)]
+    asked = spark.createDataFrame([(x, "k") for x in (-1.0, 0.1, 0.15, 0.25, 0.4, 0.7, 2.0, None)], "s double, c string")
+    got = {r["s"]: r["p"] for r in K.isotonic(asked, model, "s", "p").collect()}
+    assert got[None] is None and [round(got[x], 9) for x in (-1.0, 0.1, 0.15, 0.25, 0.4, 0.7, 2.0)] == [0.0, 0.0, 0.25, 0.5, 0.75, 1.0, 1.0]
+    assert K.fit_isotonic(df.limit(0), "y", "s").count() == 0
+
+
 def test_method_choice(spark, frame):
     miscalibrated = spark.range(400).selectExpr("id as TransactionID", "cast(id % 10 < 1 as int) as y", "0.9 as s0").withColumn("s", F.col("s0").cast("double"))
     name, fitted = K.select_method(miscalibrated, "y", "s")

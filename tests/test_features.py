@@ -338,3 +338,54 @@ def test_chain_on_later_rows(spark, tmp_path):
     chain.save(spark, str(tmp_path / "fitted"))
     again = CH.FeatureChain([(n, make()) for n, make in CH.DEFAULT if n in dict(parts)]).load_tables(spark, str(tmp_path / "fitted"))
     assert collected(again.transform(later)) == alone
+
+
+@pytest.fixture(scope="module")
+def wide_rows(spark):
+    """Rows with every column of the chain, a V block with a near copy, and card brands."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(200):
+        v = rng.gauss(0, 1)
+        rows.append((i, i * 500, rng.choice([None, round(rng.uniform(1, 90), 2)]), rng.choice([None, 1, 1, 2, 3, 4]), rng.choice([None, 1, 2]), rng.choice([None, "a", "b", "c"]),
+                     rng.choice([None, "gmail.com", "corp.co.uk"]), rng.choice([None, "visa", "discover"]), int(rng.random() < 0.3), v, 2 * v + rng.gauss(0, 0.01), rng.gauss(0, 1), rng.choice([None, 1.0, 2.0])))
+    kind = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, addr1 int, DeviceInfo string, P_emaildomain string, card4 string, isFraud int, V1 double, V2 double, V3 double, V4 double"
+    df = spark.createDataFrame(rows, kind)
+    return df.where("TransactionID < 140").cache(), df.where("TransactionID >= 140").cache()
+
+
+def close(a, b):
+    return a == b or (a is not None and b is not None and not isinstance(a, str) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+
+
+def test_slices_equal_the_joined_chain(spark, wide_rows):
+    train, later = wide_rows
+    plain, bucketed = CH.FeatureChain(), CH.FeatureChain()
+    want = collected(plain.fit_transform(train)) | collected(plain.transform(later, train))
+    with bucketed.slices(train, later, buckets=3) as wide:
+        joined = wide._jdf.queryExecution().executedPlan().toString()
+        got = collected(wide)
+    assert bucketed.dropped == plain.dropped and set(plain.dropped) in ({"V1"}, {"V2"})
+    assert sorted(bucketed.features) == sorted(plain.features)
+    assert got.keys() == want.keys()
+    for i, row in want.items():
+        assert got[i]["slice"] == ("train" if i < 140 else "later")
+        for c, v in row.items():
+            assert close(got[i][c], v), (i, c, got[i][c], v)
+    assert "card4_target_enc" in got[0] and "clustering_coefficient" in got[0]
+    # The tiers are merged bucket by bucket: nothing is shuffled or broadcast.
+    assert joined.count("SortMergeJoin") >= 5 and "Exchange" not in joined
+
+
+def test_slices_refuse_later_rows_before_training(wide_rows):
+    train, later = wide_rows
+    with pytest.raises(ValueError, match="before the last training row"):
+        with CH.FeatureChain([("amount", CH.Amount())]).slices(later, train):
+            pass
+
+
+def test_absent_encoding_columns_are_reported(wide_rows):
+    part = CH.Encoding()
+    with pytest.warns(UserWarning, match="card4"):
+        part.fit(wide_rows[0].drop("card4"))
+    assert part.absent == ("card4",) and part.columns == ("addr1", "P_emaildomain")

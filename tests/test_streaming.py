@@ -10,8 +10,8 @@ import pytest
 from tests.test_history import SCHEMA, collected, make_rows
 from tidemark.operators import velocity as V
 from tidemark.streaming import rates as R
-from tidemark.streaming.features import DecayStream, VelocityStream
-from tidemark.streaming.runner import drain
+from tidemark.streaming.runner import drain, stream_of
+from tidemark.streaming.stateful import DecayStream, VelocityStream
 
 
 @pytest.fixture(scope="module")
@@ -23,48 +23,75 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def closing(rows):
+    """A transaction so late that the watermark passes all others."""
+    at = max(r[1] for r in rows) + 40 * 86400
+    return [(-1, at, *[None] * (len(rows[0]) - 2))]
+
+
+def streamed(spark, parts):
+    return stream_of([frame(spark, p) for p in parts], files=2)
+
+
 def test_velocity_in_batches_with_disorder(spark, rows):
     rng = random.Random(2)
     jittered = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 7000))  # out of order by less than the delay
     job = VelocityStream(spark, ["card1", "addr1"], {"1h": 3600, "24h": 86400}, delay=7200)
-    for epoch, part in enumerate((jittered[:70], jittered[70:110], jittered[110:])):
-        job.step(frame(spark, part), epoch)
-    job.finish()
-    want = collected(V.velocity(frame(spark, rows), ["card1", "addr1"], {"1h": 3600, "24h": 86400}))
-    assert collected(job.output()) == want and job.late().count() == 0
-
-
-def test_a_repeated_batch_changes_nothing(spark, rows):
-    job = VelocityStream(spark, ["card1"], {"24h": 86400})
-    job.step(frame(spark, rows[:80]), 0)
-    job.step(frame(spark, rows[80:]), 1)
-    before = collected(job.output())
-    resumed = VelocityStream(spark, ["card1"], {"24h": 86400}, root=job.store.root)
-    resumed.step(frame(spark, rows[80:]), 1)
-    assert collected(resumed.output()) == before
-
-
-def test_late_rows_are_set_aside(spark, rows):
-    job = VelocityStream(spark, ["card1"], {"24h": 86400})
-    job.step(frame(spark, rows[80:]), 0)
-    job.step(frame(spark, rows[:80]), 1)
-    mark = max(r[1] for r in rows[80:])
-    assert job.late().count() == sum(r[1] < mark for r in rows[:80])
-
-
-def test_decay_in_batches(spark, rows):
-    job = DecayStream(spark, ["card1", "addr1"])
-    # The cut falls inside a tie where there is one.
-    for epoch, part in enumerate((rows[:53], rows[53:54], rows[54:])):
-        job.step(frame(spark, part), epoch)
-    want, got = collected(V.ewm(frame(spark, rows), ["card1", "addr1"])), collected(job.output())
-    assert got.keys() == want.keys() and job.late().count() == 0
+    late = job.run(streamed(spark, [jittered[:70], jittered[70:110], jittered[110:], closing(rows)]))
+    assert collected(job.output()) == collected(V.velocity(frame(spark, rows), ["card1", "addr1"], {"1h": 3600, "24h": 86400})) and late == 0
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, rows, tmp_path):
+    """Two runs over one growing folder; repeated transactions count once."""
+    root, source = str(tmp_path / "job"), str(tmp_path / "in")
+    frame(spark, rows[:80]).write.parquet(source)
+    outputs = []
+    for more in (rows[70:] + closing(rows), None):
+        job = DecayStream(spark, ["card1", "addr1"], delay=5 * 86400, root=root)
+        late = job.run(spark.readStream.schema(SCHEMA).parquet(source))
+        assert late == 0
+        outputs.append(collected(job.output()))
+        if more:
+            frame(spark, more).write.mode("append").parquet(source)
+    assert 0 < len(outputs[0]) < 80
+    compare_decay(outputs[1], collected(V.ewm(frame(spark, rows), ["card1", "addr1"])))
+    assert all(outputs[1][i] == v for i, v in outputs[0].items())
+
+
+def compare_decay(got, want):
+    assert got.keys() == want.keys()
     for i in want:
         for c, v in want[i].items():
             assert math.isclose(got[i][c], v, rel_tol=1e-9, abs_tol=1e-12), (i, c)
-    state = {(r["entity"], r["value"], r["lambda"]): r["v"] for r in V.ewm_end_state(frame(spark, rows), ["card1", "addr1"]).collect()}
-    for r in job.state().collect():
-        assert math.isclose(r["v"], state[r["entity"], r["value"], r["lambda"]], rel_tol=1e-9)
+
+
+def test_late_rows_are_counted_and_left_out(spark, rows):
+    job = VelocityStream(spark, ["card1"], {"24h": 86400}, delay=1)
+    again = [(1000 + r[0], *r[1:]) for r in rows[:30]]
+    cut = next(k for k in range(60, 100) if rows[k][1] > rows[k - 1][1])  # no tie with the watermark
+    late = job.run(streamed(spark, [rows[:50], rows[50:cut], rows[cut:] + again, closing(rows)]))
+    assert late == 30 and max(r[1] for r in again) < rows[49][1]
+    assert collected(job.output()) == collected(V.velocity(frame(spark, rows), ["card1"], {"24h": 86400}))
+
+
+def test_rows_that_are_late_by_one_batch_meet_their_second(spark, rows):
+    job = DecayStream(spark, ["card1"], delay=1)
+    cut = next(k for k in range(60, 100) if rows[k][1] > rows[k - 1][1])
+    known = next(r for r in reversed(rows[:cut - 20]) if r[3] == 1)
+    every = rows + [(1000, *known[1:])]
+    assert job.run(streamed(spark, [rows[:cut], every[cut:], closing(rows)])) == 0
+    compare_decay(collected(job.output()), collected(V.ewm(frame(spark, every), ["card1"])))
+
+
+def test_decay_in_batches_and_a_hot_entity(spark, rows):
+    hot = [(5000 + k, 86400 + k // 3, *rows[0][2:]) for k in range(400)]
+    every = sorted(rows + hot, key=lambda r: (r[1], r[0]))
+    job = DecayStream(spark, ["card1", "addr1"], delay=1)
+    # No cut falls inside a tie: rows tied with the watermark would be late.
+    cuts = [k for k in (200, 420) if every[k][1] > every[k - 1][1]]
+    parts = [every[a:b] for a, b in zip([0, *cuts], [*cuts, len(every)])]
+    assert job.run(streamed(spark, [*parts, closing(every)])) == 0
+    compare_decay(collected(job.output()), collected(V.ewm(frame(spark, every), ["card1", "addr1"])))
 
 
 def test_repeats_across_files_are_written_once(spark, tmp_path):

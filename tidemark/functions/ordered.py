@@ -15,10 +15,11 @@ from tidemark.session import cut_lineage
 
 
 def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str] | None = None,
-               descending: bool = False) -> DataFrame:
+               descending: bool = False, with_range: bool = False) -> DataFrame:
     """Add `before_<c>` and `total_<c>`: sums over earlier values and over the group.
 
-    `counts` must already hold one row per (groups, value), with no NULL value.
+    `counts` must already hold one row per (groups, value), with no NULL value. `with_range` keeps `range`,
+    the number of the stretch of consecutive values that a row was dealt into.
     """
     groups = groups or []
     part = F.spark_partition_id().alias("range")
@@ -30,7 +31,30 @@ def cumulative(counts: DataFrame, value: str, sums: list[str], groups: list[str]
     inside = Window.partitionBy("range", *groups).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
     y = placed.join(totals, ["range", *groups])
     y = y.withColumns({f"before_{c}": F.col(f"a_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    return y.drop("range", *[f"a_{c}" for c in sums])
+    return y.drop(*([] if with_range else ["range"]), *[f"a_{c}" for c in sums])
+
+
+def between(values: DataFrame, value: str, knots: DataFrame, knot: str, payload: str) -> DataFrame:
+    """Each distinct non-null value with the last knot at or before it and the first one at or after it.
+
+    Adds `below` and `above`: structs of a knot and its payload, NULL where there is none. Values and knots are
+    dealt into ranges together, so neither side is held by one task; a range learns the nearest knots outside
+    it from a table of one row per range.
+    """
+    mark = F.struct(F.col("v").alias(knot), F.col("p").alias(payload))
+    asked = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.lit(None).cast(knots.schema[payload].dataType).alias("p"), F.lit(True).alias("asked"))
+    both = asked.unionByName(knots.select(F.col(knot).alias("v"), F.col(payload).alias("p"), F.lit(False).alias("asked")))
+    points = both.groupBy("v").agg(F.max("p").alias("p"), F.max("asked").alias("asked"), F.max(~F.col("asked")).alias("is_knot"))
+    placed = cut_lineage(points.repartitionByRange("v").select("*", F.when(F.col("is_knot"), mark).alias("k"), F.spark_partition_id().alias("range")), "knots")
+    ends = placed.groupBy("range").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    order = Window.orderBy("range")  # one row per range
+    ends = ends.select("range", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.min("first").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
+    inside = Window.partitionBy("range").orderBy("v")
+    y = placed.join(ends, "range")
+    y = y.withColumns({
+        "below": F.coalesce(F.last("k", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("lower")),
+        "above": F.coalesce(F.first("k", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("upper"))})
+    return y.where("asked").select(F.col("v").alias(value), "below", "above")
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], groups: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,13 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Protocol
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from tidemark.operators.buckets import BucketedTables
 from tidemark.operators.profile import numbered
 
 ID, SLICE, LATER = "TransactionID", "slice", "later__"
+TIERS_AT_ONCE = 4  # tiers whose jobs are submitted together
 
 
 class FeatureGenerator(Protocol):
@@ -264,46 +268,70 @@ class FeatureChain:
             span = rows.agg(F.max(F.when(F.col(SLICE) == "train", F.col(V.TIME))).alias("last"), F.min(F.when(F.col(SLICE) == "later", F.col(V.TIME))).alias("first")).first()
             if span["first"] is not None and span["last"] is not None and span["first"] <= span["last"]:
                 raise ValueError("a later row lies before the last training row")
-            tiers, self.features, past, wide = [], [], [], rows
+            jobs = []
             for name, part in self.parts:
-                part.fit(train)
                 if hasattr(part, "add"):
-                    made = part.own(train)
-                elif hasattr(part, "family"):
-                    past.append(part.family)
-                    made = None
-                else:
-                    made = part.own(train)
-                    tiers.append(tables.write(made.unionByName(part.later(later, train), allowMissingColumns=True), name))
-                if made is not None:
-                    self.features += [(name, c, t, part.rationale) for c, t in made.dtypes if c != ID]
+                    jobs.append(partial(self._inline, name, part, train))
+                elif not hasattr(part, "family"):
+                    jobs.append(partial(self._tier, tables, name, part, train, later))
+            past = [part.family for _, part in self.parts if hasattr(part, "family")]
             if past:
-                tiers += self._past(tables, rows.drop(SLICE), later, past, span["last"])
-            wide = tables.joined(rows, tiers)
+                jobs.append(partial(self._past, tables, rows.drop(SLICE), past, span["last"]))
+            if "behaviour" in past:
+                jobs.append(partial(self._habits, tables, rows.drop(SLICE)))
+            if "decay" in past:
+                jobs.append(partial(self._frozen, tables, train, later))
+            jobs.append(partial(self._thin, train))
+            self.features = []
+            # The tiers are jobs of their own, so the cluster works on several of them at once.
+            with ThreadPoolExecutor(TIERS_AT_ONCE) as pool:
+                made = [done.result() for done in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+            wide = tables.joined(rows, [table for table in made if table is not None])
             frozen = [c for c in wide.columns if c.startswith(LATER)]
             wide = wide.withColumns({c[len(LATER):]: F.when(F.col(SLICE) == "later", F.col(f"`{c}`")).otherwise(F.col(f"`{c[len(LATER):]}`")) for c in frozen}).drop(*frozen)
             for _, part in self.parts:
                 wide = part.add(wide) if hasattr(part, "add") else wide
-            self._thin(train)
             order = {name: k for k, (name, _) in enumerate(self.parts)}
             self.features.sort(key=lambda f: order[f[0]])
             yield wide.drop(*self.dropped)
 
-    def _past(self, tables: BucketedTables, rows: DataFrame, later: DataFrame, families: list[str], last: int | None) -> list[DataFrame]:
-        """Tables of the past features; `later_` columns hold what later rows read from the state that training ended with."""
-        named = {part.family: (name, part) for name, part in self.parts if hasattr(part, "family")}
-        found = [tables.write(P.past_features(rows, families, last), "past")]
-        if "behaviour" in families:
-            found.append(tables.write(V.address_change(rows).join(V.device_change(rows), ID), "habits"))
-        types = {c: t for f in found for c, t in f.dtypes}
+    def _learnt(self, name: str, part: FeatureGenerator, types: list[tuple[str, str]]) -> None:
+        self.features += [(name, c, t, part.rationale) for c, t in types if c != ID]
+
+    def _inline(self, name: str, part: FeatureGenerator, train: DataFrame) -> None:
+        """Features of the row alone need no table."""
+        part.fit(train)
+        self._learnt(name, part, part.own(train).dtypes)
+
+    def _tier(self, tables: BucketedTables, name: str, part: FeatureGenerator, train: DataFrame, later: DataFrame) -> DataFrame:
+        part.fit(train)
+        own = part.own(train)
+        self._learnt(name, part, own.dtypes)
+        return tables.write(own.unionByName(part.later(later, train), allowMissingColumns=True), name)
+
+    def _past(self, tables: BucketedTables, rows: DataFrame, families: list[str], last: int | None) -> DataFrame:
+        """All past features but the flags, in one table."""
+        table = tables.write(P.past_features(rows, families, last), "past")
+        types = dict(table.dtypes)
         for family, columns in P.family_columns(families).items():
-            name, part = named[family]
-            made = columns + (["addr_change_flag", "device_change_flag"] if family == "behaviour" else [])
-            self.features += [(name, c, types[c], part.rationale) for c in made]
-        if "decay" in families:
-            frozen = named["decay"][1].later(later, None)
-            found.append(tables.write(frozen.select(ID, *[F.col(f"`{c}`").alias(LATER + c) for c in frozen.columns if c != ID]), "decay"))
-        return found
+            name, part = self._of_family(family)
+            self._learnt(name, part, [(c, types[c]) for c in columns])
+        return table
+
+    def _habits(self, tables: BucketedTables, rows: DataFrame) -> DataFrame:
+        table = tables.write(V.address_change(rows).join(V.device_change(rows), ID), "habits")
+        self._learnt(*self._of_family("behaviour"), table.dtypes)
+        return table
+
+    def _frozen(self, tables: BucketedTables, train: DataFrame, later: DataFrame) -> DataFrame:
+        """What later rows read from the state that training ended with, in columns named `later__...`."""
+        _, part = self._of_family("decay")
+        part.fit(train)
+        found = part.later(later, None)
+        return tables.write(found.select(ID, *[F.col(f"`{c}`").alias(LATER + c) for c in found.columns if c != ID]), "decay")
+
+    def _of_family(self, family: str) -> tuple[str, FeatureGenerator]:
+        return next((name, part) for name, part in self.parts if getattr(part, "family", None) == family)
 
     def _thin(self, train: DataFrame) -> None:
         if self.thin_columns and numbered(train.columns):

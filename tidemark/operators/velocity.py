@@ -128,7 +128,7 @@ def cold_start(df: DataFrame, entities: list[str] | None = None, min_history: in
         (F.coalesce(F.col(f"is_coldstart_{e}"), F.lit(0)) < min_history).cast("int").alias(f"is_coldstart_{e}") for e in entities])
 
 
-def _check_lambdas(lambdas: list[float]) -> list[float]:
+def checked_lambdas(lambdas: list[float]) -> list[float]:
     if len(set(lambdas)) != len(lambdas):
         raise ValueError(f"duplicate decay rates: {lambdas}")
     return lambdas
@@ -141,7 +141,7 @@ def ewm_name(entity: str, weight: str, lam: float) -> str:
 def ewm(df: DataFrame, entities: list[str] | None = None, lambdas: list[float] | None = None, fraud_weighted: bool = True) -> DataFrame:
     """Decayed past event counts and decayed past labels per entity and rate; 0 without history."""
     entities = entities or config.VELOCITY_ENTITIES
-    lambdas = _check_lambdas(lambdas or config.EWM_LAMBDAS)
+    lambdas = checked_lambdas(lambdas or config.EWM_LAMBDAS)
     require_columns(df, [ID, TIME, *entities, *([LABEL] if fraud_weighted else [])])
     rows = H.entity_rows(df, entities, ID, TIME, [LABEL] if fraud_weighted else [])
     inst = H.instants(rows, label=LABEL if fraud_weighted else None)
@@ -157,7 +157,7 @@ def ewm(df: DataFrame, entities: list[str] | None = None, lambdas: list[float] |
 def ewm_end_state(df: DataFrame, entities: list[str] | None = None, lambdas: list[float] | None = None) -> DataFrame:
     """The state each (entity, rate) has after its last event: `last_t`, `v`, `fraud_v`."""
     entities = entities or config.VELOCITY_ENTITIES
-    lambdas = _check_lambdas(lambdas or config.EWM_LAMBDAS)
+    lambdas = checked_lambdas(lambdas or config.EWM_LAMBDAS)
     rows = H.entity_rows(df, entities, ID, TIME, [LABEL])
     state = H.end_state(H.instants(rows, label=LABEL), lambdas, {"v": "n", "f": "f"})
     return state.withColumnRenamed("f", "fraud_v")

@@ -13,8 +13,8 @@ from tidemark.plans.point_in_time import ENT
 from tidemark.session import scratch_path
 from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, table, transaction_columns, transactions
 from tidemark.streaming import rates as R
-from tidemark.streaming.features import DecayStream, VelocityStream, per_batch
-from tidemark.streaming.runner import closed_event_stream, drain, drain_batches, event_stream, split_event_stream, stream_of
+from tidemark.streaming.runner import closed_event_stream, closing_event, drain, drain_batches, event_stream, per_batch, split_event_stream, stream_of
+from tidemark.streaming.stateful import DecayStream, VelocityStream
 
 
 def prediction_stream(spark, sf):
@@ -28,8 +28,7 @@ def closed_predictions(spark, sf):
 
 def t1s(spark, sf):
     job = VelocityStream(spark, delay=3600)
-    job.run(transaction_columns(split_event_stream(spark, sf)))
-    job.finish()
+    job.run(transaction_columns(split_event_stream(spark, sf, close_days=3)))
     return job.output()
 
 
@@ -39,8 +38,8 @@ T1_SQL = f"WITH {TXN_SQL}\nSELECT \"TransactionID\", " + ", ".join(
 
 
 def t2s(spark, sf):
-    job = DecayStream(spark, ["card1", "addr1"])
-    job.run(transaction_columns(split_event_stream(spark, sf)))
+    job = DecayStream(spark, ["card1", "addr1"], delay=1)
+    job.run(transaction_columns(split_event_stream(spark, sf, close_days=3)))
     return round_columns(job.output())
 
 
@@ -56,13 +55,15 @@ def _t2_sql():
 
 
 def t3s(spark, sf):
-    """Two micro-batches, the second with the early days again: how many rows are on time and late."""
+    """Three micro-batches, the last with the early days again: how many rows are on time and late."""
     ev = table(spark, sf, "events")
     times = transactions(spark, sf).select(F.col("TransactionID").alias("event_id"), "TransactionDT")
     at = lambda rule: ev.join(times.where(rule).select("event_id"), "event_id", "left_semi").select(ev.columns)
-    job = VelocityStream(spark, ["card1"], {"24h": 86400})
-    job.run(transaction_columns(stream_of([at(F.col("TransactionDT") < 20 * 86400), at((F.col("TransactionDT") >= 20 * 86400) | (F.col("TransactionDT") < 5 * 86400))])))
-    return job.output().agg(F.count(F.lit(1)).alias("emitted")).crossJoin(job.late().agg(F.count(F.lit(1)).alias("late")))
+    job = VelocityStream(spark, ["card1"], {"24h": 86400}, delay=1)
+    late = job.run(transaction_columns(stream_of([
+        at(F.col("TransactionDT") < 10 * 86400), at(F.col("TransactionDT").between(10 * 86400, 20 * 86400)),
+        at((F.col("TransactionDT") > 20 * 86400) | (F.col("TransactionDT") < 5 * 86400)), closing_event(ev, 3)])))
+    return job.output().agg(F.count(F.lit(1)).alias("emitted")).withColumn("late", F.lit(late).cast("long"))
 
 
 T3_SQL = f"""WITH {TXN_SQL} SELECT count(*) AS emitted, count(*) FILTER ("TransactionDT" < {5 * 86400}) AS late FROM txn"""
