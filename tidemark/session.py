@@ -42,6 +42,7 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SCRATCH_CODEC = "zstd"  # scratch tables are written once and read a few times: size counts more than speed
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -73,8 +74,8 @@ def cut_lineage(df: DataFrame, label: str, **measures: Column):
     spark = df.sparkSession
     path = scratch_path(spark, label)
     if not measures:
-        df.write.parquet(path)
+        df.write.option("compression", SCRATCH_CODEC).parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     seen = Observation()
-    df.observe(seen, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+    df.observe(seen, *[c.alias(n) for n, c in measures.items()]).write.option("compression", SCRATCH_CODEC).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get
