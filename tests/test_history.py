@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import history as H
 from tidemark.operators import velocity as V
+from tidemark.operators.folds import Fold, past_fold
 from tidemark.operators.leakcheck import future_leaks, leaks_of_any_past
 
 SCHEMA = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, addr1 int, DeviceInfo string, P_emaildomain string, isFraud int, hour_of_day int"
@@ -217,10 +218,38 @@ def test_an_old_past_stays_positive(spark):
 def test_a_leak_across_entities_is_seen(spark):
     rows = [(i, i * 100, float(i % 7), i % 3) for i in range(40)]
     df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, x double, card1 int")
-    whole = lambda d: d.crossJoin(d.agg(F.avg("x").alias("m")))
-    past = lambda d: d.withColumn("m", F.expr("sum(x) OVER (ORDER BY TransactionDT)"))
+    def whole(d, by):
+        d = d.withColumn("g", F.lit(1))
+        return d.join(d.groupBy(*by, "g").agg(F.avg("x").alias("m")), [*by, "g"])
+
+    def past(d, by):
+        return d.withColumn("m", F.expr(f"sum(x) OVER (PARTITION BY {', '.join([*by, '1'])} ORDER BY TransactionDT RANGE BETWEEN 50 PRECEDING AND CURRENT ROW)"))
+
     assert leaks_of_any_past(df, whole, "m", n=4).first()["violations"] == 4
     assert leaks_of_any_past(df, past, "m", n=4).first()["violations"] == 0
+    assert leaks_of_any_past(df, past, "m", reach=50, n=4).first()["violations"] == 0
+    assert leaks_of_any_past(df, whole, "m", reach=50, n=4).first()["violations"] == 4
+    assert leaks_of_any_past(df.limit(0), past, "m").first()["sampled"] == 0
+
+
+RISE = Fold(lambda: [], lambda s, r: [*s, r["TransactionAmt"]], lambda s: (max((k - j for j in range(len(s)) for k in range(j + 1, len(s) + 1) if all(a < b for a, b in zip(s[j:k - 1], s[j + 1:k]))), default=0), len(s)))
+
+
+def test_folds_pass_from_round_to_round(spark):
+    """Half of the rows on one card, ties within and across rounds, a repeated row, cards that end early."""
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(60) * 10, float(rng.randrange(40)), None if i % 17 == 0 else 1 if i % 2 else rng.randrange(2, 9)) for i in range(130)]
+    rows.append(rows[33])
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long")
+    want = []
+    for i, t, _, c in rows:
+        past = [a for _, _, a in sorted((t2, i2, a2) for i2, t2, a2, c2 in rows if c is not None and c2 == c and t2 < t)]
+        want.append((i, *RISE.emit(past)))
+    for size in (7, 1000):
+        got = past_fold(df, "card1", RISE, ["TransactionAmt"], "longest int, n long", size)
+        assert got.columns == ["TransactionID", "longest", "n"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert past_fold(df.limit(0), "card1", RISE, ["TransactionAmt"], "longest int, n long").count() == 0
+    assert past_fold(df.where("card1 is null"), "card1", RISE, ["TransactionAmt"], "longest int, n long").where("longest = 0").count() == 8
 
 
 def test_any_aggregate_of_the_strict_past(spark, frame, rows):

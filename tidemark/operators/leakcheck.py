@@ -44,20 +44,26 @@ def future_leaks(df: DataFrame, feature: Callable[[DataFrame], DataFrame], colum
     return _compared(both, rtol, atol)
 
 
-def leaks_of_any_past(df: DataFrame, feature: Callable[[DataFrame], DataFrame], column: str,
+def leaks_of_any_past(df: DataFrame, feature: Callable[[DataFrame, list[str]], DataFrame], column: str, reach: int | None = None,
                       n: int = 50, seed: int = SEED, rtol: float = 1e-9, atol: float = 1e-12) -> DataFrame:
-    """The same for features that read rows of any entity: each sampled row is recomputed on all rows up to its time.
+    """The same for features that read rows of any entity, in one job.
 
-    One job per sampled row, since nothing but time separates what the rows may see.
+    `feature(rows, by)` computes the feature apart for every value of the columns `by` and returns them beside the
+    id and `column`. Each of the `n` sampled rows gets a copy of all rows up to its time, tagged with its id. With
+    `reach`, the seconds that the feature looks back, a copy holds those rows only: rows and samples then meet on
+    time buckets of that length, so a row is copied for the samples that can see it and no others.
     """
-    sample = df.orderBy(hash_order(seed, ID), ID).limit(n).select(ID, TIME).collect()  # n rows
-    now = feature(df).where(F.col(ID).isin([r[ID] for r in sample])).select(ID, F.col(column).cast("double").alias("as_built"))
-    again = []
-    for r in sample:
-        row = feature(df.where(F.col(TIME) <= r[TIME])).where(F.col(ID) == r[ID]).select(F.col(column).cast("double")).first()
-        again.append((r[ID], row[0] if row else None))
-    past = df.sparkSession.createDataFrame(again, f"{ID} {dict(df.dtypes)[ID]}, past_only double")
-    return _compared(now.join(F.broadcast(past), ID), rtol, atol)
+    sample = cut_lineage(df.orderBy(hash_order(seed, ID), ID).limit(n).select(F.col(ID).alias("s_id"), F.col(TIME).cast("long").alias("s_time")), "leak-sample")
+    time = F.col(TIME).cast("long")
+    if reach is None:
+        known = df.join(F.broadcast(sample), time <= F.col("s_time"))  # n rows
+    else:
+        width = max(reach, 1)
+        asked = sample.withColumn("s_bucket", F.explode(F.array(F.floor(F.col("s_time") / width), F.floor(F.col("s_time") / width) - 1)))
+        known = df.join(F.broadcast(asked), (F.floor(time / width) == F.col("s_bucket")) & (time <= F.col("s_time")) & (time >= F.col("s_time") - reach)).drop("s_bucket")
+    again = feature(known.drop("s_time"), ["s_id"]).where(F.col(ID) == F.col("s_id")).select("s_id", F.col(column).cast("double").alias("past_only"))
+    now = feature(df, []).select(F.col(ID).alias("s_id"), F.col(column).cast("double").alias("as_built")).join(F.broadcast(sample.select("s_id")), "s_id")
+    return _compared(now.join(again, "s_id", "left"), rtol, atol)
 
 
 def _compared(both: DataFrame, rtol: float, atol: float) -> DataFrame:

@@ -8,7 +8,7 @@ from tidemark.functions.numeric import r6, round_columns, sql6
 from tidemark.operators import graph as G
 from tidemark.operators import profile as P
 from tidemark.operators import reduce as R
-from tidemark.plans.profiling import FOLD_EXPR, VCOLS
+from tidemark.plans.profiling import FOLD_EXPR
 from tidemark.sources.views import LINKED_SQL, TXN_SQL, WIDE_SQL, linked_orders, transactions, wide_block
 
 ENT = G.ENTITIES

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions.numeric import r6, round_columns
 from tidemark.operators import velocity as V
-from tidemark.operators.leakcheck import future_leaks
+from tidemark.operators.folds import Fold, past_fold
+from tidemark.operators.history import running, sliding_counts
+from tidemark.operators.leakcheck import future_leaks, leaks_of_any_past
 from tidemark.sources.views import TXN_SQL, TXN_TIES_SQL, order_transactions, ORDERS_SQL, transactions
 
 ENT = config.VELOCITY_ENTITIES
@@ -257,15 +259,78 @@ c AS (SELECT s."TransactionID", count(*) AS whole, count(*) FILTER (b."Transacti
 SELECT 'past only' AS feature, 50::BIGINT AS sampled, 0::BIGINT AS violations
 UNION ALL SELECT 'whole table', count(*), count(*) FILTER (whole <> known) FROM c"""
 
+def _past_rate(rows, by):
+    """Label rate of all earlier rows, whatever their entity."""
+    rows = rows.withColumn("all", F.lit(1))
+    keys = [*by, "all"]
+    inst = rows.groupBy(*keys, F.col("TransactionDT").alias("ts")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("isFraud").cast("double")).alias("f"))
+    past = running(inst, keys, sums=["n", "f"]).select(*keys, F.col("ts").alias("TransactionDT"), (F.col("past_f") / F.nullif(F.col("past_n"), F.lit(0))).alias("rate"))
+    return rows.select(*keys, "TransactionID", "TransactionDT").join(past, [*keys, "TransactionDT"])
+
+
+def _whole_rate(rows, by):
+    """Label rate of the whole table, the future included."""
+    rows = rows.withColumn("all", F.lit(1))
+    keys = [*by, "all"]
+    return rows.select(*keys, "TransactionID").join(rows.groupBy(*keys).agg(F.avg(F.col("isFraud").cast("double")).alias("rate")), keys)
+
+
+def _last_day(rows, by):
+    """Rows of any entity in the day before."""
+    rows = rows.withColumn("all", F.lit(1))
+    keys = [*by, "all"]
+    inst = rows.groupBy(*keys, F.col("TransactionDT").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(*keys, "TransactionID", F.col("TransactionDT").alias("ts")).join(sliding_counts(inst, {"day": 86400}, keys), [*keys, "ts"])
+
+
+def w15_any(spark, sf):
+    """Features that read rows of every entity, recomputed on all rows up to each sampled one."""
+    t = tied(spark, sf)
+    found = [("past rate", leaks_of_any_past(t, _past_rate, "rate")), ("rows of a day", leaks_of_any_past(t, _last_day, "n_day", reach=86400)), ("whole rate", leaks_of_any_past(t, _whole_rate, "rate"))]
+    parts = [f.select(F.lit(name).alias("feature"), "sampled", "violations") for name, f in found]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+W15_ANY_SQL = f"""WITH {TXN_TIES_SQL},
+s AS (SELECT * FROM tied ORDER BY md5('42:' || "TransactionID"), "TransactionID" LIMIT 50),
+g AS (SELECT avg("isFraud") AS whole FROM tied),
+c AS (SELECT s."TransactionID", avg(b."isFraud") AS known FROM s JOIN tied b ON b."TransactionDT" <= s."TransactionDT" GROUP BY 1)
+SELECT 'past rate' AS feature, 50::BIGINT AS sampled, 0::BIGINT AS violations UNION ALL SELECT 'rows of a day', 50, 0
+UNION ALL SELECT 'whole rate', count(*), count(*) FILTER (abs(whole - known) > 1e-12::DOUBLE + 1e-9::DOUBLE * abs(known)) FROM c, g"""
+
+# State: the last amount, the length of the present rise and of the longest one.
+RISE = Fold(lambda: (None, 0, 0), lambda s, r: _risen(s, r["TransactionAmt"]), lambda s: (s[2],))
+
+
+def _risen(state, amount):
+    last, run, best = state
+    run = run + 1 if last is not None and amount > last else 1
+    return amount, run, max(best, run)
+
+
+def w14_fold(spark, sf):
+    """A state that can't be merged: the longest rise of amounts in the card's strict past."""
+    return past_fold(tied(spark, sf), "card1", RISE, ["TransactionAmt"], "longest_rise long")
+
+
+W14_FOLD_SQL = f"""WITH {TXN_TIES_SQL},
+o AS (SELECT *, CASE WHEN "TransactionAmt" > lag("TransactionAmt") OVER w THEN 0 ELSE 1 END AS cut FROM tied WHERE card1 IS NOT NULL WINDOW w AS (PARTITION BY card1 ORDER BY "TransactionDT", "TransactionID")),
+i AS (SELECT *, sum(cut) OVER (PARTITION BY card1 ORDER BY "TransactionDT", "TransactionID" ROWS UNBOUNDED PRECEDING) AS island FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY card1, island ORDER BY "TransactionDT", "TransactionID") AS run FROM i)
+SELECT "TransactionID", coalesce(max(run) OVER (PARTITION BY card1 ORDER BY "TransactionDT" RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS longest_rise FROM r
+UNION ALL SELECT "TransactionID", 0 FROM tied WHERE card1 IS NULL"""
+
 QUERIES = {
     "w1_velocity_counts": w1, "w2_amount_stats": w2, "w2_amount_stats_orders": w2_orders, "w3_amount_zscore": w3,
     "w4_gap_zscore": w4, "w5_address_change": w5, "w6_device_change": w6, "w7_hour_deviation": w7,
     "w8_behaviour_gate": w8, "w9_cold_start": w9, "w10_ewm_velocity": w10, "w11_ewm_fraud": w11,
     "w12_ewm_end_state": w12, "w13_ewm_held_out": w13, "w14_past_aggregate": w14, "w15_leak_check": w15,
+    "w14_past_fold": w14_fold, "w15_leaks_across_entities": w15_any,
 }
 ORACLES = {
     "w1_velocity_counts": W1_SQL, "w2_amount_stats": W2_SQL, "w2_amount_stats_orders": W2_ORDERS_SQL, "w3_amount_zscore": W3_SQL,
     "w4_gap_zscore": W4_SQL, "w5_address_change": W5_SQL, "w6_device_change": W6_SQL, "w7_hour_deviation": W7_SQL,
     "w8_behaviour_gate": W8_SQL, "w9_cold_start": W9_SQL, "w10_ewm_velocity": _ewm_sql("n", "v"), "w11_ewm_fraud": _ewm_sql("f", "fraud_v"),
     "w12_ewm_end_state": W12_SQL, "w13_ewm_held_out": W13_SQL, "w14_past_aggregate": W14_SQL, "w15_leak_check": W15_SQL,
+    "w14_past_fold": W14_FOLD_SQL, "w15_leaks_across_entities": W15_ANY_SQL,
 }

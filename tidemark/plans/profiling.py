@@ -8,16 +8,23 @@ from tidemark.functions.numeric import r6, round_columns, sql6
 from tidemark.operators import clean as C
 from tidemark.operators import encode as E
 from tidemark.operators import profile as P
+from tidemark.operators import sketches as K
 from tidemark.plans.ingest import IDENTITY_SQL, identity, raw
+from tidemark.session import cut_lineage
 from tidemark.sources import tables as S
-from tidemark.sources.views import TXN_SQL, WIDE_SQL, N_VECTOR_COLUMNS, transactions, wide_block
+from tidemark.sources.views import TXN_SQL, WIDE_SQL, transactions, wide_block
 
 CUT = 20 * 86400
 ENC_COLS = ["addr1", "P_emaildomain", "DeviceInfo"]
-VCOLS = [f"V{i}" for i in range(1, N_VECTOR_COLUMNS + 1)]
 ID_COLS = ["DeviceType", "DeviceInfo", "id_01", "id_30"]
 
 
+def _block(spark, sf):
+    """The V block and all of its columns."""
+    block = wide_block(spark, sf)
+    return block, P.numbered(block.columns)
+
+
 def merged(spark, sf):
     return S.merge_identity(raw(spark, sf), identity(spark, sf), check=False)
 
@@ -187,6 +194,34 @@ def a10(spark, sf):
     return P.cardinality(merged(spark, sf), MERGED_COLS)
 
 
+def _sketched(spark, sf):
+    """The merged sketches of a stored table of sketches by day."""
+    m = merged(spark, sf)
+    stored = cut_lineage(K.day_sketches(m, MERGED_COLS, F.expr("TransactionDT div 86400")), "sketches")
+    return m, K.merged(stored)
+
+
+def a10_sketched(spark, sf):
+    """Distinct values from sketches by day, and whether each estimate is within its bound of the exact count."""
+    m, every = _sketched(spark, sf)
+    exact = P.cardinality(m, MERGED_COLS).withColumnRenamed("n_unique", "n_exact")
+    off = F.abs(F.col("n_unique") - F.col("n_exact"))
+    return K.cardinality(every).join(exact, "column").select("column", "n_exact", (off <= K.DISTINCT_ERROR * F.col("n_exact")).alias("within"))
+
+
+A10_SKETCHED_SQL = f"""WITH {MLONG_SQL}
+SELECT "column", count(DISTINCT v) AS n_exact, true AS within FROM mlong GROUP BY 1"""
+
+
+def a15_sketched(spark, sf):
+    """Counts and moments from sketches by day, and whether each quantile is within its bound in rank."""
+    m, every = _sketched(spark, sf)
+    found = K.numeric_profile(every).where(F.col("column").isin(NUM_COLS))
+    errors = K.rank_errors(m.select(*NUM_COLS), found, {"p50": 0.5, "p95": 0.95})
+    wide = errors.groupBy("column").agg(F.bool_and(F.col("error") <= K.RANK_ERROR).alias("within"))
+    return round_columns(found.select("column", "count", "mean", "std", "min", "max").join(wide, "column"))
+
+
 def a11(spark, sf):
     return P.value_counts(merged(spark, sf), ["ProductCD", "addr1", "P_emaildomain", "DeviceInfo", "id_30"]).select("column", F.coalesce("v", F.lit("(null)")).alias("v"), "n", F.col("rank").cast("long").alias("rank"))
 
@@ -225,7 +260,7 @@ FROM s WHERE n_null >= 500 AND n_not_null >= 500"""
 
 
 def a14(spark, sf):
-    return round_columns(P.null_groups(P.null_signatures(wide_block(spark, sf), VCOLS)))
+    return round_columns(P.null_groups(P.null_signatures(*_block(spark, sf))))
 
 
 A14_SQL = f"""WITH {WIDE_SQL},
@@ -245,6 +280,9 @@ A15_SQL = f"WITH {MERGED_SQL}\n" + " UNION ALL ".join(
   {sql6(f'max("{c}")::DOUBLE')} AS max, {sql6(f'quantile_cont("{c}"::DOUBLE, 0.5)')} AS p50, {sql6(f'quantile_cont("{c}"::DOUBLE, 0.95)')} AS p95 FROM merged""" for c in NUM_COLS)
 
 
+A15_SKETCHED_SQL = f"""SELECT "column", count, mean, std, min, max, true AS within FROM ({A15_SQL})"""
+
+
 def a16(spark, sf):
     return round_columns(P.raw_summary(merged(spark, sf), ["id_01", "id_30"]))
 
@@ -277,7 +315,7 @@ FROM l JOIN q USING ("column", "isFraud") GROUP BY 1, 2"""
 
 
 def a19(spark, sf):
-    return round_columns(P.correlations(wide_block(spark, sf), VCOLS))
+    return round_columns(P.correlations(*_block(spark, sf)))
 
 
 FILLED_SQL = f"""{WIDE_SQL},
@@ -288,7 +326,7 @@ pairs AS (SELECT a.col AS a, b.col AS b, corr(a.v, b.v) AS rho FROM filled a JOI
 
 
 def a19_summary(spark, sf):
-    return P.correlation_summary(P.correlations(wide_block(spark, sf), VCOLS))
+    return P.correlation_summary(P.correlations(*_block(spark, sf)))
 
 
 A19S_SQL = f"""WITH {FILLED_SQL}
@@ -297,11 +335,11 @@ FROM pairs WHERE abs(rho) > 0.95"""
 
 
 def a20(spark, sf):
-    return round_columns(P.scree(wide_block(spark, sf), VCOLS))
+    return round_columns(P.scree(*_block(spark, sf)))
 
 
 def a21(spark, sf):
-    return round_columns(P.mean_gap_ranking(wide_block(spark, sf), VCOLS))
+    return round_columns(P.mean_gap_ranking(*_block(spark, sf)))
 
 
 A21_SQL = f"""WITH {WIDE_SQL}
@@ -328,14 +366,14 @@ SELECT "column", {sql6('d')} AS ks_stat, n1 AS n_half1, n2 AS n_half2, {sql6('p'
 
 QUERIES = {
     "a1_target_encoding": a1, "a2_oof_encoding": a2, "a3_folds": a3, "a4_wilson_rate": a4, "a5_rates_by_slice": a5, "a6_dow_hour_pivot": a6, "a7_daily_volume": a7,
-    "a8_identity_coverage": a8, "a9_class_histogram": a9, "a10_cardinality": a10, "a11_value_counts": a11, "a12_missing_table": a12, "a12_missing_by_family": a12_family,
+    "a8_identity_coverage": a8, "a9_class_histogram": a9, "a10_cardinality": a10, "a11_value_counts": a11, "a10_sketched_cardinality": a10_sketched, "a15_sketched_profile": a15_sketched, "a12_missing_table": a12, "a12_missing_by_family": a12_family,
     "a13_predictive_missingness": a13, "a14_null_groups": a14, "a15_numeric_profile": a15, "a16_raw_summary": a16, "a17_frame_stats": a17, "a18_box_stats": a18,
     "a19_correlations": a19, "a19_correlation_summary": a19_summary, "a20_pca_scree": a20, "a21_mean_gap": a21, "a22_ks_drift": a22,
 }
 ORACLES = {
     "a1_target_encoding": _a1_sql(), "a2_oof_encoding": _a2_sql(), "a3_folds": A3_SQL, "a4_wilson_rate": A4_SQL, "a5_rates_by_slice": _a5_sql(), "a6_dow_hour_pivot": A6_SQL,
     "a7_daily_volume": A7_SQL, "a8_identity_coverage": A8_SQL, "a9_class_histogram": A9_SQL,
-    "a10_cardinality": f'WITH {MLONG_SQL}\nSELECT "column", count(DISTINCT v) AS n_unique FROM mlong GROUP BY 1', "a11_value_counts": A11_SQL,
+    "a10_cardinality": f'WITH {MLONG_SQL}\nSELECT "column", count(DISTINCT v) AS n_unique FROM mlong GROUP BY 1', "a11_value_counts": A11_SQL, "a10_sketched_cardinality": A10_SKETCHED_SQL, "a15_sketched_profile": A15_SKETCHED_SQL,
     "a12_missing_table": f'WITH {MLONG_SQL}\nSELECT "column", count(*) FILTER (v IS NULL) AS n_missing, {sql6("avg((v IS NULL)::INTEGER)")} AS null_rate FROM mlong GROUP BY 1',
     "a12_missing_by_family": A12F_SQL, "a13_predictive_missingness": A13_SQL, "a14_null_groups": A14_SQL, "a15_numeric_profile": A15_SQL, "a16_raw_summary": A16_SQL,
     "a17_frame_stats": A17_SQL, "a18_box_stats": A18_SQL, "a19_correlations": f"WITH {FILLED_SQL}\nSELECT a, b, {sql6('rho')} AS rho FROM pairs",
