@@ -26,21 +26,21 @@ def roc_points(counts: DataFrame, groups: list[str] | None = None) -> DataFrame:
     return cumulative(counts, "score", ["pos", "neg"], groups, descending=True)
 
 
-def ranking_metrics(points: DataFrame, groups: list[str] | None = None) -> DataFrame:
-    """`auc` (ties count half) and `average_precision`; NULL when a class is missing."""
-    groups = groups or []
+def ranking_metrics(points: DataFrame, groups: list[str] | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """`auc` (ties count half) and `average_precision`; NULL when a class is missing. `also` names aggregates taken in the same pass."""
+    groups, also = groups or [], also or {}
     pos, neg, p, n = F.col("pos"), F.col("neg"), F.col("total_pos"), F.col("total_neg")
     above_p, above_n = F.col("before_pos"), F.col("before_neg")
     below = n - above_n - neg
     wins = pos * (below + neg / 2.0)
     step = (pos / F.nullif(p, F.lit(0))) * ((above_p + pos) / (above_p + pos + above_n + neg))
     out = points.groupBy(*groups).agg(
-        F.max("total_pos").alias("n_pos"), F.max("total_neg").alias("n_neg"), F.sum(wins).alias("wins"), F.sum(step).alias("ap"))
+        F.max("total_pos").alias("n_pos"), F.max("total_neg").alias("n_neg"), F.sum(wins).alias("wins"), F.sum(step).alias("ap"), *[c.alias(n) for n, c in also.items()])
     both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     return out.select(
         *groups, "n_pos", "n_neg",
         F.when(both, F.col("wins") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auc"),
-        F.when(both, F.col("ap")).alias("average_precision"))
+        F.when(both, F.col("ap")).alias("average_precision"), *also)
 
 
 def recall_at_fpr(points: DataFrame, target: float, groups: list[str] | None = None) -> DataFrame:
@@ -135,8 +135,8 @@ AMOUNT_STRATA = [("<$50", None, 50.0), ("$50-200", 50.0, 200.0), ("$200-500", 20
 MIN_STRATUM = 50
 
 
-def strata(df: DataFrame) -> DataFrame:
-    """One row per (transaction, axis) with the stratum's name; axes whose column is missing are left out."""
+def strata(df: DataFrame) -> dict[str, Column]:
+    """The name of a row's stratum on each axis; axes whose column is missing are left out."""
     pairs = []
     if "TransactionAmt" in df.columns:
         name = None
@@ -156,8 +156,22 @@ def strata(df: DataFrame) -> DataFrame:
         pairs.append(("identity_coverage", F.when(F.col("id_01").isNotNull(), "has_identity").otherwise("no_identity")))
     if "month" in df.columns:
         pairs.append(("month", F.col("month").cast("string")))
-    exploded = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), v.alias("value")) for a, v in pairs])).alias("s")
-    return df.select("label", "score", exploded).select("label", "score", "s.*").where(F.col("value").isNotNull())
+    return dict(pairs)
+
+
+def stratum_counts(df: DataFrame) -> DataFrame:
+    """Positives and negatives per (axis, value, distinct score).
+
+    Rows are counted per combination of strata and score first; grouping sets then add the combinations up
+    along every axis in one aggregation.
+    """
+    axes = strata(df)
+    named = df.select(F.col("score").cast("double").alias("score"), (F.col("label") == 1).alias("y"), *[c.alias(a) for a, c in axes.items()])
+    cells = named.groupBy(*axes, "score").agg(F.count_if("y").alias("p"), F.count_if(~F.col("y")).alias("n"))
+    by_axis = cells.groupingSets([[a, "score"] for a in axes], *axes, "score").agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), *[F.grouping(a).alias(f"other_{a}") for a in axes])
+    axis = F.coalesce(*[F.when(F.col(f"other_{a}") == 0, F.lit(a)) for a in axes])
+    value = F.coalesce(*[F.when(F.col(f"other_{a}") == 0, F.col(a)) for a in axes])
+    return by_axis.select(axis.alias("axis"), value.alias("value"), "score", "pos", "neg").where(F.col("value").isNotNull())
 
 
 def stratified(df: DataFrame, threshold: float = config.DEFAULT_THRESHOLD, costs: Costs = Costs(), min_rows: int = MIN_STRATUM) -> DataFrame:
@@ -166,12 +180,10 @@ def stratified(df: DataFrame, threshold: float = config.DEFAULT_THRESHOLD, costs
     Everything follows from the counts per (axis, value, score), so rows are shuffled once, reduced.
     """
     keys = ["axis", "value"]
-    counts = score_counts(strata(df), "label", "score", keys)
     hit = F.col("score") >= threshold
-    cells = counts.groupBy(*keys).agg(
-        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"))
-    metrics = ranking_metrics(roc_points(counts, keys), keys).select(*keys, "auc", "average_precision")
+    some = lambda when, c: F.sum(F.when(when, F.col(c)).otherwise(0))
+    cells = {"tp": some(hit, "pos"), "fp": some(hit, "neg"), "fn": some(~hit, "pos"), "tn": some(~hit, "neg")}
+    table = ranking_metrics(roc_points(stratum_counts(df), keys), keys, cells)
     spark = df.sparkSession
     fixed = []
     if "TransactionAmt" in df.columns:
@@ -179,7 +191,6 @@ def stratified(df: DataFrame, threshold: float = config.DEFAULT_THRESHOLD, costs
     if "id_01" in df.columns:
         fixed += [("identity_coverage", v) for v in ("has_identity", "no_identity")]
     # Fixed strata are reported even when empty.
-    table = cells.join(metrics, keys)
     if fixed:
         table = table.join(F.broadcast(spark.createDataFrame(fixed, "axis string, value string")), keys, "full")
     table = table.fillna(0, ["tp", "fp", "fn", "tn"])
