@@ -48,6 +48,7 @@ DF_BUCKETS = 1 << 20  # ranges of shingles that are counted together, at most
 RANGE_BYTES = 16 << 20  # text per such range, where that makes at least LEAST_RANGES
 LEAST_RANGES = 256  # a shingle's first byte follows from its range
 ROW_BYTES = 64  # what a row counts in a block beside its text
+ZSTD_LEVEL = 5  # of the texts of a block on their way to its shingles
 LEVELS = 16  # steps of the element weights between 1 and 2
 POOL_BITS = 15
 SMALL = 8  # members of a bucket that are compared as pairs
@@ -114,6 +115,28 @@ def _block_starts(texts: DataFrame) -> np.ndarray:
     return np.sort(sizes.mapInArrow(cut, "start long").toArrow().column("start").to_numpy())
 
 
+def in_blocks(texts: DataFrame, starts) -> DataFrame:
+    """(block, held): the rows (uid, id, text) of each block, in one or more compressed stretches; `starts` is a broadcast."""
+    def run(batches):
+        packed = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
+        for batch in (b for whole in batches for b in blocks(whole, 2)):
+            block = np.searchsorted(starts.value, batch.column(0).to_numpy(), side="right") - 1
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            held = []
+            for a, b in zip(cuts, cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=packed) as out:
+                    out.write_batch(batch.slice(a, b - a))
+                held.append(sink.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]], pa.int64()), pa.array(held, pa.binary())], names=["block", "held"])
+
+    return texts.select("uid", "id", "text").mapInArrow(run, "block long, held binary")
+
+
+def _rows_of(held: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(part.as_buffer()).read_all() for part in held]).combine_chunks()
+
+
 def _stored_shingles(shingles: np.ndarray) -> bytes:
     """All but the first byte of sorted shingles, byte by byte, which compresses."""
     return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 1:].T.tobytes()
@@ -292,12 +315,8 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
     sampler = spark.sparkContext.broadcast(Sampler())
     common = levels(np.ones(1, np.int64), documents)[0]
 
-    @F.arrow_udf("long")
-    def block_of(uid: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(starts.value, uid.to_numpy(), side="right") - 1)
-
     def sign(rows: pa.Table, listed: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
+        rows = _rows_of(rows.column("held"))
         held = pa.concat_arrays(rows.column("text").chunks) if rows.num_rows else pa.array([], pa.string())
         found, _, at, digests, base = elements(held)
         known = np.frombuffer(b"".join(listed.column("shingles").to_pylist()), np.uint64)
@@ -316,8 +335,8 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list
                          "levels": pa.array([level[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())})
 
     listed = frequent_shingles(texts, starts, size, documents)
-    in_blocks = stored.select("uid", own, body, block_of("uid").alias("block"))
-    signed = cut_lineage(in_blocks.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(sign, "uid long, id long, words binary, bands array<long>, levels binary"), "llm-samples")
+    dealt = in_blocks(stored.select("uid", own, body), starts)
+    signed = cut_lineage(dealt.groupBy("block").cogroup(listed.groupBy("block")).applyInArrow(sign, "uid long, id long, words binary, bands array<long>, levels binary"), "llm-samples")
     classes = signed.groupBy("words").agg(F.min("uid").alias("rep"))
     reps = signed.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi").select("uid", "bands")
     pairs, met = _candidates(reps)
