@@ -389,3 +389,52 @@ def test_absent_encoding_columns_are_reported(wide_rows):
     with pytest.warns(UserWarning, match="card4"):
         part.fit(wide_rows[0].drop("card4"))
     assert part.absent == ("card4",) and part.columns == ("addr1", "P_emaildomain")
+
+
+# ---- the boosted model
+
+
+def test_contributions_follow_the_paths(spark):
+    """Every row's path walked node by node, and the sums."""
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1), rng.choice([None, rng.gauss(0, 1)])) for i in range(300)]
+    rows = [(*r, int(r[1] + 0.5 * (r[3] or -1) + rng.gauss(0, 0.3) > 0)) for r in rows]
+    df = spark.createDataFrame(rows, "TransactionID long, a double, b double, c double, isFraud int").repartition(3)
+    names = ["a", "b", "c"]
+    model, fill = L.train_boosted(df.where("TransactionID < 220"), df.where("TransactionID >= 220"), names, rounds=5, depth=3)
+    paths = L.PathContributions.of(model, names)
+    got = {}
+    for r in L.boosted_contributions(df, model, names, fill).collect():
+        got.setdefault(r["TransactionID"], {})[r["feature"]] = r["value"]
+    roots = [t._call_java("rootNode") for t in model.trees]
+    for i, *x, _ in rows:
+        x = [fill[n] if v is None else v for n, v in zip(names, x)]
+        want, base = dict.fromkeys(names, 0.0), 0.0
+        for node, weight in zip(roots, model.treeWeights):
+            base += weight * node.prediction()
+            while node.subtreeDepth() > 0:
+                split = node.split()
+                child = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+                want[names[split.featureIndex()]] += weight * (child.prediction() - node.prediction())
+                node = child
+        assert math.isclose(base, paths.base, abs_tol=1e-12)
+        assert all(math.isclose(got[i][n], want[n], abs_tol=1e-9) for n in names)
+    top = L.top_contributions(L.boosted_contributions(df, model, names, fill), 1)
+    assert top.count() <= 300 and {r["direction"] for r in top.collect()} == {"high", "low"}
+
+
+def test_halving_finds_the_planted_optimum(spark):
+    """27 draws, three rungs of 3, 9 and 27 parts of the rows: the winner of the full search, for a third of its rows."""
+    train = spark.range(900).withColumnRenamed("id", "TransactionID")
+    shares = []
+
+    def measure(rows, val, features, label, parameters):
+        n = rows.count()
+        shares.append(n)
+        return 0.9 - abs(math.log(parameters["step"] / 0.05)) / 10 + 0.001 * (parameters["depth"] % 2) * (900 - n) / 900
+
+    found = L.search(train, train, [], 27, measure=measure).collect()
+    full = max(range(27), key=lambda i: measure(train, None, None, None, L.sampled_parameters(27)[i]))
+    assert found[0]["trial"] == full and found[0]["rung"] == 2 and found[0]["share"] == 1.0
+    assert [sum(r["rung"] == k for r in found) for k in range(3)] == [18, 6, 3] and len(found) == 27
+    assert sum(shares[:39]) < 0.4 * 27 * 900

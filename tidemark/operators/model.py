@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions.numeric import ratio
 from tidemark.operators.calibrate import fit_isotonic, isotonic, probability
+from tidemark.operators.leakcheck import hash_order
 from tidemark.operators.profile import medians
 from tidemark.operators.ranking import ranking_metrics, roc_points, score_counts
+from tidemark.session import cut_lineage, scratch_path
 
 LABEL = "isFraud"
 
@@ -67,7 +71,7 @@ class Scorer:
     """A boosted model, the calibration of its probabilities, and what fills missing features."""
 
     model: GBTClassificationModel
-    calibration: IsotonicRegressionModel
+    calibration: DataFrame  # (score, value), as `fit_isotonic` gives it
     features: list[str]
     fill: dict[str, float]
 
@@ -80,14 +84,14 @@ class Scorer:
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        self.calibration.write().overwrite().save(f"{path}/calibration")
+        self.calibration.write.mode("overwrite").parquet(f"{path}/calibration")
         spark = SparkSession.active()
         spark.createDataFrame([(self.features, self.fill)], "features array<string>, fill map<string, double>").coalesce(1).write.mode("overwrite").json(f"{path}/inputs")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Scorer:
         r = spark.read.schema("features array<string>, fill map<string, double>").json(f"{path}/inputs").first()
-        return Scorer(GBTClassificationModel.load(f"{path}/model"), IsotonicRegressionModel.load(f"{path}/calibration"), list(r["features"]), dict(r["fill"]))
+        return Scorer(GBTClassificationModel.load(f"{path}/model"), spark.read.parquet(f"{path}/calibration"), list(r["features"]), dict(r["fill"]))
 
 
 def fit_scorer(train: DataFrame, val: DataFrame, features: list[str], label: str = LABEL, **parameters) -> Scorer:
@@ -146,6 +150,62 @@ def linear_contributions(df: DataFrame, fitted: list[tuple[str, float, float, fl
     return z.unpivot([id_col], names, "feature", "value")
 
 
+@dataclass
+class PathContributions:
+    """What each leaf of each boosted tree owes to the features on its path.
+
+    A tree's value moves from the root's mean to the leaf's; each step is owed to the feature split on. Summed over
+    the trees, the contributions of a row and `base` add up to its raw score. The tables have one row per leaf.
+    """
+
+    features: list[str]
+    base: float
+    leaves: list[np.ndarray]  # of each tree: one row per leaf, one column per feature
+
+    @staticmethod
+    def of(model: GBTClassificationModel, features: list[str]) -> PathContributions:
+        spark, path = SparkSession.active(), scratch_path(SparkSession.active(), "trees")
+        model.write().save(path)
+        trees: dict[int, dict[int, dict]] = {}
+        for r in spark.read.parquet(f"{path}/data").collect():  # a row per node
+            trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"].asDict(recursive=True)
+        base, tables = 0.0, []
+        for (_, nodes), weight in zip(sorted(trees.items()), model.treeWeights):
+            base += weight * nodes[0]["prediction"]
+            made: list[np.ndarray] = []
+            waiting = [(0, np.zeros(len(features)))]
+            while waiting:  # left first, which is the order of MLlib's leaf numbers
+                k, owed = waiting.pop()
+                node = nodes[k]
+                if node["leftChild"] < 0:
+                    made.append(owed)
+                    continue
+                for child in (node["rightChild"], node["leftChild"]):
+                    step = np.zeros(len(features))
+                    step[node["split"]["featureIndex"]] = weight * (nodes[child]["prediction"] - node["prediction"])
+                    waiting.append((child, owed + step))
+            tables.append(np.array(made))
+        return PathContributions(features, base, tables)
+
+
+def boosted_contributions(df: DataFrame, model: GBTClassificationModel, features: list[str], fill: dict[str, float], id_col: str = "TransactionID") -> DataFrame:
+    """Long table (id, feature, value) of a boosted model's scores; a row's values and the base add up to its raw score."""
+    paths = PathContributions.of(model, features)
+    shared = df.sparkSession.sparkContext.broadcast(paths.leaves)
+
+    @F.arrow_udf("array<double>")
+    def added(leaf: pa.Array) -> pa.Array:
+        tables = shared.value
+        at = leaf.flatten().to_numpy().astype(np.int64).reshape(-1, len(tables))
+        total = sum(table[at[:, t]] for t, table in enumerate(tables))
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(total).ravel()), len(features)).cast(pa.list_(pa.float64()))
+
+    x = assembled(df.select(id_col, *[F.col(c).cast("double").alias(c) for c in features]), features, fill)
+    owed = model.copy().setLeafCol("leaf").transform(x).select(id_col, added(vector_to_array("leaf")).alias("v"))
+    pairs = F.arrays_zip(F.array(*[F.lit(c) for c in features]).alias("feature"), F.col("v").alias("value"))
+    return owed.select(id_col, F.explode(pairs).alias("p")).select(id_col, "p.feature", "p.value")
+
+
 def fit_linear(df: DataFrame, features: list[str], label: str = LABEL) -> tuple[list, dict[str, float], float]:
     """Scaler, coefficients and intercept of a logistic model on standardised features."""
     fitted = fit_scaler(df, features)
@@ -187,17 +247,36 @@ def sampled_parameters(n: int, seed: int = config.SEED) -> list[dict[str, float]
             for _ in range(n)]
 
 
-def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, label: str = LABEL, at_once: int = 4) -> DataFrame:
-    """Validation AUC of each sampled parameter set, best first; `at_once` trials share the cluster."""
-    def trial(numbered: tuple[int, dict[str, float]]) -> tuple:
-        i, p = numbered
-        model, fill = train_boosted(train, val, features, label, **p)
-        return (i, *p.values(), auc(score_rows(val, model, features, fill), label, "p").first()["auc"])
+SEARCH_SCHEMA = "trial int, depth int, step double, rounds int, subsample double, columns double, least_rows int, least_gain double, least_weight double, bins int, rung int, share double, auc double"
+
+
+def trial_auc(train: DataFrame, val: DataFrame, features: list[str], label: str, parameters: dict[str, float]) -> float:
+    model, fill = train_boosted(train, val, features, label, **parameters)
+    return auc(score_rows(val, model, features, fill), label, "p").first()["auc"]
 
-    with ThreadPoolExecutor(at_once) as pool:
-        rows = list(pool.map(trial, enumerate(sampled_parameters(trials))))
-    schema = "trial int, depth int, step double, rounds int, subsample double, columns double, least_rows int, least_gain double, least_weight double, bins int, auc double"
-    return train.sparkSession.createDataFrame(rows, schema).orderBy(F.desc("auc"), "trial")
+
+def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, label: str = LABEL, at_once: int = 4, rungs: int = 3, keep: int = 3,
+           measure: Callable[[DataFrame, DataFrame, list[str], str, dict[str, float]], float] = trial_auc) -> DataFrame:
+    """Validation AUC of sampled parameter sets by successive halving, best first: one row per trial at the last rung it reached.
+
+    The first rung trains every set on a share of the rows; the best of every `keep` sets go on to a rung with
+    `keep` times the rows, until the last one trains on all. The share is a threshold on a hash of the id, so a
+    rung's rows contain those of the rung before. Trials of a rung share the cluster, `at_once` at a time.
+    """
+    sets = sampled_parameters(trials)
+    digits = F.conv(F.substring(hash_order(config.SEED, "TransactionID"), 1, 8), 16, 10).cast("long")
+    alive, results = list(range(trials)), {}
+    for rung in range(rungs):
+        share = float(keep) ** (rung + 1 - rungs)
+        rows = train if share >= 1 else cut_lineage(train.where(digits < int(share * (1 << 32))), "search-rung")
+        with ThreadPoolExecutor(at_once) as pool:
+            found = list(pool.map(lambda i: measure(rows, val, features, label, sets[i]), alive))
+        for i, score in zip(alive, found):
+            results[i] = (rung, share, score)
+        best = sorted(alive, key=lambda i: (-(results[i][2] if results[i][2] is not None else -1.0), i))
+        alive = best[: -(-len(alive) // keep)] if rung + 1 < rungs else best
+    rows = [(i, *sets[i].values(), *results[i]) for i in range(trials)]
+    return train.sparkSession.createDataFrame(rows, SEARCH_SCHEMA).orderBy(F.desc("rung"), F.desc("auc"), "trial")
 
 
 def label_quality(df: DataFrame, features: list[str], folds: int = 3, label: str = LABEL, limit: float = 0.05) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark import config
@@ -16,7 +17,7 @@ from tidemark.operators import store as S
 from tidemark.operators.profile import numbered
 from tidemark.plans.evaluation import FEATURES, _model_frame, _parts
 from tidemark.plans.point_in_time import SPLIT_AT, W1_SQL, W3_SQL, W4_SQL, W5_SQL, W6_SQL, W9_SQL, tied
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources.views import FULL_SQL, SCORED_SQL, TXN_SQL, TXN_TIES_SQL, full_transactions, scored, transactions
 
 CARD_FEATURES = ["card1_seen_amt", "card1_amt_max_30d", "card1_velocity_1h"]
@@ -142,6 +143,21 @@ def p7(spark, sf):
     return L.top_contributions(_contributions(spark, sf), 3).select("TransactionID", F.col("rank").cast("long").alias("rank"), "feature", F.round(F.col("value") + 3.7e-9, 6).alias("value"), "direction")
 
 
+def p7_boosted(spark, sf):
+    """Contributions of a boosted model: per row of the last slice, whether they and the base add up to its raw score, and how many count."""
+    train, val, test = _parts(spark, sf)
+    model, fill = L.train_boosted(train, val, FEATURES, rounds=6, depth=3)
+    base = L.PathContributions.of(model, FEATURES).base
+    owed = L.boosted_contributions(test, model, FEATURES, fill)
+    x = L.assembled(test.select("TransactionID", *[F.col(c).cast("double").alias(c) for c in FEATURES]), FEATURES, fill)
+    raw = model.transform(x).select("TransactionID", vector_to_array("rawPrediction")[1].alias("raw"))
+    sums = owed.groupBy("TransactionID").agg(F.sum("value").alias("v"), F.count(F.lit(1)).alias("n_features"))
+    return sums.join(raw, "TransactionID").select("TransactionID", "n_features", (F.abs(F.col("v") + base - F.col("raw")) < 1e-9).alias("adds_up"))
+
+
+P7_BOOSTED_SQL = f"""WITH {SCORED_SQL} SELECT "TransactionID", {len(FEATURES)}::BIGINT AS n_features, true AS adds_up FROM scored WHERE "TransactionDT" >= {24 * 86400}"""
+
+
 CONTRIB_SQL = f"""{SCORED_SQL}, m AS (SELECT *, ("TransactionDT" // 3600) % 24 AS hour FROM scored),
 f AS (SELECT "TransactionID", {', '.join(f'coalesce("{c}"::DOUBLE, (SELECT median("{c}"::DOUBLE) FROM m)) AS "{c}"' for c in WEIGHTS)} FROM m),
 l AS ({' UNION ALL '.join(f"""SELECT "TransactionID", '{c}' AS feature, {w}::DOUBLE * ("{c}" - avg("{c}") OVER ()) / stddev_pop("{c}") OVER () AS value FROM f""" for c, w in WEIGHTS.items())}),
@@ -198,7 +214,7 @@ SELECT "TransactionID", """ + ", ".join(f'{sql6(f"({c} - avg({c}) OVER ()) / std
 
 def p12(spark, sf):
     train, val, _ = _parts(spark, sf)
-    return L.search(cut_lineage(train, "search"), cut_lineage(val, "search"), FEATURES, 3)
+    return L.search(cut_lineage(train, "search"), cut_lineage(val, "search"), FEATURES, 9)
 
 
 def _slices(spark, sf):
@@ -305,12 +321,12 @@ def a23(spark, sf):
 
 
 QUERIES = {
-    "p1_newest_snapshot": p1, "p2_long_rows_ttl": p2, "p3_visible_values": p3, "p4_feature_assembly": p4, "p5_degraded_mode": p5, "p6_decisions": p6, "p6_model_decisions": p6_model, "p7_top_contributions": p7,
+    "p1_newest_snapshot": p1, "p2_long_rows_ttl": p2, "p3_visible_values": p3, "p4_feature_assembly": p4, "p5_degraded_mode": p5, "p6_decisions": p6, "p6_model_decisions": p6_model, "p7_top_contributions": p7, "p7_boosted_contributions": p7_boosted,
     "p8_reason_texts": p8, "p9_shadow_columns": p9, "p10_boosted_trees": p10, "p11_impute_scale": p11, "p12_parameter_search": p12, "p13_feature_tiers": p13, "p13_past_tier": p13_past, "p13_encoding_tier": p13_encoding,
     "p13_feature_manifest": p13_manifest, "p14_split_gap": p14, "a23_label_quality": a23,
 }
 ORACLES = {
     "p1_newest_snapshot": P1_SQL, "p2_long_rows_ttl": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap",
     "p3_visible_values": f"{SNAP_SQL}\nSELECT * REPLACE ({sql6('value')} AS value) FROM snap WHERE written_at <= {AS_OF} AND expires_at > {AS_OF}",
-    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p6_model_decisions": P6_MODEL_SQL, "p7_top_contributions": P7_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p13_past_tier": _past_tier_sql(), "p13_encoding_tier": _encoding_tier_sql(), "p11_impute_scale": P11_SQL,
+    "p4_feature_assembly": P4_SQL, "p5_degraded_mode": P5_SQL, "p6_decisions": P6_SQL, "p6_model_decisions": P6_MODEL_SQL, "p7_top_contributions": P7_SQL, "p7_boosted_contributions": P7_BOOSTED_SQL, "p8_reason_texts": _p8_sql(), "p9_shadow_columns": P9_SQL, "p13_feature_manifest": _manifest_sql(), "p13_past_tier": _past_tier_sql(), "p13_encoding_tier": _encoding_tier_sql(), "p11_impute_scale": P11_SQL,
 }
