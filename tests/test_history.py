@@ -14,6 +14,7 @@ from tidemark.operators import history as H
 from tidemark.operators import velocity as V
 from tidemark.operators.folds import Fold, past_fold
 from tidemark.operators.leakcheck import future_leaks, leaks_of_any_past
+from tidemark.operators.sessions import sessions
 
 SCHEMA = "TransactionID long, TransactionDT long, TransactionAmt double, card1 long, addr1 int, DeviceInfo string, P_emaildomain string, isFraud int, hour_of_day int"
 
@@ -252,6 +253,22 @@ def test_folds_pass_from_round_to_round(spark):
     assert past_fold(df.where("card1 is null"), "card1", RISE, ["TransactionAmt"], "longest int, n long").where("longest = 0").count() == 8
 
 
+def test_sessions_cross_blocks(spark):
+    """A hot card over several days without a pause, gaps of exactly the limit, ties, and no card."""
+    rows = [(1, 600 * k) for k in range(1000)] + [(2, t) for t in (0, 0, 1799, 3599, 5398, 86399, 86400, 90000)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "card1 int, t long").repartition(4)
+    got = sorted((r["entity"], r["start"], r["end"], r["n"], r["x"]) for r in sessions(df, "card1", F.col("t"), 1800, {"x": F.col("t")}).collect())
+    want = []
+    for card in (1, 2):
+        for t in sorted(t for c, t in rows if c == card):
+            if want and want[-1][0] == card and t < want[-1][2]:
+                want[-1] = (card, want[-1][1], t + 1800, want[-1][3] + 1, want[-1][4] + t)
+            else:
+                want.append((card, t, t + 1800, 1, t))
+    assert got == want and len(want) == 5
+    assert sessions(df.limit(0), "card1", F.col("t"), 1800).count() == 0
+
+
 def test_any_aggregate_of_the_strict_past(spark, frame, rows):
     got = {r["TransactionID"]: r for r in V.strict_past(frame, "card1", {"spread": F.stddev_samp("TransactionAmt"), "n": F.count("*")}, 5 * 86400).collect()}
     assert len(got) == len(rows)

@@ -183,3 +183,28 @@ def test_narrow_types(spark):
 
 def test_default_fixed_values():
     assert len(config.FREE_PROVIDERS) == 25 and len(config.DISPOSABLE_PROVIDERS) == 15 and config.EWM_LAMBDAS == [0.05, 0.1, 0.5]
+
+
+def test_digests_stream_files_of_any_size(spark, tmp_path, monkeypatch):
+    """Small files in folders, an empty one, hidden ones; then one of 3 GB, of which no task holds more than a chunk."""
+    import shutil
+    import subprocess
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    held = {"a.bin": b"hello", "deep/b.bin": bytes(9 << 20), "empty.bin": b"", "c.txt": b"x"}
+    for name, data in held.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    (tmp_path / "in" / "_SUCCESS").write_bytes(b"")
+    want = sorted((n, len(d), hashlib.sha256(d).hexdigest()) for n, d in held.items())
+    assert sorted(map(tuple, S.file_hashes(spark, str(tmp_path / "in")).collect())) == want
+    assert sorted(map(tuple, S.file_hashes(spark, f"file://{tmp_path}/in", "*.bin").collect())) == [w for w in want if w[0].endswith("bin")]
+    assert [tuple(r) for r in S.file_hashes(spark, str(tmp_path / "in" / "a.bin")).collect()] == [want[0]]
+    with pytest.raises(Exception, match="absent"):
+        S.file_hashes(spark, str(tmp_path / "absent")).collect()
+    if shutil.disk_usage(tmp_path).free < 20 << 30:
+        pytest.skip("small disk")
+    size = (3 << 30) + 5
+    with open(tmp_path / "in" / "large.bin", "wb") as f:
+        f.truncate(size)  # sparse: takes no room
+    known = subprocess.run(["sha256sum", str(tmp_path / "in" / "large.bin")], capture_output=True, text=True, check=True).stdout.split()[0]
+    assert tuple(S.file_hashes(spark, str(tmp_path / "in"), "large*").first()) == ("large.bin", size, known)

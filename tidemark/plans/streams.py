@@ -8,6 +8,7 @@ from tidemark import config
 from tidemark.functions.numeric import r6, round_columns, sql6
 from tidemark.operators import monitor as M
 from tidemark.operators import store as S
+from tidemark.operators.sessions import sessions
 from tidemark.plans.monitoring import BASE_SQL
 from tidemark.plans.point_in_time import ENT
 from tidemark.session import scratch_path
@@ -195,12 +196,36 @@ T13_SQL = f"""WITH {TXN_SQL}, s AS (SELECT card1::VARCHAR AS c, "TransactionAmt"
 {PREDICTIONS_SQL.strip()}
 SELECT request_id, client_id, score, {sql6('coalesce(s.a, 0.0::DOUBLE)')} AS card1_seen_amt, {sql6('coalesce(s.k, 0.0::DOUBLE)')} AS card1_seen_k FROM preds LEFT JOIN s ON s.c = client_id"""
 
+def t14s(spark, sf):
+    """Bursts of requests of a client, half an hour apart."""
+    return drain(R.card_sessions(closed_predictions(spark, sf)), "sessions")
+
+
+T14_SQL = f"""WITH {PREDICTIONS_SQL},
+o AS (SELECT client_id, created_at, decision, CASE WHEN created_at < lag(created_at) OVER w + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS cut FROM preds WINDOW w AS (PARTITION BY client_id ORDER BY created_at)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY client_id ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT client_id, epoch(min(date_trunc('second', created_at)))::BIGINT AS window_start, epoch(date_trunc('second', max(created_at) + INTERVAL 30 MINUTES))::BIGINT AS window_end,
+  count(*) AS n, count(*) FILTER (decision = 'block') AS blocks FROM s GROUP BY client_id, session"""
+
+
+def sessions_of_cards(spark, sf):
+    """The same over a table at rest: sessions inside days first, joined at midnight."""
+    t = transactions(spark, sf)
+    return sessions(t, "card1", F.col("TransactionDT"), 1800, {"labels": F.col("isFraud").cast("long")}).select(F.col("entity").alias("card1"), "start", "end", "n", "labels")
+
+
+SESSIONS_SQL = f"""WITH {TXN_SQL},
+o AS (SELECT card1, "TransactionDT" AS t, "isFraud" AS y, CASE WHEN "TransactionDT" - lag("TransactionDT") OVER w < 1800 THEN 0 ELSE 1 END AS cut FROM txn WINDOW w AS (PARTITION BY card1 ORDER BY "TransactionDT")),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY card1 ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM o)
+SELECT card1, min(t) AS start, max(t) + 1800 AS "end", count(*) AS n, sum(y)::BIGINT AS labels FROM s GROUP BY card1, session"""
+
+
 QUERIES = {
     "t1s_velocity_stream": t1s, "t2s_decay_stream": t2s, "t3s_late_rows": t3s, "t4s_block_rate": t4s, "t5s_latency_quantile": t5s, "t6s_disagreement": t6s, "t7s_drift_alerts": t7s,
-    "t8s_error_rate": t8s, "t9s_decision_mix": t9s, "t10s_score_distribution": t10s, "t11s_sustained": t11s, "t12s_once_per_request": t12s, "t13s_enrichment": t13s,
+    "t8s_error_rate": t8s, "t9s_decision_mix": t9s, "t10s_score_distribution": t10s, "t11s_sustained": t11s, "t12s_once_per_request": t12s, "t13s_enrichment": t13s, "t14s_session_stream": t14s, "t14s_card_sessions": sessions_of_cards,
 }
 ORACLES = {
     "t1s_velocity_stream": T1_SQL, "t2s_decay_stream": _t2_sql(), "t3s_late_rows": T3_SQL, "t4s_block_rate": T4_SQL, "t5s_latency_quantile": T5_SQL, "t6s_disagreement": T6_SQL,
     "t7s_drift_alerts": T7_SQL, "t8s_error_rate": T8_SQL, "t9s_decision_mix": T9_SQL, "t10s_score_distribution": T10_SQL, "t11s_sustained": T11_SQL, "t12s_once_per_request": T12_SQL,
-    "t13s_enrichment": T13_SQL,
+    "t13s_enrichment": T13_SQL, "t14s_session_stream": T14_SQL, "t14s_card_sessions": SESSIONS_SQL,
 }

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.digests import FileDigests
+
 KEY = "TransactionID"
 
 TRANSACTION_FIELDS = {
@@ -138,9 +140,9 @@ def load_report(df: DataFrame, schema_version: int = 1) -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and SHA-256 of each file below `path`; one file per row, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Name below `path`, size and SHA-256 of each file whose name matches; files may be of any size."""
+    spark.dataSource.register(FileDigests)
+    return spark.read.format(FileDigests.name()).option("pattern", pattern).load(path)
 
 
 def compare_hashes(before: DataFrame, after: DataFrame) -> DataFrame:

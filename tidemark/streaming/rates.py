@@ -85,3 +85,14 @@ def enrich(stream: DataFrame, snapshot: DataFrame, features: list[str], default:
     """Stream rows with the newest snapshot of their client; clients without one get the default."""
     s = snapshot.select(F.col("entity_id").alias("client_id"), *features)
     return stream.join(s, "client_id", "left").fillna(default, features)
+
+
+def card_sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes", entity: str = "client_id") -> DataFrame:
+    """Bursts of an entity: requests, blocks and duration of each session, once the watermark has passed its end.
+
+    Sessions are merged where rows are read before they are shuffled, so a hot entity sends sessions and not rows.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    g = stream.withWatermark(TIME, delay).groupBy(entity, F.session_window(TIME, gap).alias("window"))
+    out = _edges(g.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("decision") == "block").alias("blocks")))
+    return out.select(entity, "window_start", "window_end", "n", "blocks")
