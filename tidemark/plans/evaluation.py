@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions.numeric import r6, round_columns, sql6
 from tidemark.operators import calibrate as K
 from tidemark.operators import chain as CH
 from tidemark.operators import cost as M
 from tidemark.operators import model as L
 from tidemark.operators import ranking as R
-from tidemark.sources.views import SCORED_SQL, scored, transactions
+from tidemark.sources.views import FULL_SQL, N_VECTOR_COLUMNS, SCORED_SQL, full_transactions, scored, transactions
 
 TAUS = M.default_thresholds()
 TAU_SQL = "taus AS (SELECT unnest([" + ", ".join(f"CAST('{t!r}' AS DOUBLE)" for t in TAUS) + "]) AS threshold)"
@@ -272,27 +273,33 @@ def _parts(spark, sf):
 def e22(spark, sf):
     train, val, _ = _parts(spark, sf)
     model, _fill = L.train_boosted(train, val, FEATURES, rounds=5, depth=3)
-    return L.importances(model, FEATURES, train, {**L.feature_families([], train.columns), **_families(transactions(spark, sf))})
+    return L.importances(model, FEATURES, train, {**L.feature_families([], train.columns), **_families(transactions(spark, sf), ("amount", "calendar"))})
 
 
-FAMILY_PARTS = ("amount", "calendar")
-
-
-def _families(train):
-    """Families of the features that the cheap generators make, and of the raw columns."""
-    chain = CH.FeatureChain([(n, make()) for n, make in CH.DEFAULT if n in FAMILY_PARTS])
+def _families(train, parts=None):
+    """Families of the features of the whole chain or of some of its parts, and of the raw columns."""
+    chain = CH.FeatureChain([(n, make()) for n, make in CH.DEFAULT if parts is None or n in parts], thin_columns=False)
     chain.fit_transform(train)
     return chain.families(train.columns)
 
 
 def e22_families(spark, sf):
-    train = transactions(spark, sf)
-    return spark.createDataFrame(sorted(_families(train).items()), "feature string, family string").where(F.col("feature").isin([*FAMILY_COLUMNS, *FAMILY_MADE]))
-
-
-FAMILY_COLUMNS = ["TransactionAmt", "card1", "isFraud"]
-FAMILY_MADE = {"log_amount": "amount", "amount_decile": "amount", "hour_of_day": "calendar", "day_of_week": "calendar", "is_weekend": "calendar", "is_business_hours": "calendar", "hour_sin": "calendar", "hour_cos": "calendar"}
-E22_FAMILIES_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{k}')" for f, k in [*[(c, "raw") for c in FAMILY_COLUMNS], *FAMILY_MADE.items()]) + ") AS t(feature, family)"
+    """How many columns each generator of the chain made for this table, and how many are raw."""
+    found = _families(full_transactions(spark, sf))
+    return spark.createDataFrame(sorted(found.items()), "feature string, family string").groupBy("family").agg(F.count(F.lit(1)).alias("n_features"))
+
+
+_WIDTH = {"amount": 2, "calendar": 6, "mail": 4, "velocity": len(config.VELOCITY_ENTITIES) * len(config.VELOCITY_WINDOWS), "stats": sum(map(len, config.STATS_BY_ENTITY.values())) * len(config.STATS_WINDOWS),
+          "encoding": 3, "behaviour": 5, "cold_start": 1, "decay": 2 * len(config.VELOCITY_ENTITIES) * len(config.EWM_LAMBDAS), "graph": 4 + len(config.VELOCITY_ENTITIES)}
+_RAW = ["TransactionID", "TransactionDT", "TransactionAmt", "card1", "k", "addr1", "DeviceInfo", "P_emaildomain", "ProductCD", "isFraud", "card4"]
+# Indicators exist for the columns that this table often lacks: of the raw ones, and of the V block by its rules.
+E22_FAMILIES_SQL = f"""WITH {FULL_SQL},
+m AS (SELECT unnest([{', '.join(f'avg(("{c}" IS NULL)::INTEGER)' for c in _RAW)}]) AS share FROM branded),
+v AS (SELECT "TransactionID" % (SELECT count(*) FROM embeddings) AS vec FROM branded),
+w AS (SELECT avg((vec % 3 = 0)::INTEGER) AS third, avg((vec % 10 = 1)::INTEGER) AS tenth FROM v)
+SELECT * FROM (VALUES {', '.join(f"('{f}', {n}::BIGINT)" for f, n in _WIDTH.items())}) AS t(family, n_features)
+UNION ALL SELECT 'missing', (SELECT count(*) FROM m WHERE share > {config.MISSING_THRESHOLD}) + (SELECT (third > {config.MISSING_THRESHOLD})::BIGINT * 8 + (tenth > {config.MISSING_THRESHOLD})::BIGINT * {N_VECTOR_COLUMNS - 19} FROM w)
+UNION ALL SELECT 'raw', {len(_RAW) + N_VECTOR_COLUMNS}"""
 
 
 QUERIES = {
