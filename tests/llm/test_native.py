@@ -69,7 +69,22 @@ def test_limits_adapt_to_the_group(spark):
     df = spark.createDataFrame(plain + code + odd, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality.judge(df).collect()}
     assert got[0].kept and got[1000].kept and not got[5000].kept
-    assert got[5000].level == "source" and got[5001].level == "language"
+    m = quality.measured(df, "text", F.col("lang").alias("lang_key"), F.col("source").alias("source_key"))
+    limits = {r.source_key: r for r in quality.group_limits(quality.sketches(m, ["lang_key", "source_key"])).collect()}
+    assert limits["plain"].symbols_hi < 2000 < 2666 < limits["code"].symbols_hi
+    # One document alone takes the limits of its language, but for its own small weight.
+    language = quality.limits(quality.sketches(m, ["lang_key"]), ["lang_key"]).first()
+    assert abs(limits["tiny"].symbols_hi - language.symbols_hi) <= language.symbols_hi / quality.SHRINK
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_limits_of_the_table_differ(spark):
+    """No measure has the same limits everywhere, and each can reject documents that pass the base rules."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = quality.measured(docs, "text", F.col("lang").alias("lang_key"), F.col("source").alias("source_key"))
+    limits = quality.group_limits(quality.sketches(m, ["lang_key", "source_key"])).toPandas()
+    assert all(limits[f"{c}_hi"].nunique() > 5 for c in quality.MEASURES) and limits.word_length_lo.nunique() > 5
+    assert (limits.repeats_hi < 3000).any() and (limits.dup_lines_hi < 10_000).any() and limits.symbols_hi.median() < 300
 
 
 def test_sketches_merge(spark):
