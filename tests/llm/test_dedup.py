@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,11 +42,11 @@ def near_texts(seed: int, groups: int, copies: int, words: int, edits: int) -> l
 def expected_groups(texts: list[str | None]) -> list[int]:
     """Groups by comparing all pairs, with multisets of shingles spelled out."""
     column = pa.array(texts, pa.string())
-    _, first, at, _, shingles = neardup.elements(column)
-    df = np.zeros(neardup.DF_BUCKETS, np.int64)
+    found, first, at, _, shingles = neardup.elements(column)
+    df = Counter()
     for a, b in zip(at[:-1], at[1:]):
-        df[np.unique(neardup._bucket(shingles[a:b][first[a:b]]))] += 1
-    held = neardup._known(column, neardup.levels(df, sum(t is not None for t in texts)))
+        df.update(shingles[a:b][first[a:b]].tolist())
+    held = neardup._weighted(found, at, neardup.levels(np.array([df[x] for x in shingles.tolist()], np.int64), sum(t is not None for t in texts)))
     links = []
     for i in range(len(texts)):
         for j in range(i):

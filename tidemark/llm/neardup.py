@@ -24,7 +24,8 @@ by inverse document frequency of its shingle.
 
 Defined cases: null text is a group of its own; texts without words are equal to each other; a text of
 fewer than five words is one shingle; repeated rows are copies, of which one is kept; ids may be null
-(they come last) or repeated; extra columns are carried in a struct; an empty table gives no rows.
+(they come last) or repeated; extra columns are carried in a struct; an empty table gives no rows. A very long
+text is a block of its own and is compared whole; ties between ids are settled by the order of rows.
 """
 
 from __future__ import annotations
@@ -94,10 +95,6 @@ def elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list
     return found, first, at, digests, base
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> _U(44)).astype(np.int64) & (DF_BUCKETS - 1)
-
-
 def _block_starts(texts: DataFrame) -> np.ndarray:
     """The least uid of each block of texts; a block holds about BLOCK_BYTES and rows numbered by one task."""
     def cut(batches):
@@ -236,12 +233,6 @@ def _weighted(found: np.ndarray, at: np.ndarray, level: np.ndarray) -> list[tupl
     return out
 
 
-def _known(batch_column: pa.Array, level_of: np.ndarray):
-    """Sorted elements and weights of the texts of a small table, of which each shingle has a bucket of its own."""
-    found, _, at, _, base = elements(batch_column)
-    return _weighted(found, at, level_of[_bucket(base)])
-
-
 def _held(texts: pa.Array, steps: pa.Array):
     """Sorted elements and weights of texts whose weight steps are known."""
     found, _, at, _, _ = elements(texts)

@@ -16,7 +16,8 @@ Texts are measured in one pass and only the measures, or the rows the caller wan
 sketches hold at most a few thousand bins per group whatever its size, so a hot source is no burden.
 
 Defined cases: null text has no words, and fails the base rules as empty text does; null languages and
-sources are groups of their own; repeated rows count and are judged each; an empty table gives no rows.
+sources are groups of their own; repeated rows count and are judged each; an empty table gives no rows; a very long text is
+measured whole; a value on a limit is kept.
 An input column whose name is one of the result's new columns is replaced; all others are kept.
 """
 
