@@ -111,3 +111,52 @@ def test_sustained_needs_every_evaluation(spark):
     df = spark.createDataFrame(rows, "window_start long, window_end long, breach boolean")
     got = sorted((r["window_start"]) // 60 for r in R.sustained(df, 180, 60).collect())
     assert got == [3, 8, 9, 10, 11]
+
+
+class _Kept:
+    """A processor's handle with its one state in memory."""
+
+    def __init__(self):
+        self.values, self.timers, self.single = [], [], False
+
+    def getListState(self, *_):  # noqa: N802
+        return self
+
+    def getValueState(self, *_):  # noqa: N802
+        self.single = True
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def appendValue(self, value):  # noqa: N802
+        self.values.append(value)
+
+    def get(self):
+        return self.values[0] if self.single else iter(self.values)
+
+    def exists(self):
+        return bool(self.values)
+
+    def update(self, value):
+        self.values = [value]
+
+
+def _asking(rows):
+    import pandas as pd
+
+    return iter([pd.DataFrame([("card1", v, t, n, float(n), [i]) for i, (v, t, n) in enumerate(rows)], columns=["entity", "value", "ts", "n", "f", "ids"])])
+
+
+def test_one_call_serves_many_entity_values():
+    from tidemark.streaming.stateful import _Decay, _Window
+
+    window, decay = _Window([10, 100]), _Decay([3600.0])
+    window.init(kept := _Kept())
+    decay.init(_Kept())
+    list(window.handleInputRows((0, 0), _asking([("a", 1, 1), ("b", 2, 5), ("a", 3, 2)]), None))
+    (got,) = window.handleInputRows((0, 0), _asking([("b", 20, 1), ("a", 12, 1)]), None)
+    assert {r.value: (r.n0, r.n1) for r in got.itertuples()} == {"b": (0, 5), "a": (2, 3)} and kept.timers == [100_000]
+    list(decay.handleInputRows((0,), _asking([("a", 1, 1), ("b", 2, 5)]), None))
+    (got,) = decay.handleInputRows((0,), _asking([("b", 3, 1), ("a", 3, 1)]), None)
+    assert {r.value: round(r.v[0], 9) for r in got.itertuples()} == {"a": round(math.exp(-2), 9), "b": round(5 * math.exp(-1), 9)}

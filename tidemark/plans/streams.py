@@ -12,7 +12,7 @@ from tidemark.operators.sessions import sessions
 from tidemark.plans.monitoring import BASE_SQL
 from tidemark.plans.point_in_time import ENT
 from tidemark.session import scratch_path
-from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, table, transaction_columns, transactions
+from tidemark.sources.views import PREDICTIONS_SQL, TXN_SQL, prediction_columns, scored, seconds_since, table, transaction_columns, transactions
 from tidemark.streaming import rates as R
 from tidemark.streaming.runner import closed_event_stream, closing_event, drain, drain_batches, event_stream, per_batch, split_event_stream, stream_of
 from tidemark.streaming.stateful import DecayStream, VelocityStream
@@ -57,13 +57,11 @@ def _t2_sql():
 
 def t3s(spark, sf):
     """Three micro-batches, the last with the early days again: how many rows are on time and late."""
-    ev = table(spark, sf, "events")
-    times = transactions(spark, sf).select(F.col("TransactionID").alias("event_id"), "TransactionDT")
-    at = lambda rule: ev.join(times.where(rule).select("event_id"), "event_id", "left_semi").select(ev.columns)
+    ev, at = table(spark, sf, "events"), seconds_since("ts", "2024-01-01")
     job = VelocityStream(spark, ["card1"], {"24h": 86400}, delay=1)
     late = job.run(transaction_columns(stream_of([
-        at(F.col("TransactionDT") < 10 * 86400), at(F.col("TransactionDT").between(10 * 86400, 20 * 86400)),
-        at((F.col("TransactionDT") > 20 * 86400) | (F.col("TransactionDT") < 5 * 86400)), closing_event(ev, 3)])))
+        ev.where(at < 10 * 86400), ev.where(at.between(10 * 86400, 20 * 86400)),
+        ev.where((at > 20 * 86400) | (at < 5 * 86400)), closing_event(ev, 3)])))
     return job.output().agg(F.count(F.lit(1)).alias("emitted")).withColumn("late", F.lit(late).cast("long"))
 
 

@@ -8,10 +8,11 @@ Rows pass through three stateful operators of one query, all in append mode:
 2. A watermarked aggregation turns rows into instants, one per (entity value, second), with the transactions of
    that second. An instant is handed on when the watermark has passed it, so nothing can join it any more,
    and a hot entity arrives as its seconds and not as its rows.
-3. `transformWithState` meets the instants of a key in order of time. For velocity the key is (entity value, time
-   block): an instant asks in its own block and is remembered there and in the next one, the state grows by
-   one chunk a batch, and a timer deletes it once the watermark has passed the block. For decayed sums the key
-   is the entity value and the state a few numbers, whatever its past.
+3. `transformWithStateInPandas` meets the instants in order of time. Entity values share a fixed number of hash buckets:
+   a call and its state serve all values of a bucket, told apart by their full names, so calls do not grow with the
+   number of values. For velocity the key is (bucket, time block): an instant asks in its own block and is remembered
+   there and in the next one, the state grows by one chunk a batch, and a timer deletes it once the watermark has
+   passed the block. For decayed sums the key is the bucket and the state a few numbers per value, whatever its past.
 
 Out of it come long rows (transaction, entity, features); `wide` pivots what the sink holds. Progress and state live in the
 shared folder: a lost executor or driver resumes from there, and a repeated batch replaces what it wrote.
@@ -22,7 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,6 +37,7 @@ from tidemark.streaming.runner import run_to_end
 ID, TIME, LABEL = V.ID, V.TIME, V.LABEL
 AT = "_at"  # the transaction's second as a timestamp, for the watermark
 NONE = "-"  # the entity of a transaction without any entity value
+BUCKETS = 256  # of entity values: a state is kept and asked for many of them at once
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,37 +56,56 @@ def instants(stream: DataFrame, entities: list[str], delay: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("f").alias("f"), F.collect_list(ID).alias("ids")).withColumn("ts", F.unix_seconds(AT))
 
 
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("entity", "value"), F.lit(BUCKETS)).alias("bucket")
+
+
 class _Window(StatefulProcessor):
-    """Rows in the windows before each instant of a block."""
+    """Rows in the windows before each instant of a block, for all entity values of a bucket at once."""
 
     def __init__(self, lengths: list[int]):
         self.lengths = lengths
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.chunks = handle.getListState("chunks", "ts binary, n binary")
+        self.chunks = handle.getListState("chunks", "rows binary")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = sorted(rows, key=lambda r: r["ts"])
-        ts, n = np.array([r["ts"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
-        known = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for a, b in self.chunks.get()]
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, block, blk = pd.concat(list(rows), ignore_index=True), max(self.lengths), int(key[1])
+        held = ["entity", "value", "ts", "n"]
+        known = [_unpacked(chunk[0]).to_pandas() for chunk in self.chunks.get()]
         if not known:
             # Nothing asks in this block once the watermark is past its end.
-            self.handle.registerTimer((key[2] + 1) * max(self.lengths) * 1000)
-        self.chunks.appendValue((ts.tobytes(), n.tobytes()))
-        asks = [k for k, r in enumerate(rows) if r["ids"] is not None]
-        if not asks:
+            self.handle.registerTimer((blk + 1) * block * 1000)
+        self.chunks.appendValue((_packed(pa.Table.from_pandas(new[held], preserve_index=False)),))
+        asks = new["ids"].notna().to_numpy()
+        if not asks.any():
             return
-        at, held = (np.concatenate(x) for x in zip(*known, (ts, n)))
+        every = pd.concat([*known, new[held]], ignore_index=True)
+        entity, ts = every.groupby(["entity", "value"], sort=False).ngroup().to_numpy(np.int64), every["ts"].to_numpy(np.int64)
+        # One line of time per entity value, from the start of the block before.
+        at = entity * (2 * block + 1) + ts - (blk - 1) * block
         order = np.argsort(at, kind="stable")
-        at, before = at[order], np.concatenate([[0], np.cumsum(held[order])])
-        asked = ts[asks]
-        upto = before[np.searchsorted(at, asked)]
-        counts = [(upto - before[np.searchsorted(at, asked - w)]).tolist() for w in self.lengths]
-        for k, *found in zip(asks, *counts):
-            yield Row(entity=key[0], value=key[1], ids=rows[k]["ids"], **{f"n{i}": c for i, c in enumerate(found)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        line, before = at[order], np.concatenate([[0], np.cumsum(every["n"].to_numpy(np.int64)[order])])
+        asked = at[len(every) - len(new):][asks]
+        upto = before[np.searchsorted(line, asked)]
+        found = new.loc[asks, ["entity", "value", "ids"]].reset_index(drop=True)
+        for i, length in enumerate(self.lengths):
+            found[f"n{i}"] = upto - before[np.searchsorted(line, asked - length)]
+        yield found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.chunks.clear()
         return iter(())
 
@@ -91,24 +114,38 @@ class _Window(StatefulProcessor):
 
 
 class _Decay(StatefulProcessor):
-    """Decayed counts and labels before each instant; the state is what they were right after the last one."""
+    """Decayed counts and labels before each instant; the state is what they were right after the last one of each entity value of a bucket."""
 
     def __init__(self, lambdas: list[float]):
         self.lambdas = lambdas
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("sums", "last_t long, v array<double>, f array<double>")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rates = np.array(self.lambdas) / -3600.0
-        last = self.state.get() if self.state.exists() else None
-        at, v, f = (last[0], np.array(last[1]), np.array(last[2])) if last else (0, np.zeros(len(rates)), np.zeros(len(rates)))
-        for r in sorted(rows, key=lambda r: r["ts"]):
-            gone = np.exp(rates * (r["ts"] - at))
-            v, f, at = v * gone, f * gone, r["ts"]
-            yield Row(entity=key[0], value=key[1], ids=r["ids"], v=v.tolist(), f=f.tolist())
-            v, f = v + r["n"], f + r["f"]
-        self.state.update((at, v.tolist(), f.tolist()))
+        self.state = handle.getValueState("sums", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows), ignore_index=True).sort_values(["entity", "value", "ts"], ignore_index=True)
+        sums = {}
+        if self.state.exists():
+            sums = {(r["entity"], r["value"]): (r["at"], r["v"], r["f"]) for r in _unpacked(self.state.get()[0]).to_pylist()}
+        names, ts = list(zip(new["entity"], new["value"])), new["ts"].to_numpy(np.int64)
+        blank = [0.0] * len(self.lambdas)
+        first = [k == 0 or names[k] != names[k - 1] for k in range(len(new))]
+        last = np.concatenate([[0], ts[:-1]])
+        for k in (k for k, opens in enumerate(first) if opens):
+            last[k] = sums[names[k]][0] if names[k] in sums else 0
+        decays = np.exp(np.outer(ts - last, np.array(self.lambdas) / -3600.0)).tolist()
+        vs, fs = [], []
+        for name, opens, t, n, label, gone in zip(names, first, ts.tolist(), new["n"].tolist(), new["f"].tolist(), decays):
+            if opens:
+                _, v, f = sums.get(name, (0, blank, blank))
+            v, f = [x * g for x, g in zip(v, gone)], [x * g for x, g in zip(f, gone)]
+            vs.append(v)
+            fs.append(f)
+            v, f = [x + n for x in v], [x + label for x in f]
+            sums[name] = (t, v, f)
+        kind = pa.schema([("entity", pa.string()), ("value", pa.string()), ("at", pa.int64()), ("v", pa.list_(pa.float64())), ("f", pa.list_(pa.float64()))])
+        self.state.update((_packed(pa.Table.from_pylist([{"entity": e, "value": x, "at": t, "v": v, "f": f} for (e, x), (t, v, f) in sums.items()], kind)),))
+        yield new[["entity", "value", "ids"]].assign(v=vs, f=fs)
 
     def close(self) -> None:
         pass
@@ -156,9 +193,9 @@ class VelocityStream(FeatureStream):
         # In the next block an instant only counts: it has no transactions that ask.
         own = F.floor(F.col("ts") / block)
         places = F.array(F.struct(own.alias("blk"), F.col("ids").alias("ids")), F.struct((own + 1).alias("blk"), F.lit(None).cast("array<long>").alias("ids")))
-        dealt = inst.select("entity", "value", "ts", "n", F.explode(places).alias("p")).select("entity", "value", "p.blk", "ts", "n", "p.ids")
+        dealt = inst.select(bucket(), "entity", "value", "ts", "n", F.explode(places).alias("p")).select("bucket", "entity", "value", "p.blk", "ts", "n", "p.ids")
         kind = "entity string, value string, ids array<long>, " + ", ".join(f"n{i} long" for i in range(len(self.windows)))
-        return dealt.groupBy("entity", "value", "blk").transformWithState(_Window(list(self.windows.values())), kind, "append", "EventTime")
+        return dealt.groupBy("bucket", "blk").transformWithStateInPandas(_Window(list(self.windows.values())), kind, "append", "EventTime")
 
     def wide(self, long: DataFrame) -> DataFrame:
         aggs = [F.coalesce(F.max(F.when(F.col("entity") == e, F.col(f"n{i}"))), F.lit(0)).alias(f"{e}_velocity_{w}") for e in self.entities for i, w in enumerate(self.windows)]
@@ -176,7 +213,7 @@ class DecayStream(FeatureStream):
 
     def features(self, inst: DataFrame) -> DataFrame:
         kind = "entity string, value string, ids array<long>, v array<double>, f array<double>"
-        return inst.groupBy("entity", "value").transformWithState(_Decay(self.lambdas), kind, "append", "EventTime")
+        return inst.select(bucket(), "entity", "value", "ts", "n", "f", "ids").groupBy("bucket").transformWithStateInPandas(_Decay(self.lambdas), kind, "append", "EventTime")
 
     def wide(self, long: DataFrame) -> DataFrame:
         aggs = [F.coalesce(F.max(F.when(F.col("entity") == e, F.col(w)[i])), F.lit(0.0)).alias(V.ewm_name(e, w, lam))
