@@ -278,3 +278,19 @@ def test_any_aggregate_of_the_strict_past(spark, frame, rows):
         assert got[r[0]]["n"] == len(near)
         want = statistics.stdev(known) if len(known) > 1 else None
         assert got[r[0]]["spread"] is None if want is None else math.isclose(got[r[0]]["spread"], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_amount_beside_its_past_mean(spark):
+    """Whether an amount equals the mean of two past ones is settled by their plain sum, as in SQL, not by rounding."""
+    rng, data = random.Random(3), []
+    for card in range(200):
+        a, b = (rng.randrange(1, 20000) for _ in range(2))
+        b += (a + b) % 2
+        # Amounts after the one looked at must not count either.
+        amounts = [a / 100, b / 100, (a + b) // 2 / 100, *[rng.randrange(1, 20000) / 100 for _ in range(3)]]
+        data += [(card * 10 + i, i * 86400, x, card, None, None, None, 0, 0) for i, x in enumerate(amounts)]
+    z = V.zscores(spark.createDataFrame(data, SCHEMA)).where("TransactionID % 10 = 2").collect()
+    amount = {r[0]: r[2] for r in data}
+    for r in z:
+        k = r["TransactionID"]
+        assert (r["amt_zscore_vs_card1_history"] == 0) == (amount[k] == (amount[k - 2] + amount[k - 1]) / 2)

@@ -49,6 +49,7 @@ def instants(rows: DataFrame, keys: list[str] = KEYS, amount: str | None = None,
         aggs += [
             F.count(a).alias("an"),
             F.avg(a).alias("mean"),
+            F.sum(a).alias("asum"),
             (F.var_pop(a) * F.count(a)).alias("m2"),
             F.min(a).alias("lo"),
             F.max(a).alias("hi"),
@@ -167,7 +168,9 @@ def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = No
             inclusive: bool = False, block: int = DAY) -> DataFrame:
     """State over all instants before each one (`inclusive`: up to and including it).
 
-    Adds `past_<c>` for each listed column; with `amount` the moments `past_an/mean/m2`; with `gaps`
+    Adds `past_<c>` for each listed column; with `amount` the moments `past_an/mean/m2`, whose mean is the
+    amounts added up in order of time over their count, as plain SQL has it: no rounding of centres and merges
+    decides whether an amount equals it; with `gaps`
     the time since the previous instant and the number, sum and sum of squares of past gaps between
     rows (`gap`, `past_gap_n/sum/sq`); needs `n`.
     """
@@ -186,7 +189,7 @@ def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = No
         x = x.withColumn("d1", F.col("an") * off).withColumn("d2", F.col("m2") + F.col("an") * off * off)
         totals += [
             F.sum("an").alias("b_an"), F.max("center").alias("b_center"), F.sum("d1").alias("b_d1"),
-            F.sum("d2").alias("b_d2"), F.min("lo").alias("b_lo"), F.max("hi").alias("b_hi"),
+            F.sum("d2").alias("b_d2"), F.min("lo").alias("b_lo"), F.max("hi").alias("b_hi"), F.sum("asum").alias("b_asum"),
         ]
     if gaps:
         x = x.withColumn("prev_in", F.lag("ts").over(ordered))
@@ -214,6 +217,7 @@ def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = No
         state.append(_half_moments(
             F.sum("b_half.n").over(earlier), F.col("e_center"), F.sum("e1").over(earlier), F.sum("e2").over(earlier),
             F.min("b_lo").over(earlier), F.max("b_hi").over(earlier)).alias("c_half"))
+        state += [F.sum("b_asum").over(earlier).alias("c_asum"), F.min("b_lo").over(earlier).alias("c_amt_lo"), F.max("b_hi").over(earlier).alias("c_amt_hi")]
     if gaps:
         state += [
             F.sum("b_rows").over(earlier).alias("c_rows"), F.min("b_first").over(earlier).alias("c_first"),
@@ -236,13 +240,18 @@ def running(inst: DataFrame, keys: list[str] = KEYS, sums: list[str] | None = No
         add["i_half"] = _half_moments(
             F.sum("an").over(inside), F.col("center"), F.sum("d1").over(inside), F.sum("d2").over(inside),
             F.min("lo").over(inside), F.max("hi").over(inside))
+        add["amt_sum"] = F.coalesce("c_asum", F.lit(0.0)) + F.coalesce(F.sum("asum").over(inside), F.lit(0.0))
+        add["amt_lo"] = F.least(F.min("lo").over(inside), F.col("c_amt_lo"))
+        add["amt_hi"] = F.greatest(F.max("hi").over(inside), F.col("c_amt_hi"))
     if gaps:
         add["i_rows"] = F.sum("n").over(inside)
         add["i_gap_sq"] = F.coalesce(F.sum("gap_sq").over(inside), F.lit(0))
     y = y.withColumns(add)
     if amount:
         a, b = F.col("c_half"), F.col("i_half")
-        y = y.withColumns({"past_an": _merge(a, b, "n"), "past_mean": _merge(a, b, "mean"), "past_m2": _merge(a, b, "m2")})
+        n = _merge(a, b, "n")
+        mean = F.when(F.col("amt_lo") == F.col("amt_hi"), F.col("amt_lo")).otherwise(F.col("amt_sum") / F.nullif(n, F.lit(0)))
+        y = y.withColumns({"past_an": n, "past_mean": mean, "past_m2": _merge(a, b, "m2")})
     if gaps:
         prev = F.coalesce("prev_in", "c_last")
         first = F.coalesce("c_first", F.min("ts").over(inside))
