@@ -294,3 +294,24 @@ def test_amount_beside_its_past_mean(spark):
     for r in z:
         k = r["TransactionID"]
         assert (r["amt_zscore_vs_card1_history"] == 0) == (amount[k] == (amount[k - 2] + amount[k - 1]) / 2)
+
+
+def counted(df, counter):
+    """`df` with an id column that counts how often its rows are made."""
+    @F.udf("long")
+    def seen(x):
+        counter.add(1)
+        return x
+
+    return df.withColumn("TransactionID", seen("TransactionID"))
+
+
+def test_leak_check_makes_its_rows_once(spark, frame, rows, monkeypatch):
+    """A copy of the rows per sampled one must not make the rows again."""
+    from tidemark.plans import point_in_time
+
+    made = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(point_in_time, "tied", lambda spark, sf: counted(frame, made))
+    found = {r["feature"]: r["violations"] for r in point_in_time.w15_any(spark, "").collect()}
+    assert found["past rate"] == 0 and found["rows of a day"] == 0 and found["whole rate"] > 0
+    assert made.value == len(rows)

@@ -11,6 +11,7 @@ from tidemark.operators import velocity as V
 from tidemark.operators.folds import Fold, past_fold
 from tidemark.operators.history import running, sliding_counts
 from tidemark.operators.leakcheck import future_leaks, leaks_of_any_past
+from tidemark.session import cut_lineage
 from tidemark.sources.views import TXN_SQL, TXN_TIES_SQL, order_transactions, ORDERS_SQL, transactions
 
 ENT = config.VELOCITY_ENTITIES
@@ -284,8 +285,8 @@ def _last_day(rows, by):
 
 
 def w15_any(spark, sf):
-    """Features that read rows of every entity, recomputed on all rows up to each sampled one."""
-    t = tied(spark, sf)
+    """Features that read rows of every entity, recomputed on all rows up to each sampled one; the rows are made once."""
+    t = cut_lineage(tied(spark, sf), "leak-rows")
     found = [("past rate", leaks_of_any_past(t, _past_rate, "rate")), ("rows of a day", leaks_of_any_past(t, _last_day, "n_day", reach=86400)), ("whole rate", leaks_of_any_past(t, _whole_rate, "rate"))]
     parts = [f.select(F.lit(name).alias("feature"), "sampled", "violations") for name, f in found]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
