@@ -315,3 +315,13 @@ def test_leak_check_makes_its_rows_once(spark, frame, rows, monkeypatch):
     found = {r["feature"]: r["violations"] for r in point_in_time.w15_any(spark, "").collect()}
     assert found["past rate"] == 0 and found["rows of a day"] == 0 and found["whole rate"] > 0
     assert made.value == len(rows)
+
+
+def test_label_quality_makes_its_rows_once(spark, frame, rows):
+    """Training passes over the rows many times; they come from one written table."""
+    from tidemark.operators.model import label_quality
+
+    made = spark.sparkContext.accumulator(0)
+    got = label_quality(counted(frame, made), ["TransactionAmt", "hour_of_day"], folds=2)
+    assert got.count() == len(rows)
+    assert made.value == len(rows)

@@ -280,10 +280,14 @@ def search(train: DataFrame, val: DataFrame, features: list[str], trials: int, l
 
 
 def label_quality(df: DataFrame, features: list[str], folds: int = 3, label: str = LABEL, limit: float = 0.05) -> DataFrame:
-    """Out-of-fold probability of each row's own label, flagged where it is small."""
+    """Out-of-fold probability of each row's own label, flagged where it is small.
+
+    Features and folds are written once: training passes over them many times, and none goes back to `df`.
+    """
     from tidemark.operators.encode import exact_stratified_folds
 
-    x = df.join(exact_stratified_folds(df, label=label, folds=folds).select("TransactionID", "fold"), "TransactionID")
+    rows = cut_lineage(df.select("TransactionID", label, *[F.col(c).cast("double").alias(c) for c in features]), "quality-rows")
+    x = cut_lineage(rows.join(exact_stratified_folds(rows, label=label, folds=folds).select("TransactionID", "fold"), "TransactionID"), "quality-folds")
     parts = None
     for k in range(folds):
         train, held = x.where(F.col("fold") != k), x.where(F.col("fold") == k)
