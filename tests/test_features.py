@@ -438,3 +438,17 @@ def test_halving_finds_the_planted_optimum(spark):
     assert found[0]["trial"] == full and found[0]["rung"] == 2 and found[0]["share"] == 1.0
     assert [sum(r["rung"] == k for r in found) for k in range(3)] == [18, 6, 3] and len(found) == 27
     assert sum(shares[:39]) < 0.4 * 27 * 900
+
+
+def test_narrow_slices_leave_the_block_where_it_is(spark, wide_rows):
+    """Generators that never look at the V block, without thinning: it is not written again, but still there to be read."""
+    train, later = wide_rows
+    chain = CH.FeatureChain([(n, make()) for n, make in CH.DEFAULT if n in ("velocity", "encoding")], thin_columns=False)
+    with chain.slices(train, later, buckets=3) as wide:
+        stored = [spark.table(f"{d.name}.transactions").columns for d in spark.catalog.listDatabases() if d.name.startswith("tidemark_")]
+        got = collected(wide.select("TransactionID", "V1", "V4", "card1_velocity_1h"))
+    assert stored and not any(c.startswith("V") for columns in stored for c in columns)
+    source = collected(train.unionByName(later).select("TransactionID", "V1", "V4"))
+    assert {k: (r["V1"], r["V4"]) for k, r in got.items()} == {k: (r["V1"], r["V4"]) for k, r in source.items()}
+    with CH.FeatureChain([("missing", CH.Missing())], thin_columns=False).slices(train, later, buckets=3) as wide:
+        assert "is_null_V4" in wide.columns

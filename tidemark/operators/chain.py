@@ -41,6 +41,7 @@ class FeatureGenerator(Protocol):
     """`fit` learns from training rows; `own` gives the training rows' features, `later` those of other rows.
 
     Both return frames keyed by the transaction id; `history` holds rows whose past counts for `later`.
+    A generator that never looks at the V block may say so by an attribute `narrow`.
     """
 
     rationale: str
@@ -141,6 +142,7 @@ class Past:
     compute: object
     rationale: str
     family: str  # its name in `pastpass`, which makes several of them in one pass
+    narrow = True
 
     def fit(self, train):
         pass
@@ -165,6 +167,10 @@ class Encoding:
     prior: DataFrame | None = None
     absent: tuple[str, ...] = ()  # configured columns that the training rows lack
 
+    @property
+    def narrow(self) -> bool:
+        return not numbered(list(self.columns))
+
     def fit(self, train):
         self.absent = tuple(c for c in self.columns if c not in train.columns)
         if self.absent:
@@ -188,6 +194,7 @@ class Decay:
     rationale: str = "Decayed counts and labels of the entity's past."
     state: DataFrame | None = None
     family: str = "decay"
+    narrow = True
 
     def fit(self, train):
         self.state = V.ewm_end_state(train)
@@ -263,7 +270,12 @@ class FeatureChain:
         """
         with BucketedTables(train.sparkSession, ID, buckets) as tables:
             marked = train.withColumn(SLICE, F.lit("train")).unionByName(later.withColumn(SLICE, F.lit("later")), allowMissingColumns=True)
-            rows = tables.write(marked, "transactions")
+            # Where neither the thinning nor a generator looks at the V block it stays where it is: the reader's
+            # selection then decides whether it is read at all.
+            apart = not self.thin_columns and all(getattr(part, "narrow", False) for _, part in self.parts)
+            block = numbered(marked.columns) if apart else []
+            source, columns = marked, [c for c in marked.columns if c not in block]
+            rows = tables.write(marked.select(*columns), "transactions")
             train, later = (rows.where(F.col(SLICE) == s).drop(SLICE) for s in ("train", "later"))
             span = rows.agg(F.max(F.when(F.col(SLICE) == "train", F.col(V.TIME))).alias("last"), F.min(F.when(F.col(SLICE) == "later", F.col(V.TIME))).alias("first")).first()
             if span["first"] is not None and span["last"] is not None and span["first"] <= span["last"]:
@@ -291,6 +303,8 @@ class FeatureChain:
             wide = wide.withColumns({c[len(LATER):]: F.when(F.col(SLICE) == "later", F.col(f"`{c}`")).otherwise(F.col(f"`{c[len(LATER):]}`")) for c in frozen}).drop(*frozen)
             for _, part in self.parts:
                 wide = part.add(wide) if hasattr(part, "add") else wide
+            if block:
+                wide = wide.join(source.select(ID, *block), ID, "left")
             order = {name: k for k, (name, _) in enumerate(self.parts)}
             self.features.sort(key=lambda f: order[f[0]])
             yield wide.drop(*self.dropped)
