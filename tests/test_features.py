@@ -452,3 +452,19 @@ def test_narrow_slices_leave_the_block_where_it_is(spark, wide_rows):
     assert {k: (r["V1"], r["V4"]) for k, r in got.items()} == {k: (r["V1"], r["V4"]) for k, r in source.items()}
     with CH.FeatureChain([("missing", CH.Missing())], thin_columns=False).slices(train, later, buckets=3) as wide:
         assert "is_null_V4" in wide.columns
+
+
+def test_signatures_add_up_hashes_once_per_pattern(spark):
+    """Columns beyond one word of bits included; rows meet the hashes in two aggregates, however many columns there are."""
+    columns = [f"V{i}" for i in range(1, 131)]
+    rows = spark.range(300).select(F.col("id").alias("TransactionID"), *[F.when(F.col("id") % (2 + i % 5) != i % 2, F.col("id") * 1.0).alias(c) for i, c in enumerate(columns)])
+    found = P.null_signatures(rows, columns)
+    lines = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert lines[-1].count("bit_xor(") == 2
+    got = {r["column"]: r for r in found.collect()}
+    for c in ("V1", "V2", "V63", "V64", "V65", "V126", "V127", "V130"):
+        gone = rows.where(F.col(c).isNull())
+        want = gone.agg(F.bit_xor(F.xxhash64("TransactionID")), F.bit_xor(F.xxhash64(F.lit("second"), "TransactionID")), F.count(F.lit(1))).first()
+        assert (got[c]["signature"], got[c]["n_missing"], got[c]["n"]) == (":".join(map(str, want)), want[2], 300)
+    none = P.null_signatures(rows.limit(0), columns[:2]).collect()
+    assert [tuple(r) for r in none] == [("V1", "0:0:0", 0, 0), ("V2", "0:0:0", 0, 0)]
