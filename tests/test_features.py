@@ -190,6 +190,28 @@ def test_page_rank(spark):
     assert flat.select("pagerank_score").distinct().count() == 1
 
 
+def test_rank_of_many_nodes_is_iterated_until_it_settles(spark):
+    """Summed changes are below 2, so a stop at nodes / 1000 ends a graph of 2,000 nodes after its first round."""
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("addr1", "int"), ("DeviceInfo", "string"), ("P_emaildomain", "string"))]
+    df = spark.range(3000).select(F.col("id").alias("TransactionID"), (F.col("id") % 1000).alias("card1"), *empty, F.lit(0).alias("isFraud"))
+    # Three transactions a card: t = 0.85 * c / 3 + base, c = 0.85 * 3 * t + base.
+    base = 0.15 / 4000
+    want = (base + 0.85 * base / 3) / (1 - 0.85**2)
+    assert all(math.isclose(r["pagerank_score"], want, rel_tol=1e-5) for r in CH.Graph().own(df).select("pagerank_score").collect())
+
+
+def test_settled_rank_equals_rounds_without_end(spark):
+    rows = [*random_links(70, 8, True), (70, None, None, None, None, 0)]
+    want, _ = pagerank(rows, tol=1e-14, rounds=500)
+    # A row that comes twice is no further node, and rows without an id have the rank of an isolated transaction.
+    got = G.page_rank(spark.createDataFrame([*rows, rows[0], (None, None, None, None, None, 0)], LINKS))[0].collect()
+    assert len(got) == 73
+    for r in got:
+        assert math.isclose(r["pagerank_score"], want["txn", 70 if r["TransactionID"] is None else r["TransactionID"]], rel_tol=1e-5), r
+    flat = G.page_rank(spark.createDataFrame([(i, None, None, None, None, 0) for i in range(4)], LINKS))[0].collect()
+    assert len(flat) == 4 and all(math.isclose(r["pagerank_score"], 0.25) for r in flat)
+
+
 def test_rates_in_and_out_of_fold(spark):
     rows = random_links(90, 5)
     df = spark.createDataFrame(rows, LINKS).cache()
